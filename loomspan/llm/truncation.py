@@ -5,8 +5,9 @@ around. The hazard of a length is the share of a source's texts ending there
 among those at least as long; it is tested against the hazards of neighbouring
 lengths, with the false-discovery rate held by the Benjamini-Hochberg rule in
 each source. Only the histogram of lengths is windowed, never the texts. A text
-is cut if its row says so, if a note stands for a part left out, if it ends at a
-significant length, or if its ending is no end of a sentence, output or remark.
+is cut if its row says so, if a note stands for a part left out, or if its ending is
+incomplete. At a significant length all but the end of a sentence or of an output
+is incomplete; elsewhere signs that may close a text, and short remarks, are whole.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ _LEFT_OUT = r"(?:elided|omitted|truncated|not shown|skipped|removed|hidden|left
 _UNITS = r"(?:more |further |other )?(?:bytes|chars?|characters|lines|results|rows|matches|entries|tokens|words|items)"
 NOTE = rf"(?i)(?:[\[<({{…]|\.\.\.|---?)\s*(?:\.\.\.|…)?\s*[\d,.]+ {_UNITS} {_LEFT_OUT}|(?:[\[<({{…]|\.\.\.)\s*{_LEFT_OUT}:? [\d,.]+ {_UNITS}"
 SHORT = 60  # a remark without any sentence end may be this long
-SHARE = 0.5  # a significant length counts for every text that ends there if its hazard is so high
+SHARE = 0.5  # a significant length is a limit if its hazard is so high: texts hardly get beyond it
 
 
 def incomplete_ending(text: Column) -> Column:
@@ -39,6 +40,12 @@ def incomplete_ending(text: Column) -> Column:
     return F.coalesce(~blank & (r.endswith("�") | (F.length(r) < F.length(text)) | (last & structured & ~closed)), F.lit(False))
 
 
+def open_ending(text: Column) -> Column:
+    """Whether a text doesn't end with a sentence or a closed output; the stricter measure for lengths at which texts are cut."""
+    ended = text.rlike(r"[^\s.][.?!。！？…]$|(?i)exit (?:code|status):? -?\d+$|</[A-Za-z_]+>$")
+    return F.coalesce(~ended, F.lit(False))
+
+
 def length_hazards(texts: DataFrame, width: int = 40, rate: float = 0.01, least: int = 8) -> DataFrame:
     """(source, measure, len, n, hazard) of the significant lengths of texts (source, measure, len, mark).
 
@@ -91,7 +98,7 @@ def judged(texts: DataFrame) -> DataFrame:
     facts = cut(
         texts.select(
             "table_name", "row_id", F.concat_ws("/", "table_name", "source").alias("source"), "says_cut", chars.alias("chars"), octets.alias("octets"), F.xxhash64("text").alias("mark"),
-            F.coalesce(F.col("text").rlike(NOTE), F.lit(False)).alias("noted"), incomplete_ending(F.col("text")).alias("broken"), (F.col("text").isNotNull() & (F.trim("text") != "")).alias("filled"),
+            F.coalesce(F.col("text").rlike(NOTE), F.lit(False)).alias("noted"), incomplete_ending(F.col("text")).alias("broken"), open_ending(F.col("text")).alias("open"), (F.col("text").isNotNull() & (F.trim("text") != "")).alias("filled"),
         )
     )
     tested = facts.where("filled").select("source", "mark", F.inline(F.array(F.struct(F.lit("chars").alias("measure"), F.col("chars").alias("len")), F.struct(F.lit("octets").alias("measure"), F.col("octets").alias("len")))))
@@ -103,8 +110,9 @@ def judged(texts: DataFrame) -> DataFrame:
     )
     j = facts.join(F.broadcast(by_source) if by_source.limit(10_001).count() <= 10_000 else by_source, "source", "left")
     # a limit in bytes that falls inside a character leaves up to three bytes unused
-    inside = F.exists("octet_limits", lambda x: (x - F.col("octets")).between(1, 3)) & F.col("broken")
-    limit = F.coalesce(F.array_contains("char_limits", F.col("chars")) | F.array_contains("octet_limits", F.col("octets")) | inside, F.lit(False)) & F.col("filled")
+    inside = F.exists("octet_limits", lambda x: (x - F.col("octets")).between(1, 3))
+    at = F.array_contains("char_limits", F.col("chars")) | F.array_contains("octet_limits", F.col("octets")) | inside
+    limit = F.coalesce(at, F.lit(False)) & F.col("filled") & F.col("open")
     reason = F.when(F.col("says_cut"), "marked").when(F.col("noted"), "noted").when(limit, "limit").when(F.col("broken"), "broken")
     return j.select("table_name", "row_id", "source", reason.alias("reason"))
 
