@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import conversations, truncation
+from loomspan.llm import conversations, packing, tokens, truncation
 from loomspan.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,18 @@ def p7_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.cut_rates(table(spark, sf, "session_message"), table(spark, sf, "transcript"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p7_found, p7_rates)}
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.encoded(table(spark, sf, "documents"))
+
+
+def p9_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.windows(table(spark, sf, "documents"), table(spark, sf, "token_budgets"))
+
+
+def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill_rates(p9_windows(spark, sf), table(spark, sf, "token_budgets"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p7_found, p7_rates, p8_ids, p9_windows, p9_fill)}
 
 SQL: dict[str, str] = {}
