@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import conversations, packing, tokens, truncation
+from loomspan.llm import conversations, packing, pii, tokens, truncation
 from loomspan.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,14 @@ def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_rates(p9_windows(spark, sf), table(spark, sf, "token_budgets"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p7_found, p7_rates, p8_ids, p9_windows, p9_fill)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.distinct_mentions(table(spark, sf, "documents"), table(spark, sf, "name_lexicon"))
+
+
+def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.redacted(table(spark, sf, "documents"), table(spark, sf, "name_lexicon"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p7_found, p7_rates, p8_ids, p9_windows, p9_fill, p10_found, p10_redacted)}
 
 SQL: dict[str, str] = {}
