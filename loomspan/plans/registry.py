@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspan.plans import training
+from loomspan.plans import retrieval, training
 
-MODULES = [training]
+MODULES = [training, retrieval]
 
 
 def queries() -> dict[str, training.Query]:
