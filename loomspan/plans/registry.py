@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspan.plans import retrieval, training
+from loomspan.plans import catalog, retrieval, training
 
-MODULES = [training, retrieval]
+MODULES = [training, retrieval, catalog]
 
 
 def queries() -> dict[str, training.Query]:
