@@ -58,7 +58,7 @@ def clock_parts(parts: Column, regions: list[str]) -> Column:
     p = parts["p"]
     num = lambda i: F.nullif(p[i], F.lit("")).try_cast("int")
     hour = F.when(p[7] == "", num(3)).when(num(3).between(1, 12), num(3) % 12 + F.when(F.lower(p[7]) == "pm", 12).otherwise(0))
-    made = F.try_make_timestamp(num(0), num(1), num(2), hour, num(4), F.coalesce(num(5), F.lit(0)).cast("decimal(8,6)"))
+    made = F.try_make_timestamp(num(0), num(1), num(2), hour, num(4), F.coalesce(num(5), F.lit(0)).cast("decimal(8,6)"), F.lit("UTC"))
     fraction = F.rpad(F.substring(p[6], 1, 6), 6, "0").try_cast("bigint")
     zone = F.nullif(p[8], F.lit(""))
     digits = F.regexp_replace(zone, r"[^\d]", "")
@@ -82,3 +82,8 @@ def resolve_clock(c: Column) -> Column:
 def to_utc_us(local_us: Column, zone: Column) -> Column:
     """A local time as UTC; of two instants with that local time the earlier, and a skipped one moves on by the gap."""
     return F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local_us), zone))
+
+
+def wall_us(stamp: Column) -> Column:
+    """A stamp column of UTC wall time in microseconds since 1970, whatever the session's time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), stamp.cast("timestamp_ntz"))

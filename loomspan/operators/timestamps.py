@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.functions.stamps import PLAIN, clock_parts, region_ids, resolve_clock, stamp_parts, to_utc_us
+from loomspan.functions.stamps import PLAIN, clock_parts, region_ids, resolve_clock, stamp_parts, to_utc_us, wall_us
 from loomspan.session import cut
 
 STEP_FIELDS = ["step_index", "source", "type", "status", "created_at", "content", "thinking", "tool_calls", "truncated_fields"]
@@ -49,7 +49,7 @@ def estimate_zones(parsed: DataFrame, machines: DataFrame, candidates: list[str]
     declared = machines.select("machine", F.when(F.col("zone").isin(sorted(regions)), F.col("zone")).alias("declared")).groupBy("machine").agg(F.first("declared").alias("declared"))
     zones = candidates or sorted({r[0] for r in declared.select("declared").distinct().take(1000) if r[0]})
     hist = parsed.where("local_us is not null and zone is null and seen is not null").groupBy(
-        "machine", F.floor(F.col("local_us") / QUARTER).alias("quarter"), F.floor((F.unix_micros("seen") - F.col("local_us")) / QUARTER).alias("lag")
+        "machine", F.floor(F.col("local_us") / QUARTER).alias("quarter"), F.floor((F.col("seen") - F.col("local_us")) / QUARTER).alias("lag")
     ).count()
     each = hist.withColumn("zone", F.explode(F.array(*[F.lit(z) for z in zones]).cast("array<string>")))
     start = F.col("quarter") * QUARTER
@@ -89,14 +89,14 @@ def transcript_stamp(raw_map: F.Column) -> F.Column:
 
 
 def transcript_stamps(spark: SparkSession, omp: DataFrame, transcript: DataFrame, sessions: DataFrame) -> DataFrame:
-    """All stamps of the transcript store as (field, row_id, machine, text, seen)."""
+    """All stamps of the transcript store as (field, row_id, machine, text, seen), seen being the microsecond at which the row was taken in."""
     whole = F.col("raw").rlike(r"(?s)^\s*\{.*\}\s*$")
     steps = transcript.where(whole).select("line_id", "machine", "written_at", F.from_json("raw", "map<string,string>", {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}).alias("m"))
     return (
-        omp.select(F.explode(F.array(F.struct(F.lit("omp.timestamp").alias("field"), F.col("timestamp").alias("text")), F.struct(F.lit("omp.message.timestamp").alias("field"), F.col("message.timestamp").alias("text")))).alias("s"), F.col("rec_id").alias("row_id"), "machine", F.col("received_at").alias("seen"))
+        omp.select(F.explode(F.array(F.struct(F.lit("omp.timestamp").alias("field"), F.col("timestamp").alias("text")), F.struct(F.lit("omp.message.timestamp").alias("field"), F.col("message.timestamp").alias("text")))).alias("s"), F.col("rec_id").alias("row_id"), "machine", wall_us(F.col("received_at")).alias("seen"))
         .select("s.field", "row_id", "machine", "s.text", "seen")
-        .unionByName(steps.where("m is not null").select(F.lit("transcript.created_at").alias("field"), F.col("line_id").alias("row_id"), "machine", transcript_stamp(F.col("m")).alias("text"), F.col("written_at").alias("seen")))
-        .unionByName(sessions.select(F.lit("sessions.started_at").alias("field"), "row_id", "machine", F.col("started_at").alias("text"), F.lit(None).cast("timestamp").alias("seen")))
+        .unionByName(steps.where("m is not null").select(F.lit("transcript.created_at").alias("field"), F.col("line_id").alias("row_id"), "machine", transcript_stamp(F.col("m")).alias("text"), wall_us(F.col("written_at")).alias("seen")))
+        .unionByName(sessions.select(F.lit("sessions.started_at").alias("field"), "row_id", "machine", F.col("started_at").alias("text"), F.lit(None).cast("bigint").alias("seen")))
         .where("text is not null")
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions.stamps import wall_us
 from loomspan.session import table
 
 PROJECT = r"([^/]+)/[^/]+$"
@@ -50,7 +51,7 @@ def usage_events(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "omp").where("message.usage is not null")
     n = lambda c: F.coalesce(F.col(f"message.usage.{c}"), F.lit(0))
     return o.select(
-        F.lit("omp").alias("source"), "source_path", F.col("rec_id").alias("row_idx"), F.col("line_no").cast("bigint").alias("source_order"), F.unix_millis("received_at").alias("timestamp_ms"),
+        F.lit("omp").alias("source"), "source_path", F.col("rec_id").alias("row_idx"), F.col("line_no").cast("bigint").alias("source_order"), F.floor(wall_us(F.col("received_at")) / 1000).alias("timestamp_ms"),
         "session_id", F.col("project_id").alias("project"), F.col("message.provider").alias("provider"), F.col("message.model").alias("model"), F.col("id").alias("source_record_id"),
         F.nullif(F.trim("message.id"), F.lit("")).alias("message_id"), F.col("parentid").alias("request_id"), n("input").alias("raw_input"), n("input").alias("uncached_input"),
         n("cacheread").alias("cache_read"), n("cachewrite").alias("cache_write"), n("output").alias("output"), (F.col("rec_id") % 11 == 0).alias("sidechain"), (F.col("rec_id") % 37 == 0).alias("chain_break"),

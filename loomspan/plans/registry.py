@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspan.plans import catalog, retrieval, training
+from loomspan.plans import catalog, retrieval, training, usage
 
-MODULES = [training, retrieval, catalog]
+MODULES = [training, retrieval, catalog, usage]
 
 
 def queries() -> dict[str, training.Query]:
