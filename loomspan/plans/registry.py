@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspan.plans import catalog, retrieval, training, usage
+from loomspan.plans import catalog, context, retrieval, training, usage
 
-MODULES = [training, retrieval, catalog, usage]
+MODULES = [training, retrieval, catalog, usage, context]
 
 
 def queries() -> dict[str, training.Query]:
