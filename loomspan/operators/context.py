@@ -75,18 +75,16 @@ def budgeted(records: DataFrame, budget: int) -> DataFrame:
 
 
 def collapse_exchanges(records: DataFrame, least: int = 3) -> DataFrame:
-    """Sessions in which a pair of records repeats ``least`` times or more in a row, with the repeats left out.
+    """(doc_id) of the records that stay when a pair of records that follows itself ``least`` times or more is kept once.
 
-    Returns doc_id and repeats: the number of rounds that a kept record stands for (1 without repeats). A record repeats if it says
-    what the record two before says; runs of such records are islands, so no session is gathered.
+    A record repeats if it says what the record two before says; runs of such
+    records are islands, so no session is gathered beyond its ordered window.
     """
-    said = F.concat_ws("\x1f", "role", "text")
     w = Window.partitionBy(*SCOPE).orderBy(*ORDER)
-    r = records.withColumn("_said", said).withColumn("_n", F.row_number().over(w))
+    r = records.withColumn("_said", F.concat_ws("\x1f", "role", "text")).withColumn("_n", F.row_number().over(w))
     r = r.withColumn("_again", F.coalesce(F.lag("_said", 2).over(w) == F.col("_said"), F.lit(False)))
     r = r.withColumn("_run", F.sum((~F.col("_again")).cast("int")).over(w))
-    again = r.where("_again").groupBy(*SCOPE, "_run").agg(F.min("_n").alias("_first"), F.count("*").alias("_length")).where(F.col("_length") >= 2 * (least - 1))
-    again = again.select(*SCOPE, F.col("_run").alias("_of"), "_first", (F.col("_length") - F.col("_length") % 2).alias("_drop"))
-    j = r.join(again, (r["_run"] == again["_of"]) & F.expr("true") & (r["source"] == again["source"]) & (r["session_id"] == again["session_id"]) & (r["source_path"] == again["source_path"]), "left").drop(again["source"], again["session_id"], again["source_path"])
+    runs = r.where("_again").groupBy(*SCOPE, "_run").agg(F.min("_n").alias("_first"), F.count("*").alias("_length")).where(F.col("_length") >= 2 * (least - 1))
+    runs = runs.select(*SCOPE, "_run", "_first", (F.col("_length") - F.col("_length") % 2).alias("_drop"))
     gone = (F.col("_n") >= F.col("_first")) & (F.col("_n") < F.col("_first") + F.col("_drop"))
-    return j.where(~F.coalesce(gone, F.lit(False))).select("doc_id")
+    return r.join(runs, [*SCOPE, "_run"], "left").where(~F.coalesce(gone, F.lit(False))).select("doc_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,8 +18,6 @@ def evaluate(results: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     first = top.groupBy("case_id", "key").agg(F.min("rank").alias("rank"))
     gain = (F.pow(F.lit(2.0), "relevance") - 1) / F.log2(F.col("rank") + 1)
     hits = first.join(rel, ["case_id", "key"]).groupBy("case_id").agg(F.count("*").alias("found"), F.min("rank").alias("best"), F.sum(gain).alias("dcg"))
-    from pyspark.sql import Window
-
     ideal = rel.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("relevance"), "key")))
     ideal = ideal.groupBy("case_id").agg(F.count("*").alias("relevant"), F.sum(F.when(F.col("rank") <= k, gain)).alias("idcg"))
     sessions = top.groupBy("case_id").agg(F.countDistinct("session").alias("unique_sessions"))

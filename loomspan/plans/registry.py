@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspan.plans import catalog, context, retrieval, training, usage
+from loomspan.plans import catalog, context, memories, retrieval, training, usage
 
-MODULES = [training, retrieval, catalog, usage, context]
+MODULES = [training, retrieval, catalog, usage, context, memories]
 
 
 def queries() -> dict[str, training.Query]:
