@@ -247,6 +247,38 @@ def learned_names(found: DataFrame, lexicon: DataFrame, rounds: int = 3, confide
     return known
 
 
+def apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of overlapping spans those that don't overlap and cover most together, so that a list of names isn't read across its commas."""
+    out: list[tuple[int, int]] = []
+    cluster: list[tuple[int, int]] = []
+    for span in [*sorted(set(spans)), None]:
+        if cluster and (span is None or span[0] >= max(e for _, e in cluster[-8:])):
+            out += _most_covering(cluster)
+            cluster = []
+        if span is not None:
+            cluster.append(span)
+    return out
+
+
+def _most_covering(cluster: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    cluster = sorted(cluster, key=lambda x: (x[1], x[0]))
+    best, link = [0], [(0, False)]  # the most that the first k spans cover, and how
+    for k, (s, e) in enumerate(cluster):
+        before = k
+        while before and cluster[before - 1][1] > s:
+            before -= 1
+        take = best[before] + e - s > best[k]
+        best.append(best[before] + e - s if take else best[k])
+        link.append((before if take else k, take))
+    out, k = [], len(cluster)
+    while k:
+        back, take = link[k]
+        if take:
+            out.append(cluster[k - 1])
+        k = back
+    return out[::-1]
+
+
 def _names(words: dict[str, set[str]] | None):
     """Names whose parts are all known, in any case; words None means that each row brings its own."""
 
@@ -265,11 +297,8 @@ def _names(words: dict[str, set[str]] | None):
                 got = []
                 for s, e, given, family, _ in name_spans(text):
                     if "family" in known.get(fold(family), ()) and (given is None or "given" in known.get(fold(given), ())) and all(e <= x or s >= y for x, y in taken):
-                        got.append((e - s, s, e))
-                for _, s, e in sorted(got, reverse=True):
-                    if all(e <= x or s >= y for x, y in taken):
-                        taken.append((s, e))
-                        rows.append((i, "name", s, e, text[s:e]))
+                        got.append((s, e))
+                rows += [(i, "name", s, e, text[s:e]) for s, e in apart(got)]
             names = ["doc_id", "kind", "start", "end", "surface"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()], strict=True)], names=names)
 
