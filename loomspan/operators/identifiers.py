@@ -12,8 +12,6 @@ costs beyond the lookup depends on such rows, not on the number of copies.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -54,7 +52,7 @@ class IdentifierIndex:
     """
 
     def __init__(self, spark: SparkSession, path: str, prefixes: int):
-        self.spark, self.path, self.prefixes, self.runs = spark, path, max(1, prefixes), []
+        self.spark, self.path, self.prefixes, self.runs, self.written = spark, path, max(1, prefixes), [], 0
 
     def _arrays(self, firsts: DataFrame) -> DataFrame:
         """One sorted array row for each prefix from (ident, h, prefix, first_row)."""
@@ -62,8 +60,9 @@ class IdentifierIndex:
         return packed.select("prefix", F.col("s.h").alias("h"), F.col("s.ident").alias("ident"), F.col("s.first_row").alias("first_row"))
 
     def _write(self, firsts: DataFrame) -> None:
-        run = f"{self.path}/run-{len(self.runs):05d}"
-        self._arrays(firsts).write.parquet(run)
+        run = f"{self.path}/run-{self.written:05d}"
+        self._arrays(firsts).write.mode("overwrite").parquet(run)
+        self.written += 1
         self.runs.append(run)
 
     def read(self) -> DataFrame:
@@ -84,12 +83,17 @@ class IdentifierIndex:
             local = local.groupBy("prefix").cogroup(self.read().groupBy("prefix")).applyInArrow(_novel, "ident string, h bigint, prefix int, first_row bigint")
         self._write(local)
 
+    def last_run(self) -> DataFrame:
+        """(ident, first_row) that the last batch brought."""
+        z = F.explode(F.arrays_zip("ident", "first_row")).alias("z")
+        return self.spark.read.schema(RUN).parquet(self.runs[-1]).select(z).select("z.ident", "z.first_row")
+
     def compact(self) -> None:
         """Merge all runs into one; lookups then read a single array for each prefix."""
         if len(self.runs) < 2:
             return
         z = F.explode(F.arrays_zip("h", "ident", "first_row")).alias("z")
-        merged = f"{self.path}/merged-{len(self.runs):05d}"
+        merged = f"{self.path}/merged-{self.written:05d}"
         self._arrays(self.read().select("prefix", z).select("prefix", "z.*")).write.parquet(merged)
         self.runs = [merged]
 
@@ -176,7 +180,3 @@ def redundant_rows(rows: DataFrame, waves: int = 2, per_prefix: int = 50_000) ->
 def kept_rows(rows: DataFrame, **options: int) -> DataFrame:
     """rows without the copies that ``redundant_rows`` names."""
     return rows.join(redundant_rows(rows, **options), "rec_id", "left_anti")
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
