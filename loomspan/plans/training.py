@@ -28,6 +28,13 @@ def p2_paths(spark: SparkSession, sf: str) -> DataFrame:
     return _trees(spark, sf, True).where("path is not null").select("node_kind", F.col("node").alias("node_id"), "path")
 
 
+def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """How many nodes lie below each node outside cycles that has any."""
+    t = _trees(spark, sf, True)
+    kinds = [hierarchy.descendants(t.where(F.col("node_kind") == k)).groupBy(F.col("ancestor").alias("node_id")).agg(F.count("*").alias("n"), F.max("distance").alias("height")).withColumn("node_kind", F.lit(k)) for k in ("omp", "sessions")]
+    return kinds[0].unionByName(kinds[1])
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return identifiers.redundant_rows(table(spark, sf, "omp"))
 
@@ -65,6 +72,25 @@ def p6_items(spark: SparkSession, sf: str) -> DataFrame:
     return nested.flat_table(rows, "omp.message.content", "type string, text string, thinking string, data string, id string, name string, arguments string")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_paths, p3_found, p4_found, p4_zones, p5_found, p5_schema, p5_steps, p6_found, p6_items)}
-
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p4_found, p4_zones, p5_found, p5_schema, p5_steps, p6_found, p6_items)}
+
+_WALK = """WITH RECURSIVE n AS (SELECT 'omp' AS k, id, min(parentid) AS p FROM omp WHERE id IS NOT NULL GROUP BY id UNION ALL SELECT 'sessions', session_id, min(parent_session_id) FROM sessions WHERE session_id IS NOT NULL GROUP BY session_id),
+  v AS (SELECT n.k, n.id, q.id AS p FROM n LEFT JOIN n q ON q.k = n.k AND q.id = n.p),
+  w(k, id, cur, up, path) AS (SELECT k, id, id, p, [id] FROM v UNION ALL SELECT w.k, w.id, v.id, v.p, list_append(w.path, v.id) FROM w JOIN v ON v.k = w.k AND v.id = w.up WHERE NOT list_contains(w.path, w.up)),
+  e AS (SELECT * FROM w WHERE up IS NULL OR list_contains(path, up)) """
+
+SQL: dict[str, str] = {
+    "p2_found": _WALK
+    + """SELECT k AS node_kind, id AS node_id, CASE WHEN up IS NULL THEN cur ELSE list_min(path[list_position(path, up):]) END AS root_id,
+  CAST(CASE WHEN up IS NULL THEN len(path) - 1 ELSE -1 END AS INT) AS depth FROM e""",
+    "p2_paths": _WALK + "SELECT k AS node_kind, id AS node_id, '/' || array_to_string(list_reverse(path), '/') AS path FROM e WHERE up IS NULL",
+    "p2_descendants": _WALK
+    + """SELECT node_kind, node_id, count(*) AS n, CAST(max(d) AS INT) AS height FROM (SELECT k AS node_kind, unnest(path[2:]) AS node_id, generate_subscripts(path[2:], 1) AS d FROM e WHERE up IS NULL AND len(path) > 1) GROUP BY ALL""",
+    "p3_found": """WITH RECURSIVE i AS (SELECT rec_id, unnest(list_concat([CASE WHEN id IS NOT NULL THEN 'r' || id END, CASE WHEN trim(message.id) <> '' THEN 'm' || message.id END],
+    list_transform(list_filter(coalesce(message.content, []), lambda x: x.type = 'toolCall' AND trim(x.id) <> ''), lambda x: 'c' || x.id))) AS ident FROM omp),
+  l AS (SELECT DISTINCT a.rec_id AS a, b.rec_id AS b FROM i a JOIN i b USING (ident)), r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+  g AS (SELECT a AS rec_id, min(b) AS comp FROM r GROUP BY a),
+  o AS (SELECT rec_id, row_number() OVER (PARTITION BY comp ORDER BY coalesce(message.usage.output, -1) DESC, rec_id) AS n FROM g JOIN omp USING (rec_id)) SELECT rec_id FROM o WHERE n > 1""",
+    "p6_items": """SELECT 'omp' AS parent_table, rec_id AS parent_id, 'message.content[' || pos || ']' AS path, 'message' AS parent_path, pos AS position, item.type AS type, item.text AS text, item.thinking AS thinking,
+  item.data AS data, item.id AS id, item.name AS name, item.arguments AS arguments FROM (SELECT rec_id, unnest(message.content) AS item, CAST(generate_subscripts(message.content, 1) - 1 AS INT) AS pos FROM omp) WHERE item IS NOT NULL""",
+}
