@@ -52,7 +52,7 @@ class _Reader(DataSourceReader):
             have = {r[1] for r in c.execute(f'PRAGMA table_info("{self.table}")')}
             wanted = ", ".join(f'"{x}"' if x in have else "NULL" for x in self.columns if x != "source_path")
             for row in c.execute(f'SELECT {wanted or "1"} FROM "{self.table}" WHERE rowid >= ? AND rowid < ? ORDER BY rowid', (partition.low, partition.high)):
-                it = iter(row)
+                it = (v.decode(errors="replace") if isinstance(v, bytes) else v for v in row)
                 yield tuple(os.path.abspath(partition.path) if x == "source_path" else next(it) for x in self.columns)
 
 
@@ -81,6 +81,49 @@ def opencode_usage(spark: SparkSession, path: str) -> DataFrame:
     return u.where("uncached_input + cache_read + cache_write + output > 0")
 
 
+def opencode_objects(sessions: DataFrame, messages: DataFrame, parts: DataFrame) -> DataFrame:
+    """The same records from frames (source_path, raw) of JSON files for sessions, messages and parts."""
+    g = lambda k: F.get_json_object("raw", f"$.{k}")
+    s = sessions.select(g("id").alias("session_id"), g("parentID").alias("parent_id"))
+    m = messages.select(g("id").alias("message_id"), g("sessionID").alias("session_id"), g("role").alias("role"), g("time.created").try_cast("bigint").alias("ts"))
+    p = parts.where(g("type") == "text").select("source_path", g("id").alias("event_id"), g("messageID").alias("message_id"), g("text").alias("text")).where("text is not null")
+    j = p.join(m, "message_id").join(s, "session_id")
+    return j.select(F.lit("opencode").alias("source"), "ts", F.lit("opencode").alias("project"), "session_id", "source_path", "role", "text", "event_id", F.when(F.col("parent_id").isNotNull(), "fork").otherwise("main").alias("conversation_kind"))
+
+
+def opencode_v2_records(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of session_message, where a store has them: user, system and assistant texts, tools as assistant rows with tool fields, in order of time."""
+    m = read_table(spark, path, "session_message", "source_path string, id string, session_id string, type string, time_created bigint, data string")
+    g = lambda k: F.get_json_object("data", f"$.{k}")
+    tool = F.when(F.col("type") == "tool", g("tool"))
+    out = F.coalesce(g("state.output"), g("state.error"), g("output"))
+    role = F.when(F.col("type") == "tool", "assistant").otherwise(F.col("type"))
+    return m.where("type in ('user', 'system', 'assistant', 'tool')").select(
+        F.lit("opencode").alias("source"), F.col("time_created").alias("ts"), F.lit("opencode").alias("project"), "session_id", "source_path", role.alias("role"), F.coalesce(F.when(tool.isNull(), g("text")), F.lit("")).alias("text"),
+        tool.alias("tool_name"), F.when(tool.isNotNull(), g("state.input")).alias("tool_input"), F.when(tool.isNotNull(), out).alias("tool_output"), F.col("id").alias("event_id"),
+    )
+
+
+def editor_values(spark: SparkSession, path: str) -> DataFrame:
+    """(source_path, line_no, key, raw) of the two state tables of an editor, for ``nested_usage.usage_in``."""
+    rows = None
+    for table in ("ItemTable", "cursorDiskKV"):
+        t = read_table(spark, path, table, "source_path string, key string, value string").select("source_path", F.lit(0).cast("bigint").alias("line_no"), "key", F.col("value").alias("raw"))
+        rows = t if rows is None else rows.unionByName(t)
+    return rows.where("raw is not null")
+
+
+def bob_usage(spark: SparkSession, path: str) -> DataFrame:
+    """Usage of assistant messages that spent something; their own cost counts, and they are no part of cache chains."""
+    m = read_table(spark, path, "messages", "source_path string, id bigint, task_id string, role string, timestamp bigint, model string, tokens_in bigint, tokens_out bigint, cache_reads bigint, cache_writes bigint, cost double")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    u = m.where("role = 'assistant'").select(
+        F.lit("bob").alias("source"), F.concat("source_path", F.lit("/"), "task_id").alias("source_path"), F.col("id").cast("string").alias("source_record_id"), F.col("task_id").alias("session_id"), F.col("timestamp").alias("timestamp_ms"), "model",
+        n("tokens_in").alias("uncached_input"), n("cache_reads").alias("cache_read"), n("cache_writes").alias("cache_write"), n("tokens_out").alias("output"), F.col("cost").alias("source_cost_usd"), F.lit(True).alias("cost_authoritative"), F.lit(True).alias("cache_chain_excluded"),
+    )
+    return u.where("uncached_input + cache_read + cache_write + output > 0 or source_cost_usd > 0")
+
+
 def bob_records(spark: SparkSession, path: str) -> DataFrame:
     """Messages of tasks under the virtual path of their task, in order of time, then row."""
     t = read_table(spark, path, "tasks", "source_path string, id string, workspace string").select("source_path", F.col("id").alias("session_id"), "workspace")
