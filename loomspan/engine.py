@@ -32,6 +32,7 @@ class SearchRequest:
     until: int | None = None
     vector: tuple[float, ...] | None = None
     hybrid: bool = False
+    stemmed: bool = True
     recency_weight: float = 0.0
     half_life_days: float = 30.0
     now_ms: int = 0
@@ -93,7 +94,7 @@ class Engine:
         semantic = q.vector is not None and self.vectors is not None and not self.vectors.isEmpty()
         lists = []
         if q.hybrid or not semantic:
-            lists += [lexical.top(self._filtered(q, lexical.bm25(self.records, "text", v)).select("doc_id", "ts", "score"), wide, "doc_id") for v in views]
+            lists += [lexical.top(self._filtered(q, lexical.bm25(self.records, "text", v, q.stemmed)).select("doc_id", "ts", "score"), wide, "doc_id") for v in views]
         if semantic:
             inside = self._filtered(q, self.records).select("doc_id", "ts")
             lists.append(ranking.nearest(self.vectors.join(inside, "doc_id"), list(q.vector), wide).select("doc_id", "ts", "score"))

@@ -111,7 +111,7 @@ def instant_ms(text: Column) -> Column:
 
 def stamp_text(ms: Column) -> Column:
     """RFC 3339 seconds in UTC; a dash for 0, which means unknown."""
-    return F.when(ms == 0, "-").otherwise(F.concat(F.date_format(F.timestamp_seconds(F.floor(ms / 1000)), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
+    return F.when(ms == 0, "-").otherwise(F.concat(F.date_format(F.timestamp_add("SECOND", F.floor(ms / 1000), F.lit("1970-01-01").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
 
 
 def since_ms(name: str, now_ms: int) -> int | None:

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.functions.stem import stem, stems
+
 K1, B = 1.2, 0.75
 
 
@@ -65,16 +67,24 @@ def parse(text: str) -> Query:
     return Query(tuple(terms), tuple(must), tuple(must_not), tuple(phrases), boosts)
 
 
-def bm25(docs: DataFrame, text: str, query: Query | str) -> DataFrame:
+def stemmed_query(q: Query) -> Query:
+    each = lambda words: tuple(map(stem, words))
+    return Query(each(q.terms), each(q.must), each(q.must_not), tuple(map(each, q.phrases)), {stem(w): b for w, b in q.boosts.items()})
+
+
+def bm25(docs: DataFrame, text: str, query: Query | str, stemmed: bool = False) -> DataFrame:
     """docs that match, with ``score``; without any words every row matches with score 1. Null texts have no tokens.
 
     The statistics are those of all rows of docs, so filter afterwards, as an index does.
+    stemmed: words match by their English stems, in Arrow batches; the plain form stays in the JVM.
     """
     q = parse(query) if isinstance(query, str) else query
+    q = stemmed_query(q) if stemmed else q
     words = q.scored
     if not words and not q.must_not:
         return docs.withColumn("score", F.lit(1.0))
-    t = docs.withColumn("_tokens", F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))).withColumn("_len", F.size("_tokens"))
+    t = docs.withColumn("_tokens", F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")))
+    t = (t.withColumn("_tokens", stems(F.col("_tokens"))) if stemmed else t).withColumn("_len", F.size("_tokens"))
     for i, w in enumerate(words):
         t = t.withColumn(f"_tf{i}", _count_of(w))
     stats = t.agg(F.count("*").alias("n"), F.avg("_len").alias("avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]).first()

@@ -244,10 +244,15 @@ SQL["index_postings"] = (
     "SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf, CAST(max(pos) AS INT) AS last_position FROM e GROUP BY term"
 )
 
+def search_stemmed(spark: SparkSession, sf: str) -> DataFrame:
+    """Words by their stems; no SQL, tested by itself."""
+    return lexical.top(lexical.bm25(records(spark, sf), "text", "refreshing segments queried", True).select("doc_id", F.round("score", 6).alias("score")), 50, "doc_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        search_bm25, search_grammar, search_match_all, search_by_time, recent_records, search_recency, search_min_score, search_top_per_session, search_session_groups, search_sessions_page,
+        search_bm25, search_stemmed, search_grammar, search_match_all, search_by_time, recent_records, search_recency, search_min_score, search_top_per_session, search_session_groups, search_sessions_page,
         search_multi_query, search_federated, vector_knn, vector_knn_filtered, search_hybrid, vector_coverage, scope_ambiguity, search_scope_join, query_exists, index_postings,
     )
 }
