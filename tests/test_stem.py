@@ -21,3 +21,14 @@ def test_sample(word):
 def test_search_by_stem(spark):
     d = spark.createDataFrame([(1, "benchmark database migrations document"), (2, "other"), (3, None)], "doc_id long, text string")
     assert [r["doc_id"] for r in lexical.bm25(d, "text", "migration", True).collect()] == [1] and lexical.bm25(d, "text", "migration").count() == 0
+
+
+def test_written_index_scores_alike(spark, tmp_path):
+    words = "alpha beta gamma delta last segment query".split()
+    docs = [(i, " ".join(words[(i * k + k) % 7] for k in range(1, 3 + i % 9))) for i in range(60)] + [(98, None), (99, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lexical.write_index(d, "doc_id", "text", str(tmp_path / "ix"), 5)
+    for q in ("alpha", "alpha beta^3", "+segment -alpha query", '"last segment"', '"last segment" +query delta', "nowhere"):
+        want = {r["doc_id"]: round(r["score"], 9) for r in lexical.bm25(d, "text", q).collect()}
+        got = {r["doc_id"]: round(r["score"], 9) for r in lexical.search_index(spark, str(tmp_path / "ix"), "doc_id", q).collect()}
+        assert got == want, q
