@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +28,23 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to Python workers that can't import it by themselves; once for each context."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    reachable = str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or (sc.master.startswith("local[") and Path.cwd() == root)
+    if reachable or getattr(sc, "_has_loomspan", False):
+        return
+    packed = Path(tempfile.mkdtemp(prefix="loomspan-")) / "loomspan.zip"
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted((root / "loomspan").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(packed))
+    sc._has_loomspan = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
