@@ -65,8 +65,8 @@ STREET = re.compile(
       \d{{1,5}}[a-zA-Z]?[ ](?:{_CAP}[ ]){{1,3}}(?:Street|Road|Lane|Avenue|Drive|Court|Boulevard|Terrace|Crescent|Close|Square|Place|Way|St|Rd|Ln|Ave|Dr|Ct|Blvd){_END}(?:{_SHORTENED}\.(?=[ ]?[,|\n;]|[ ]\d|[ ]?$|[ ][a-z]))?
     | \d{{1,4}}(?:[ ]?(?:bis|ter|quater))?,?[ ](?:rue|avenue|boulevard|chemin|place|impasse|quai|allée|cours|route|square)[ ](?:(?:de[ ]la|de[ ]l['’]|du|des|de|d['’])[ ]?)?{_CAP}(?:[ ]{_CAP})*{_END}
     | (?:Calle|C/|Avenida|Avda\.|Plaza|Paseo|Camino|Ronda|Carrera)[ ](?:(?:de[ ]la|de[ ]los|de[ ]las|del|de)[ ])?{_CAP}(?:[ ]{_CAP})*,?[ ]\d{{1,4}}[a-z]?{_END}
-    | (?:{_CAP}[ ])?{_U}[{_L}]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer|Gasse|Straße|Weg|Allee|Platz)[ ]\d{{1,4}}[ ]?[a-z]?{_END}
-    | {_CAP}[ ](?:Gasse|Straße|Str\.|Weg|Allee|Platz|Ring|Damm|Ufer)[ ]\d{{1,4}}[a-z]?{_END}
+    | {_U}[{_L}]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer)[ ]\d{{1,4}}(?:[ ]?[a-z])?{_END}
+    | {_CAP}[ ](?:Gasse|Straße|Str\.|Weg|Allee|Platz|Ring|Damm|Ufer)[ ]\d{{1,4}}(?:[ ]?[a-z])?{_END}
     )""",
     re.X,
 )
