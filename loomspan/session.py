@@ -50,10 +50,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors reach: spark.checkpoint.dir, and a folder of our own only where that is unset."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
+    given, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if given:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(given)
         return given.rstrip("/")
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "loomspan-checkpoints"))
     return sc.getCheckpointDir().rstrip("/")
