@@ -153,18 +153,17 @@ class Engine:
         points = self.sessions.select("source", F.col("last_at").alias("ts"))
         return activity.regrid(activity.buckets(points, unit), since, now, unit)
 
-    def evaluate(self, cases: DataFrame, k: int = 10, limit: int = 50) -> DataFrame:
-        """cases: case_id, queries array<string>, relevant array<struct<doc_id, relevance>>; see ``read_cases``. At most 1,000 cases are searched."""
+    def evaluate(self, cases: DataFrame, k: int = 10, limit: int = 50, stemmed: bool = True) -> DataFrame:
+        """cases: case_id, queries array<string>, relevant array<struct<doc_id, relevance>>; see ``read_cases``. All views of all cases, at most 1,000, are searched in one pass and fused by case."""
         listed = cases.select("case_id", "queries").take(1001)
         if len(listed) > 1000:
             raise ValueError("more than 1,000 cases")
-        out = []
-        for c in listed:
-            hits = self.search(SearchRequest(queries=tuple(c["queries"]), limit=limit))
-            out.append(ranking.ranked(hits, F.desc("score"), F.desc("ts"), "doc_id").select(F.lit(c["case_id"]).alias("case_id"), "rank", F.col("doc_id").alias("key"), F.col("session_id").alias("session")))
-        results = out[0]
-        for x in out[1:]:
-            results = results.unionByName(x)
+        views = {i: (c["case_id"], v) for i, (c, v) in enumerate((c, v) for c in listed for v in dict.fromkeys(q.strip() for q in c["queries"]) if v)}
+        hits = lexical.bm25_each(self.records, "text", {i: v for i, (_, v) in views.items()}, stemmed)
+        own = ranking.ranked(hits, F.desc("score"), F.desc("ts"), "doc_id", by=["case"]).where(F.col("rank") <= ranking.candidates(limit))
+        names = F.create_map(*[x for i, (case, _) in views.items() for x in (F.lit(i), F.lit(case))])
+        fused = own.groupBy(names[F.col("case")].alias("case_id"), "doc_id").agg(F.sum(F.lit(1.0) / (ranking.RRF_K + F.col("rank"))).alias("score"), F.first("session_id").alias("session"), F.first("ts").alias("ts"))
+        results = ranking.ranked(fused, F.desc("score"), F.desc("ts"), "doc_id", by=["case_id"]).where(F.col("rank") <= limit).select("case_id", "rank", F.col("doc_id").alias("key"), "session")
         qrels = cases.select("case_id", F.explode("relevant").alias("r")).select("case_id", F.col("r.doc_id").alias("key"), F.col("r.relevance").alias("relevance"))
         return evaluate.evaluate(results, qrels, k)
 

@@ -10,7 +10,7 @@ import math
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions.stem import stem, stems
@@ -72,6 +72,42 @@ def stemmed_query(q: Query) -> Query:
     return Query(each(q.terms), each(q.must), each(q.must_not), tuple(map(each, q.phrases)), {stem(w): b for w, b in q.boosts.items()})
 
 
+def _counted(docs: DataFrame, text: str, words: list[str], stemmed: bool) -> DataFrame:
+    """docs with _tokens, _len and the count of each word."""
+    t = docs.withColumn("_tokens", F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")))
+    t = (t.withColumn("_tokens", stems(F.col("_tokens"))) if stemmed else t).withColumn("_len", F.size("_tokens"))
+    return t.withColumns({f"_tf{i}": _count_of(w) for i, w in enumerate(words)})
+
+
+def _statistics(counted: DataFrame, words: list[str]) -> Row:
+    return counted.agg(F.count("*").alias("n"), F.avg("_len").alias("avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]).first()
+
+
+def _judged(q: Query, words: list[str], stats: Row) -> tuple[Column, Column]:
+    """Whether a counted row matches, and its score."""
+    at = {w: i for i, w in enumerate(words)}
+    has = lambda w: F.col(f"_tf{at[w]}") > 0
+    n, avg = stats["n"], stats["avg"] or 1.0
+    score = F.lit(0.0)
+    for w in q.scored:
+        df, tf = stats[f"df{at[w]}"], F.col(f"_tf{at[w]}").cast("double")
+        idf = math.log(1 + (n - df + 0.5) / (df + 0.5)) * q.boosts.get(w, 1.0)
+        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.lit(avg)))
+    hit = F.lit(True)
+    if q.terms and not (q.must or q.phrases):
+        hit = F.lit(False)
+        for w in q.terms:
+            hit = hit | has(w)
+    for w in q.must:
+        hit = hit & has(w)
+    line = F.concat(F.lit(" "), F.array_join("_tokens", " "), F.lit(" "))
+    for p in q.phrases:
+        hit = hit & line.contains(f" {' '.join(p)} ")
+    for w in q.must_not:
+        hit = hit & ~F.array_contains("_tokens", w)
+    return hit, score
+
+
 def bm25(docs: DataFrame, text: str, query: Query | str, stemmed: bool = False) -> DataFrame:
     """docs that match, with ``score``; without any words every row matches with score 1. Null texts have no tokens.
 
@@ -83,29 +119,23 @@ def bm25(docs: DataFrame, text: str, query: Query | str, stemmed: bool = False)
     words = q.scored
     if not words and not q.must_not:
         return docs.withColumn("score", F.lit(1.0))
-    t = docs.withColumn("_tokens", F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")))
-    t = (t.withColumn("_tokens", stems(F.col("_tokens"))) if stemmed else t).withColumn("_len", F.size("_tokens"))
-    for i, w in enumerate(words):
-        t = t.withColumn(f"_tf{i}", _count_of(w))
-    stats = t.agg(F.count("*").alias("n"), F.avg("_len").alias("avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]).first()
-    n, avg = stats["n"], stats["avg"] or 1.0
-    hit = F.lit(False) if q.terms else F.lit(not words or bool(q.must or q.phrases))
-    score = F.lit(0.0)
-    for i, w in enumerate(words):
-        idf = math.log(1 + (n - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5))
-        tf = F.col(f"_tf{i}").cast("double")
-        score = score + F.lit(idf * q.boosts.get(w, 1.0)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.lit(avg)))
-        hit = hit | (F.col(f"_tf{i}") > 0) if w in q.terms else hit
-    if q.must or q.phrases:
-        hit = F.lit(True)
-    for w in q.must:
-        hit = hit & (F.col(f"_tf{words.index(w)}") > 0)
-    line = F.concat(F.lit(" "), F.array_join("_tokens", " "), F.lit(" "))
-    for p in q.phrases:
-        hit = hit & line.contains(f" {' '.join(p)} ")
-    for w in q.must_not:
-        hit = hit & ~F.array_contains("_tokens", w)
-    return t.where(hit).withColumn("score", score).drop("_tokens", "_len", *[f"_tf{i}" for i in range(len(words))])
+    t = _counted(docs, text, words, stemmed)
+    hit, score = _judged(q, words, _statistics(t, words))
+    return t.where(hit).withColumn("score", score).select(*docs.columns, "score")
+
+
+def bm25_each(docs: DataFrame, text: str, queries: dict[int, Query | str], stemmed: bool = False) -> DataFrame:
+    """docs that match, with ``case`` and ``score``, for many queries in one pass over the texts; each query must have words."""
+    parsed = {k: parse(q) if isinstance(q, str) else q for k, q in queries.items()}
+    parsed = {k: stemmed_query(q) for k, q in parsed.items()} if stemmed else parsed
+    if not all(q.scored for q in parsed.values()):
+        raise ValueError("each of several queries needs words that score")
+    words = list(dict.fromkeys(w for q in parsed.values() for w in q.scored))
+    t = _counted(docs, text, words, stemmed)
+    stats = _statistics(t, words)
+    judged = [_judged(q, words, stats) for q in parsed.values()]
+    each = F.array(*[F.when(hit, F.struct(F.lit(k).alias("case"), score.alias("score"))) for k, (hit, score) in zip(parsed, judged, strict=True)])
+    return t.select(*docs.columns, F.inline(F.filter(each, lambda x: x.isNotNull())))
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:

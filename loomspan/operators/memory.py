@@ -93,12 +93,10 @@ def search(parts: DataFrame, views: list[str], limit: int, per_document: int = 2
     if not views or views == ["*"]:
         hits = parts.select(*key).withColumn("score", F.lit(1.0))
     else:
-        ranked = []
-        for v in views:
-            fields = [lexical.bm25(parts, f, v).select(*key, (F.col("score") * w).alias("score")) for f, w in (("content", 1.0), ("heading", 1.5), ("title", 1.25))]
-            summed = fields[0].unionByName(fields[1]).unionByName(fields[2]).groupBy(*key).agg(F.round(F.sum("score"), 6).alias("score"))
-            ranked.append(ranking.ranked(lexical.top(summed, depth, *key), F.desc("score"), *key))
-        hits = ranking.rrf(ranked, key)
+        cases = dict(enumerate(views))
+        fields = [lexical.bm25_each(parts, f, cases).select("case", *key, (F.col("score") * w).alias("score")) for f, w in (("content", 1.0), ("heading", 1.5), ("title", 1.25))]
+        summed = fields[0].unionByName(fields[1]).unionByName(fields[2]).groupBy("case", *key).agg(F.round(F.sum("score"), 6).alias("score"))
+        hits = ranking.rrf_cases(summed, key, depth)
     return lexical.top(ranking.capped(hits, ["doc_id"], per_document, F.desc("score"), "section"), limit, *key)
 
 

@@ -55,6 +55,12 @@ def capped(hits: DataFrame, by: list[str], most: int, *order: Column | str) -> D
     return ranked(hits, *order, by=by, name="_n").where(F.col("_n") <= most).drop("_n")
 
 
+def rrf_cases(hits: DataFrame, keys: list[str], depth: int) -> DataFrame:
+    """``rrf`` of the views that the column ``case`` tells apart, of each its best ``depth`` hits."""
+    own = ranked(hits, F.desc("score"), *keys, by=["case"]).where(F.col("rank") <= depth)
+    return own.groupBy(*keys).agg(F.sum(F.lit(1.0) / (RRF_K + F.col("rank"))).alias("score"))
+
+
 def federated(lists: DataFrame, machines: int) -> DataFrame:
     """Ranked lists of several machines in one; with more than one machine each score becomes 1 / (60 + rank in its machine)."""
     if machines < 2:

@@ -94,14 +94,11 @@ _CASES = [(1, "refresh task"), (2, "segment merger"), (3, "query planner"), (4,
 def evaluation(spark: SparkSession, sf: str) -> DataFrame:
     """Five questions, each relevant where a document says both words in a row."""
     docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "text", "source")
-    out, rels = [], []
-    for case, words in _CASES:
-        hits = lexical.top(lexical.bm25(docs, "text", words).withColumn("score", F.round("score", 6)), 50, "doc_id")
-        out.append(ranking.ranked(hits, F.desc("score"), "doc_id").select(F.lit(case).alias("case_id"), "rank", F.col("doc_id").alias("key"), F.col("source").alias("session")))
-        rels.append(docs.where(F.lower("text").contains(words)).select(F.lit(case).alias("case_id"), F.col("doc_id").alias("key"), (1 + F.col("doc_id") % 3).alias("relevance")))
-    results, qrels = out[0], rels[0]
-    for a, b in zip(out[1:], rels[1:], strict=True):
-        results, qrels = results.unionByName(a), qrels.unionByName(b)
+    hits = lexical.bm25_each(docs, "text", dict(_CASES)).withColumn("score", F.round("score", 6))
+    top = ranking.capped(hits, ["case"], 50, F.desc("score"), "doc_id")
+    results = ranking.ranked(top, F.desc("score"), "doc_id", by=["case"]).select(F.col("case").alias("case_id"), "rank", F.col("doc_id").alias("key"), F.col("source").alias("session"))
+    said = F.array(*[F.when(F.lower("text").contains(words), F.lit(case)) for case, words in _CASES])
+    qrels = docs.select(F.explode(F.filter(said, lambda c: c.isNotNull())).alias("case_id"), F.col("doc_id").alias("key"), (1 + F.col("doc_id") % 3).alias("relevance"))
     e = evaluate.evaluate(results, qrels, 20)
     return e.select("case_id", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")], "unique_sessions")
 

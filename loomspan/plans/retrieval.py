@@ -134,9 +134,9 @@ SQL["search_sessions_page"] = f"""{_BASE}, h AS (SELECT *, round(score, 6) AS r
 
 def search_multi_query(spark: SparkSession, sf: str) -> DataFrame:
     """Three views of a question, fused by reciprocal ranks."""
-    r = records(spark, sf)
-    views = [ranking.ranked(lexical.top(lexical.bm25(r, "text", q).withColumn("score", F.round("score", 6)), 100, "doc_id"), F.desc("score"), "doc_id") for q in ("refresh task", "segment merger", "query planner")]
-    return ranking.rrf(views, ["doc_id"]).select("doc_id", F.round("score", 9).alias("score"))
+    hits = lexical.bm25_each(records(spark, sf).select("doc_id", "text"), "text", {0: "refresh task", 1: "segment merger", 2: "query planner"})
+    fused = ranking.rrf_cases(hits.withColumn("score", F.round("score", 6)), ["doc_id"], 100)
+    return fused.select("doc_id", F.round("score", 9).alias("score"))
 
 
 SQL["search_multi_query"] = (
