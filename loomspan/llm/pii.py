@@ -17,6 +17,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,8 +77,8 @@ _TOKEN = re.compile(rf"[{_L}_]+|\d+|[^\s]|\n")
 SHAPE = "|shape|"
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
-CANDIDATE = "doc_id long, kind string, start int, end int, surface string, strong boolean, given string, family string, patterns array<string>"
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surface", pa.string()), ("strong", pa.bool_()), ("given", pa.string()), ("family", pa.string()), ("patterns", pa.list_(pa.string()))])
+CANDIDATE = "doc_id long, kind string, start int, end int, surface string, strong boolean, given string, family string, patterns array<bigint>"
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surface", pa.string()), ("strong", pa.bool_()), ("given", pa.string()), ("family", pa.string()), ("patterns", pa.list_(pa.int64()))])
 
 
 def fold(word: str) -> str:
@@ -169,6 +170,11 @@ def candidates(text: str, lexicon: dict[str, str]) -> Iterator[tuple]:
             yield "name", s, e, all(known), g, f
 
 
+def pattern_id(pattern: str) -> int:
+    """A pattern as a number of 63 bits, odd for shapes; tables of patterns hold these alone."""
+    return xxhash.xxh64_intdigest(pattern) >> 2 << 1 | (SHAPE in pattern)
+
+
 def _find(lexicon: dict[str, str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,7 +187,7 @@ def _find(lexicon: dict[str, str]):
                             label = ID_LABEL.search(text[max(0, s - 40) : s])
                             before = max(0, s - 40) + label.start()
                         around = [] if kind == "email" else _context(text, s, e, kind) if before == s else _context(text[:before] + text[s:], before, before + e - s, kind)
-                        rows.append((i, kind, s, e, text[s:e], strong, g, f, around))
+                        rows.append((i, kind, s, e, text[s:e], strong, g, f, [pattern_id(x) for x in around]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 9, _SCHEMA, strict=True)], schema=_SCHEMA)
 
     return run
@@ -202,10 +208,10 @@ def confident_patterns(found: DataFrame, confidence: float, support: int, shape_
     are seeds. The written shape of a filling is a pattern too, and needs
     ``shape_confidence``, as it holds for all contexts.
     """
-    each = found.select("doc_id", "surface", "seed", F.explode("patterns").alias("pattern"))
+    each = found.select(F.xxhash64("surface").alias("surface"), "seed", F.explode("patterns").alias("pattern"))
     by_filling = each.groupBy("pattern", "surface").agg(F.max(F.col("seed").cast("int")).alias("seed"))
     stats = by_filling.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.count("*").alias("fillings"))
-    return stats.where((F.col("seeds") >= support) & (F.col("seeds") >= F.when(F.col("pattern").contains(SHAPE), shape_confidence).otherwise(confidence) * F.col("fillings"))).select("pattern")
+    return stats.where((F.col("seeds") >= support) & (F.col("seeds") >= F.when(F.col("pattern") % 2 == 1, shape_confidence).otherwise(confidence) * F.col("fillings"))).select("pattern")
 
 
 def _vouched(found: DataFrame, patterns: DataFrame) -> DataFrame:
