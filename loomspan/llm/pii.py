@@ -32,6 +32,7 @@ _AT = r"(?:@|\s?[\[({]\s?at\s?[\])}]\s?)"
 _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?)"
 EMAIL = re.compile(rf"(?<![{_L}0-9._%+-])[{_L}0-9][{_L}0-9._%+-]*{_AT}[{_L}0-9-]+(?:{_DOT}[{_L}0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![{_L}0-9-])", re.I)
 SPOKEN = re.compile(rf"(?<![{_L}0-9._%+-])[{_L}0-9][{_L}0-9._%+-]* at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+(?![{_L}0-9-])", re.I)
+_SIGN = re.compile(r"@|[\[({]\s?at\s?[\])}]", re.I)
 _REMOTE = re.compile(r":(?!\s|$)[\w~/.-]+/|:[\w.-]+\.git")
 PHONE = re.compile(
     r"""(?<![A-Za-z0-9_.,/+-])(?:
@@ -87,7 +88,8 @@ def fold(word: str) -> str:
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Addresses, also with signs spelled out; neither remotes of repositories nor package versions."""
-    for form in (EMAIL, SPOKEN):
+    low = text.lower()
+    for form in [EMAIL] * bool(_SIGN.search(text)) + [SPOKEN] * (" at " in low and " dot " in low):
         for m in form.finditer(text):
             if not _REMOTE.match(text, m.end()) and not text[max(0, m.start() - 3) : m.start()].endswith("://"):
                 yield m.start(), m.end()
