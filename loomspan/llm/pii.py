@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -115,9 +115,11 @@ def _context(text: str, start: int, end: int, kind: str) -> list[str]:
     return out
 
 
-def name_spans(text: str) -> Iterator[tuple[int, int, str | None, str, bool]]:
+def name_spans(text: str, likely: Callable[[str], bool] = lambda _: True) -> Iterator[tuple[int, int, str | None, str, bool]]:
     """(start, end, given, family, capitalised) of every span with the form of a full name; an initial in place of the given name leaves it None.
 
+    Spans whose first whole word isn't ``likely`` are passed over; so are those after an initial whose family isn't.
+
     Forms: given family, given I. family, I. family, family, given and family, given I.
     Each pair of neighbouring words is offered in all roles that its form allows.
     """
@@ -125,9 +127,9 @@ def name_spans(text: str) -> Iterator[tuple[int, int, str | None, str, bool]]:
     for i, (s, e, w) in enumerate(words):
         if len(w) == 1 and w.isupper() and text[e : e + 2] == ". " and i + 1 < len(words) and words[i + 1][0] == e + 2:
             s2, e2, w2 = words[i + 1]
-            if len(w2) > 1 and (i == 0 or not (words[i - 1][1] == s - 1 and text[s - 1] == " " and words[i - 1][2][0].isupper() and len(words[i - 1][2]) > 1)):
+            if len(w2) > 1 and likely(w2) and (i == 0 or not (words[i - 1][1] == s - 1 and text[s - 1] == " " and words[i - 1][2][0].isupper() and len(words[i - 1][2]) > 1)):
                 yield s, e2, None, w2, w2[0].isupper()
-        if len(w) < 2 or i + 1 >= len(words):
+        if len(w) < 2 or i + 1 >= len(words) or not likely(w):
             continue
         s2, e2, w2 = words[i + 1]
         if s2 == e + 1 and text[e] == " ":
@@ -165,7 +167,7 @@ def candidates(text: str, lexicon: dict[str, str]) -> Iterator[tuple]:
     for m in LOOSE_STREET.finditer(text):
         if free(*m.span()) and all(m.end() <= a or m.start() >= b for a, b in streets):
             yield "address", m.start(), m.end(), False, None, None
-    for s, e, given, family, capitalised in name_spans(text):
+    for s, e, given, family, capitalised in name_spans(text, lambda w: w[0].isupper() or w in lexicon):
         g, f = given and fold(given), fold(family)
         known = lexicon.get(g) == "given", lexicon.get(f) == "family"
         if (capitalised or all(known)) and free(s, e):
@@ -303,7 +305,7 @@ def _names(words: dict[str, set[str]] | None):
                     known = words
                 taken = list(emails(text))
                 got = []
-                for s, e, given, family, _ in name_spans(text):
+                for s, e, given, family, _ in name_spans(text, lambda w: w.lower() in known or fold(w) in known):  # noqa: B023
                     if "family" in known.get(fold(family), ()) and (given is None or "given" in known.get(fold(given), ())) and all(e <= x or s >= y for x, y in taken):
                         got.append((s, e))
                 rows += [(i, "name", s, e, text[s:e]) for s, e in apart(got)]
