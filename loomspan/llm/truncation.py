@@ -33,7 +33,7 @@ def incomplete_ending(text: Column) -> Column:
     texts don't break off.
     """
     r = F.rtrim(F.regexp_replace(text, r"\s+$", ""))
-    structured = r.rlike(r"[.?!。！？]\s|\n") | (F.length(r) >= SHORT)
+    structured = r.rlike(r"[.?!]\s|[。！？].|\n") | (F.length(r) >= SHORT)
     last = r.rlike(r"(?:[\p{L}\p{N}\p{M}]|[,:;/_(\[{<=+*\\&@#$%-])$")
     closed = r.rlike(r"(?i)exit (?:code|status):? -?\d+$")
     blank = F.length(r) == 0
