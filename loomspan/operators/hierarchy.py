@@ -5,8 +5,9 @@ parents is contracted to the point where it leaves the partition (its exit), end
 in a root, or runs into a cycle. The exits form a much smaller quotient forest,
 which is solved the same way with coarser partitions and lies in one partition in
 the end; its answers then expand those of the level above. A quotient that no
-longer shrinks is solved by pointer doubling with joins instead, so no shape of
-the forest gathers more than one partition's rows in a task.
+longer shrinks, and nodes of which too many share one locality and position, are
+solved by pointer doubling with joins instead, so no shape of the forest and no
+hot group gathers more than about a partition's rows in a task.
 """
 
 from __future__ import annotations
@@ -75,10 +76,19 @@ def _contract(paths: bool):
     return run
 
 
+def _fragment(level: int) -> Column:
+    """What is near at a level: a block of positions of one locality."""
+    return F.xxhash64("loc", F.shiftright("pos", 13 * (level + 1)))
+
+
+def _crowded(nodes: DataFrame, level: int, rows: int) -> bool:
+    """Whether one fragment alone holds more than two partitions are meant to."""
+    return (nodes.groupBy(_fragment(level)).count().agg(F.max("count")).first()[0] or 0) > 2 * rows
+
+
 def _level(nodes: DataFrame, n: int, level: int, rows: int, paths: bool) -> DataFrame:
     parts = max(1, -(-n // rows))
-    frag = F.xxhash64("loc", F.shiftright("pos", 13 * (level + 1)))
-    return nodes.repartition(parts, frag).select("node", "parent", "w", "low", "root", "rdepth", "seg", "loc", "pos").mapInArrow(_contract(paths), LEVEL)
+    return nodes.repartition(parts, _fragment(level)).select("node", "parent", "w", "low", "root", "rdepth", "seg", "loc", "pos").mapInArrow(_contract(paths), LEVEL)
 
 
 def _double(nodes: DataFrame) -> DataFrame:
@@ -109,6 +119,11 @@ def _solve(nodes: DataFrame, n: int, level: int, rows: int, paths: bool) -> Data
     A parentless node carries its own root and rdepth. A node whose parent isn't
     a node is the root of what hangs below it.
     """
+    if n > rows and _crowded(nodes, level, rows):  # a fragment is too large for one task
+        there = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("there"))
+        own = nodes.join(there, "parent", "left")
+        up = F.when(F.col("there"), F.col("parent"))
+        return _double(own.select("node", up.alias("parent"), F.when(F.col("there"), F.col("w")).otherwise(F.lit(0).cast("bigint")).alias("w"), "low", F.coalesce("root", "node").alias("root"), "rdepth", F.coalesce("seg", F.lit("")).alias("seg")))
     c = _level(nodes, n, level, rows, paths)
     if n <= rows:  # one partition: what leaves it leads nowhere
         top = F.when(F.col("exit").isNotNull(), F.col("top")).otherwise(F.coalesce("root", "top"))

@@ -47,6 +47,14 @@ def test_long_chain_over_partitions(spark):
     assert got == {k: int(k[1:]) for k in parents}
 
 
+def test_hot_group_without_positions(spark):
+    """All nodes share one locality and position, far more than a partition is meant to hold."""
+    parents = forest(random.Random(11), 120)
+    df = spark.createDataFrame([(k, v, i, i, i) for i, (k, v) in enumerate(parents.items())], SCHEMA)
+    got = {r["node"]: (r["root"], r["depth"], r["path"]) for r in hierarchy(df, "node", "parent", F.lit("f"), paths=True, partition_rows=20).collect()}
+    assert got == brute(parents)
+
+
 def test_doubling_alone(spark):
     parents = forest(random.Random(3), 80)
     parents = {k: v if v in parents else None for k, v in parents.items()}
