@@ -9,17 +9,20 @@ so a file of any number of lines costs a row for each distinct change.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions.rawjson import dump, kind, parse_object
 
 BITS = {"null": 1, "boolean": 2, "number": 4, "string": 8, "object": 16, "array": 32}
 OBSERVED = "source_path string, owner string, field string, change string, mask int"
+OBJECTS = "source_path string, line_no int, written_at timestamp_ntz, owner string, path string, held map<string,string>, other_fields string, changes array<struct<field:string,change:string>>"
 HEADS = ("title", "session")
+_NUMBER = re.compile(r"[+-]?[0-9]{1,300}(\.[0-9]+)?")
 
 Agreed = dict[str, dict[str, tuple[str, bool]]]
 
@@ -57,27 +60,27 @@ def compare(obj: dict, fields: dict[str, tuple[str, bool]]) -> tuple[list[tuple[
     return changes, names
 
 
-def line_objects(obj: dict, agreed: Agreed, step: bool) -> Iterator[tuple[str, dict, list[tuple[str, str]], dict[str, str]]]:
-    """(owner, object, changes, names) of a line and the objects in it that have agreed fields."""
+def line_objects(obj: dict, agreed: Agreed, step: bool) -> Iterator[tuple[str, str, dict, list[tuple[str, str]], dict[str, str]]]:
+    """(owner, path in the line, object, changes, names) of a line and the objects in it that have agreed fields."""
     if not step:
         owner = next((v for v in (obj.get("type"), *obj.values()) if v in HEADS), None)
         if owner in agreed:
-            yield owner, obj, *compare(obj, agreed[owner])
+            yield owner, "", obj, *compare(obj, agreed[owner])
         return
     if "step" not in agreed:
         return
     changes, names = compare(obj, agreed["step"])
-    yield "step", obj, changes, names
+    yield "step", "", obj, changes, names
     calls = obj.get(names.get("tool_calls"))
-    for call in calls if isinstance(calls, list) else [calls]:
+    for i, call in enumerate(calls if isinstance(calls, list) else [calls]):
         if not isinstance(call, dict) or "call" not in agreed:
             continue
         changes, names = compare(call, agreed["call"])
-        yield "call", call, changes, names
+        yield "call", f"tool_calls[{i}]", call, changes, names
         tool, args = call.get(names.get("name")), call.get(names.get("args"))
         args = parse_object(args) if isinstance(args, str) else args
         if isinstance(tool, str) and isinstance(args, dict) and tool in agreed and tool not in ("step", "call", *HEADS):
-            yield tool, args, *compare(args, agreed[tool])
+            yield tool, f"tool_calls[{i}].args", args, *compare(args, agreed[tool])
 
 
 def _visit(agreed: Agreed, step: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -88,9 +91,10 @@ def _visit(agreed: Agreed, step: bool) -> Callable[[Iterator[pa.RecordBatch]], I
                 obj = parse_object(raw)
                 if obj is None or path is None:
                     continue
-                for owner, it, changes, _ in line_objects(obj, agreed, step):
+                for owner, _, it, changes, names in line_objects(obj, agreed, step):
+                    agreed_name = {k: f for f, k in names.items()}
                     for f, v in it.items():
-                        key = (path, owner, f, "")
+                        key = (path, owner, agreed_name.get(f, f), "")
                         seen[key] = seen.get(key, 0) | BITS[kind(v)]
                     for f, change in changes:
                         seen[path, owner, f, change] = 0
@@ -119,7 +123,7 @@ def file_changes(transcript: DataFrame, heads: DataFrame, schema_fields: DataFra
 
 
 def union_schema(transcript: DataFrame, heads: DataFrame, schema_fields: DataFrame) -> DataFrame:
-    """(owner, field, union_type, files): the type that all files' values of a field are to be cast to."""
+    """(owner, field, union_type, files): the type that all files' values of a field are to be cast to, a renamed field counting under its agreed name."""
     agreed = agreed_fields(schema_fields)
     both = observed(transcript, agreed, True).unionByName(observed(heads, agreed, False)).where("change = ''")
     folded = both.groupBy("owner", "field").agg(F.bit_or("mask").alias("mask"), F.count("*").alias("files"))
@@ -139,6 +143,16 @@ def _cast(value: object, json_type: str) -> str | None:
     return dump(value)
 
 
+def _is_double(value: object) -> bool:
+    """Whether a value, or the number that a text holds, is the same as a double; null is."""
+    if value is None or isinstance(value, float):
+        return True
+    if isinstance(value, str):
+        m = _NUMBER.fullmatch(value)
+        return bool(m) and (bool(m[1]) or _is_double(int(value)))
+    return isinstance(value, int) and not isinstance(value, bool) and abs(value) < 2**1023 and int(float(value)) == value
+
+
 def _rows(agreed: Agreed, fields: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,6 +167,7 @@ def _rows(agreed: Agreed, fields: list[str]) -> Callable[[Iterator[pa.RecordBatc
                 for f, column in zip(fields, columns, strict=True):
                     column.append(_cast(obj.get(names.get(f, f)), agreed["step"][f][0]))
                 rest = {k: v for k, v in obj.items() if k not in names.values()}
+                rest |= {f: obj[k] for f, k in names.items() if agreed["step"][f][0] == "number" and not _is_double(obj[k])}
                 extra.append(dump(rest) if rest else None)
             text = [pa.array(c, pa.string()) for c in (paths, *columns, extra)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *text], names=["line_id", "source_path", *fields, "other_fields"])
@@ -163,11 +178,86 @@ def _rows(agreed: Agreed, fields: list[str]) -> Callable[[Iterator[pa.RecordBatc
 def consistent_steps(transcript: DataFrame, schema_fields: DataFrame) -> DataFrame:
     """The steps of all files in one table: line_id, source_path, the agreed fields under their agreed names, and other_fields.
 
-    Numbers are double, null where the text is no number; arrays and objects are
-    JSON text, a lone object becoming an array of one. Lines that aren't whole
-    JSON objects are left out.
+    Numbers are double, null where the text is no number; other_fields then has
+    the value under the agreed name. Arrays and objects are JSON text, a lone
+    object becoming an array of one. Lines that aren't whole JSON objects are
+    left out. ``consistent_table`` has all owners, in the types of the union.
     """
     agreed = agreed_fields(schema_fields)
     fields = sorted(agreed.get("step", {}))
     out = transcript.select("line_id", "source_path", "raw").mapInArrow(_rows(agreed, fields), ", ".join(["line_id long", "source_path string", *[f"{f} string" for f in fields], "other_fields string"]))
     return out.select("line_id", "source_path", *[F.col(f).try_cast("double").alias(f) if agreed["step"][f][0] == "number" else F.col(f) for f in fields], "other_fields")
+
+
+def union_types(transcript: DataFrame, heads: DataFrame, schema_fields: DataFrame) -> dict[str, dict[str, str]]:
+    """owner -> agreed field -> union type; the agreed type where no file has a value of the field."""
+    agreed = agreed_fields(schema_fields)
+    own = schema_fields.select("owner", "field").distinct()
+    seen = {(r["owner"], r["field"]): r["union_type"] for r in union_schema(transcript, heads, schema_fields).join(F.broadcast(own), ["owner", "field"], "left_semi").where("union_type <> 'null'").collect()}
+    return {o: {f: seen.get((o, f), t) for f, (t, _) in fields.items()} for o, fields in agreed.items()}
+
+
+def _objects(agreed: Agreed, types: dict[str, dict[str, str]], step: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    pairs = pa.list_(pa.struct([("field", pa.string()), ("change", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, owners, paths, held, extra, changed = [], [], [], [], [], []
+            for n, raw in enumerate(b["raw"].to_pylist()):
+                obj = parse_object(raw)
+                if obj is None:
+                    continue
+                for owner, path, it, changes, names in list(line_objects(obj, agreed, step)) or [(None, "", obj, [], {})]:
+                    own = {f: (it[k], types[owner][f]) for f, k in names.items() if it[k] is not None}
+                    rest = {k: v for k, v in it.items() if k not in names.values()}
+                    rest |= {f: v for f, (v, t) in own.items() if t == "number" and not _is_double(v)}
+                    at.append(n)
+                    owners.append(owner)
+                    paths.append(path)
+                    held.append([(f, v if t == "string" and isinstance(v, str) else dump(v)) for f, (v, t) in own.items()])
+                    extra.append(dump(rest) if rest else None)
+                    changed.append([{"field": f, "change": c} for f, c in changes])
+            keys = [b[c].take(pa.array(at, pa.int64())) for c in ("source_path", "line_no", "written_at")]
+            text = [pa.array(c, pa.string()) for c in (owners, paths)]
+            yield pa.RecordBatch.from_arrays([*keys, *text, pa.array(held, pa.map_(pa.string(), pa.string())), pa.array(extra, pa.string()), pa.array(changed, pairs)], names=["source_path", "line_no", "written_at", "owner", "path", "held", "other_fields", "changes"])
+
+    return run
+
+
+def _all_objects(transcript: DataFrame, heads: DataFrame, agreed: Agreed, types: dict[str, dict[str, str]]) -> DataFrame:
+    each = [t.select("source_path", "line_no", F.col("written_at").cast("timestamp_ntz").alias("written_at"), "raw").mapInArrow(_objects(agreed, types, step), OBJECTS) for t, step in ((transcript, True), (heads, False))]
+    return each[0].unionByName(each[1])
+
+
+def consistent_table(transcript: DataFrame, heads: DataFrame, schema_fields: DataFrame) -> DataFrame:
+    """Every object of both inputs in one table: source_path, line_no, written_at, owner, path in the line, fields and other_fields.
+
+    An object is a step, a call, the arguments of an agreed tool, a title or a
+    session. fields has a struct for each owner, null but for the row's own, with
+    the agreed fields under their agreed names in the types of ``union_schema``:
+    numbers are double, booleans boolean, strings text, all else JSON text.
+    other_fields keeps what isn't agreed as JSON, and numbers that no double
+    holds. Lines of no known owner have other_fields alone; lines that aren't
+    whole JSON objects are left out.
+    """
+    agreed, types = agreed_fields(schema_fields), union_types(transcript, heads, schema_fields)
+    cast = {"number": "double", "boolean": "boolean"}
+
+    def typed(f: str, t: str) -> Column:
+        return F.try_element_at("held", F.lit(f)).try_cast(cast.get(t, "string")).alias(f)
+
+    structs = [F.when(F.col("owner") == o, F.struct(*[typed(f, t) for f, t in sorted(types[o].items())])).alias(o) for o in sorted(types)]
+    fields = F.struct(*structs) if structs else F.lit(None).cast("string")
+    return _all_objects(transcript, heads, agreed, types).select("source_path", "line_no", "written_at", "owner", "path", fields.alias("fields"), "other_fields")
+
+
+def difference_log(transcript: DataFrame, heads: DataFrame, schema_fields: DataFrame) -> DataFrame:
+    """(file_time, source_path, line_no, owner, path, field, change) of every difference of every line, in the order of file time and line.
+
+    The time of a file is that of its first row. Rows without path don't count, as in ``file_changes``.
+    """
+    agreed = agreed_fields(schema_fields)
+    types = {o: {f: t for f, (t, _) in fields.items()} for o, fields in agreed.items()}
+    files = transcript.select("source_path", "written_at").unionByName(heads.select("source_path", "written_at")).groupBy("source_path").agg(F.min(F.col("written_at").cast("timestamp_ntz")).alias("file_time"))
+    each = _all_objects(transcript, heads, agreed, types).select("source_path", "line_no", "owner", "path", F.inline("changes"))
+    return each.join(files, "source_path").select("file_time", "source_path", "line_no", "owner", "path", "field", "change").orderBy("file_time", "source_path", "line_no", "path", "field", "change")

@@ -62,6 +62,16 @@ def p5_steps(spark: SparkSession, sf: str) -> DataFrame:
     return drift.consistent_steps(table(spark, sf, "transcript"), table(spark, sf, "schema_fields"))
 
 
+def p5_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Steps, calls, arguments of tools, titles and sessions in one table, in the types of p5_schema."""
+    return drift.consistent_table(*[table(spark, sf, t) for t in ("transcript", "omp_head", "schema_fields")])
+
+
+def p5_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Every difference of every line, in the order of file time and line."""
+    return drift.difference_log(*[table(spark, sf, t) for t in ("transcript", "omp_head", "schema_fields")])
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return nested.array_objects(table(spark, sf, "omp"), table(spark, sf, "transcript"))
 
@@ -72,7 +82,7 @@ def p6_items(spark: SparkSession, sf: str) -> DataFrame:
     return nested.flat_table(rows, "omp.message.content", "type string, text string, thinking string, data string, id string, name string, arguments string")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p4_found, p4_zones, p5_found, p5_schema, p5_steps, p6_found, p6_items)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p4_found, p4_zones, p5_found, p5_schema, p5_steps, p5_table, p5_log, p6_found, p6_items)}
 
 _WALK = """WITH RECURSIVE n AS (SELECT 'omp' AS k, id, min(parentid) AS p FROM omp WHERE id IS NOT NULL GROUP BY id UNION ALL SELECT 'sessions', session_id, min(parent_session_id) FROM sessions WHERE session_id IS NOT NULL GROUP BY session_id),
   v AS (SELECT n.k, n.id, q.id AS p FROM n LEFT JOIN n q ON q.k = n.k AND q.id = n.p),

@@ -1,4 +1,7 @@
 import json
+from datetime import datetime
+
+from pyspark.sql import functions as F
 
 from loomspan.operators import drift, nested
 from tests.conftest import item, omp_row
@@ -46,6 +49,32 @@ def test_union_schema_and_table(spark):
     assert rows[0]["content"] == "5" and rows[2]["tool_calls"] == '[{"name":"g"}]' and json.loads(rows[1]["other_fields"]) == {"n": "a"}
 
 
+def stamped(spark, rows):
+    return spark.createDataFrame([(path, n, datetime(2026, 1, day), r if isinstance(r, str) else json.dumps(r)) for path, n, day, r in rows], "source_path string, line_no int, written_at timestamp_ntz, raw string")
+
+
+def test_table_of_all_owners_and_log(spark):
+    schema = spark.createDataFrame(FIELDS, "owner string, field string, json_type string, is_optional boolean")
+    call = {"tool": "grep", "args": json.dumps({"Path": "a", "query": "b", "n": 1})}
+    t = stamped(spark, [("p", 0, 3, {"step_index": 1, "type": "T", "tool_calls": [call]}), ("p", 1, 3, {"step_index": "x", "kind": "U", "more": [1]}), ("p", 2, 3, '{"step_index":')])
+    h = stamped(spark, [("q", 2, 2, {"type": "session"}), ("q", 1, 2, {"type": "title", "v": 2**60 + 1}), ("r", 1, 1, {"kind": "title", "v": None})])
+    rows = {(r["source_path"], r["line_no"], r["path"]): r for r in drift.consistent_table(t, h, schema).collect()}
+    assert {k: r["owner"] for k, r in rows.items()} == {("p", 0, ""): "step", ("p", 0, "tool_calls[0]"): "call", ("p", 0, "tool_calls[0].args"): "grep", ("p", 1, ""): "step", ("q", 1, ""): "title", ("q", 2, ""): None, ("r", 1, ""): "title"}
+    step, args = rows["p", 1, ""], rows["p", 0, "tool_calls[0].args"]
+    assert step["fields"]["step"]["step_index"] == "x" and rows["p", 0, ""]["fields"]["step"]["step_index"] == "1" and step["fields"]["step"]["type"] == "U" and json.loads(step["other_fields"]) == {"more": [1]}
+    assert rows["p", 0, "tool_calls[0]"]["fields"]["call"].asDict() == {"name": "grep", "args": call["args"]}
+    assert args["fields"]["grep"].asDict() == {"Path": "a", "Query": "b"} and args["fields"]["step"] is None and json.loads(args["other_fields"]) == {"n": 1}
+    assert rows["r", 1, ""]["fields"]["title"].asDict() == {"type": "title", "v": None} and json.loads(rows["q", 1, ""]["other_fields"]) == {"v": 2**60 + 1} and json.loads(rows["q", 2, ""]["other_fields"]) == {"type": "session"}
+    log = [(r["source_path"], r["line_no"], r["owner"], r["field"], r["change"]) for r in drift.difference_log(t, h, schema).collect()]
+    assert log == [
+        ("r", 1, "title", "type", "renamed"), ("p", 0, "call", "args", "retyped"), ("p", 0, "call", "name", "renamed"), ("p", 0, "grep", "Query", "renamed"), ("p", 0, "grep", "n", "added"),
+        ("p", 1, "step", "more", "added"), ("p", 1, "step", "step_index", "retyped"), ("p", 1, "step", "type", "renamed"),
+    ]
+    assert ("step", "kind") not in {(r["owner"], r["field"]) for r in drift.union_schema(t, h, schema).collect()}
+    kept = {r["step_index"]: r["other_fields"] for r in drift.consistent_steps(t.withColumn("line_id", F.col("line_no").cast("long")), schema).collect()}
+    assert json.loads(kept[None]) == {"more": [1], "step_index": "x"} and kept[1.0] is None
+
+
 def test_array_objects(spark, omp):
     rows = [
         omp_row(1, items=[item(text="a"), None, item("toolCall", arguments='{"edits":[{"h":[{"x":1},null,[{"y":2}]]},3]}')]), omp_row(2, items=None), omp_row(3, message=False), omp_row(4, items=[]),
