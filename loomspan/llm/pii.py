@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -234,27 +235,37 @@ def accepted_numbers(found: DataFrame, rounds: int = 2, confidence: float = 0.2,
     return own.where("seed").select(*keys, "surface")
 
 
-def learned_names(found: DataFrame, lexicon: DataFrame, rounds: int = 3, confidence: float = 0.3, support: int = 3, share: float = 0.5, least_docs: int = 2) -> DataFrame:
-    """(token, role) of the name parts known in the end: those of the lexicon and those that confident patterns bring.
+def learned_names(found: DataFrame, lexicon: DataFrame, rounds: int = 3, confidence: float = 0.3, support: int = 3, share: float = 0.5, least_docs: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(token, role) of the name parts known in the end, those of the lexicon and those that confident patterns bring; and (doc_id, start, end, surface) of the names with other new parts that a confident pattern vouches for where they stand.
 
-    A new part must fill confident patterns in ``least_docs`` documents, and in
-    ``share`` of the documents in which it stands in a name's form at all.
+    A new part must fill confident patterns in ``share`` of the documents in which
+    it stands in a name's form at all. To be known in other places too, it must do
+    so in ``least_docs`` documents.
     """
     names = found.where("kind = 'name'").select("doc_id", "start", "end", "surface", "given", "family", "patterns")
     known = lexicon
-    for _ in range(rounds):
+    for k in range(rounds):
         role = lambda r: known.where(F.col("role") == r).select(F.col("token").alias(r), F.lit(True).alias(f"has_{r}"))
         marked = names.join(role("given"), "given", "left").join(role("family"), "family", "left")
         full = F.col("has_family").isNotNull() & (F.col("has_given").isNotNull() | F.col("given").isNull())
         good = confident_patterns(marked.withColumn("seed", full), confidence, support)
         vouched = names.select("doc_id", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern", "left_semi").select("doc_id", "start", "end").distinct().withColumn("ok", F.lit(True))
+        if k == rounds - 1:
+            vouched = cut(vouched)
         j = names.join(vouched, ["doc_id", "start", "end"], "left")
         parts = j.select("doc_id", F.coalesce("ok", F.lit(False)).alias("ok"), F.inline(F.array(F.struct(F.col("given").alias("token"), F.lit("given").alias("role")), F.struct(F.col("family").alias("token"), F.lit("family").alias("role"))))).where("token is not null")
         by_doc = parts.groupBy("token", "role", "doc_id").agg(F.max("ok").alias("ok"))
         votes = by_doc.groupBy("token", "role").agg(F.sum(F.col("ok").cast("int")).alias("good"), F.count("*").alias("docs"))
-        new = votes.where((F.col("good") >= least_docs) & (F.col("good") >= share * F.col("docs"))).select("token", "role")
-        known = cut(known.unionByName(new).distinct())
-    return known
+        fit = votes.where((F.col("good") >= 1) & (F.col("good") >= share * F.col("docs")))
+        if k == rounds - 1:
+            fit = cut(fit)
+        known = cut(known.unionByName(fit.where(F.col("good") >= least_docs).select("token", "role")).distinct())
+    single = fit.where(F.col("good") < least_docs).join(known, ["token", "role"], "left_anti").select("token", "role", F.lit(True).alias("new"))
+    usable = known.withColumn("new", F.lit(False)).unionByName(single)
+    part = lambda r: usable.where(F.col("role") == r).select(F.col("token").alias(r), F.col("new").alias(f"new_{r}"))
+    direct = names.drop("patterns").join(vouched, ["doc_id", "start", "end"], "left_semi").join(part("family"), "family").join(part("given"), "given", "left")
+    whole = F.col("given").isNull() | F.col("new_given").isNotNull()
+    return known, direct.where(whole & (F.col("new_family") | F.coalesce("new_given", F.lit(False)))).select("doc_id", "start", "end", "surface")
 
 
 def apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -329,6 +340,29 @@ def found_names(texts: DataFrame, known: DataFrame, most: int = 200_000) -> Data
     return texts.join(own, "doc_id").select("doc_id", "text", "known").mapInArrow(_names(None), schema)
 
 
+def _free_of_own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for i, spans in zip(b["doc_id"].to_pylist(), b["spans"].to_pylist(), strict=True):
+            own = apart([(x["start"], x["end"]) for x in spans if not x["new"]])
+            surfaces = {(x["start"], x["end"]): x["surface"] for x in spans if x["new"]}
+            starts = [s for s, _ in own]
+            for s, e in surfaces:
+                k = bisect_left(starts, e)  # the last own name that begins before the end
+                if k and own[k - 1][1] > s:
+                    surfaces[s, e] = None
+            rows += [(i, "name", s, e, surfaces[s, e]) for s, e in apart([x for x, t in surfaces.items() if t is not None])]
+        names = ["doc_id", "kind", "start", "end", "surface"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()], strict=True)], names=names)
+
+
+def with_vouched(names: DataFrame, vouched: DataFrame) -> DataFrame:
+    """names (doc_id, kind, start, end, surface) and those of vouched (doc_id, start, end, surface) that overlap none of them, nor each other."""
+    both = names.select("doc_id", "start", "end", "surface", F.lit(False).alias("new")).unionByName(vouched.withColumn("new", F.lit(True)))
+    by_doc = both.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "surface", "new")).alias("spans"), F.bool_or("new").alias("any")).where("any")
+    return names.unionByName(by_doc.select("doc_id", "spans").mapInArrow(_free_of_own, "doc_id long, kind string, start int, end int, surface string"))
+
+
 def mentions(documents: DataFrame, name_lexicon: DataFrame) -> DataFrame:
     """(doc_id, kind, start, end, surface) of every mention, start and end counting characters from 0.
 
@@ -339,8 +373,9 @@ def mentions(documents: DataFrame, name_lexicon: DataFrame) -> DataFrame:
     lexicon = seed_lexicon(name_lexicon)
     found = cut(texts.mapInArrow(_find(lexicon), CANDIDATE))
     seeds = spark.createDataFrame([(k, v) for k, v in sorted(lexicon.items())], "token string, role string")
-    known = learned_names(found, seeds)
-    return accepted_numbers(found).unionByName(found_names(texts, known))
+    known, vouched = learned_names(found, seeds)
+    names = with_vouched(cut(found_names(texts, known)), vouched)
+    return accepted_numbers(found).unionByName(names)
 
 
 def distinct_mentions(documents: DataFrame, name_lexicon: DataFrame) -> DataFrame:

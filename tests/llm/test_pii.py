@@ -76,3 +76,18 @@ def test_redaction_and_join_path(spark):
     known = spark.createDataFrame([("ada", "given"), ("falk", "family")], "token string, role string")
     both = [sorted(tuple(r) for r in pii.found_names(texts, known, most).collect()) for most in (100, 1)]
     assert both[0] == both[1] and [r[4] for r in both[0]] == ["Ada Falk", "ADA FALK", "Falk, Ada"]
+
+
+def test_names_of_a_single_document(spark):
+    """A name with new parts is found where a confident pattern vouches for it, in one document only; it isn't spread to other contexts."""
+    lex = [("Ada", "given"), ("Bela", "given"), ("Cleo", "given"), ("Dunmore", "family"), ("Eskrow", "family"), ("Falk", "family")]
+    texts = [f"Ask {g} {f} about the index." for g in ("Ada", "Bela", "Cleo") for f in ("Dunmore", "Eskrow", "Falk")]
+    texts += ["Ask Farid Zeltmark about the index.", "Ask Jolanta Falk about the index. Then Jolanta Falk left.", "Merge Policy waits.", "Ask Merge Policy about the index.", "The Merge Policy fails.", "Merge Policy again."]
+    got = {(i - 9, t) for i, k, t in found(spark, texts, lex) if k == "name" and i >= 9}
+    assert got == {(0, "Farid Zeltmark"), (1, "Jolanta Falk")}
+
+
+def test_vouched_names_dont_overlap(spark):
+    names = spark.createDataFrame([(1, "name", 0, 8, "Ada Falk"), (2, "name", 0, 8, "Ada Falk")], "doc_id long, kind string, start int, end int, surface string")
+    vouched = spark.createDataFrame([(1, 0, 8, "Ada Falk"), (1, 4, 12, "Falk Xyz"), (1, 8, 12, "A Bc"), (3, 0, 5, "Xy Zz"), (3, 3, 9, "Zz Long")], "doc_id long, start int, end int, surface string")
+    assert sorted((r["doc_id"], r["start"], r["end"]) for r in pii.with_vouched(names, vouched).collect()) == [(1, 0, 8), (1, 8, 12), (2, 0, 8), (3, 3, 9)]
