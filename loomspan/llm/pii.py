@@ -326,6 +326,18 @@ def _names(words: dict[str, set[str]] | None):
     return run
 
 
+def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different words of each text, as names are looked up by them."""
+    for b in batches:
+        for part in range(0, b.num_rows, 1000):
+            p, ids, words = b.slice(part, 1000), [], []
+            for i, text in zip(p["doc_id"].to_pylist(), p["text"].to_pylist(), strict=True):
+                own = {fold(w) for w in WORD.findall(text)}
+                ids += [i] * len(own)
+                words += own
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], names=["doc_id", "token"])
+
+
 def found_names(texts: DataFrame, known: DataFrame, most: int = 200_000) -> DataFrame:
     """(doc_id, kind, start, end, surface) of the names in texts; known goes to the workers up to ``most`` rows, beyond that each document gets its own part of it by a join."""
     schema = "doc_id long, kind string, start int, end int, surface string"
@@ -335,8 +347,7 @@ def found_names(texts: DataFrame, known: DataFrame, most: int = 200_000) -> Data
         for r in rows:
             words.setdefault(r["token"], set()).add(r["role"])
         return texts.mapInArrow(_names(words), schema)
-    apart = F.split(F.lower("text"), r"[^\p{L}\p{M}'’-]+")
-    own = texts.select("doc_id", F.explode(F.array_distinct(apart)).alias("token")).join(known, "token").groupBy("doc_id").agg(F.collect_set(F.struct("token", "role")).alias("known"))
+    own = texts.select("doc_id", "text").mapInArrow(_words, "doc_id long, token string").join(known, "token").groupBy("doc_id").agg(F.collect_set(F.struct("token", "role")).alias("known"))
     return texts.join(own, "doc_id").select("doc_id", "text", "known").mapInArrow(_names(None), schema)
 
 
