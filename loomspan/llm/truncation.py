@@ -22,7 +22,7 @@ _LEFT_OUT = r"(?:elided|omitted|truncated|not shown|skipped|removed|hidden|left
 _UNITS = r"(?:more |further |other )?(?:bytes|chars?|characters|lines|results|rows|matches|entries|tokens|words|items)"
 NOTE = rf"(?i)(?:[\[<({{…]|\.\.\.|---?)\s*(?:\.\.\.|…)?\s*[\d,.]+ {_UNITS} {_LEFT_OUT}|(?:[\[<({{…]|\.\.\.)\s*{_LEFT_OUT}:? [\d,.]+ {_UNITS}"
 SHORT = 60  # a remark without any sentence end may be this long
-SHARE = 0.5  # a significant length is a limit if its hazard is so high: texts hardly get beyond it
+TIMES = 8  # a significant length is a limit if so many times the texts end there that the lengths around lead to expect, though most run on past it
 
 
 def incomplete_ending(text: Column) -> Column:
@@ -41,16 +41,17 @@ def incomplete_ending(text: Column) -> Column:
 
 
 def open_ending(text: Column) -> Column:
-    """Whether a text doesn't end with a sentence or a closed output; the stricter measure for lengths at which texts are cut."""
-    ended = text.rlike(r"[^\s.][.?!。！？…]$|(?i)exit (?:code|status):? -?\d+$|</[A-Za-z_]+>$")
+    """Whether a text doesn't end with a sentence or a closed output; the stricter measure for lengths at which texts are cut. A blank before the last sign, as in French, makes no difference."""
+    ended = text.rlike(r"[^\s.][.?!。！？…]$|[\p{L}\p{N}][ \u00a0\u202f]+[.?!]$|(?i)exit (?:code|status):? -?\d+$|</[A-Za-z_]+>$")
     return F.coalesce(~ended, F.lit(False))
 
 
 def length_hazards(texts: DataFrame, width: int = 40, rate: float = 0.01, least: int = 8) -> DataFrame:
-    """(source, measure, len, n, hazard) of the significant lengths of texts (source, measure, len, mark).
+    """(source, measure, len, n, hazard, times) of the significant lengths of texts (source, measure, len, mark).
 
     mark tells different texts apart; repeats of a text count once. width is the
-    number of lengths to either side that a length is tested against, rate the
+    number of lengths to either side that a length is tested against, times how
+    many times n is what those lead to expect, rate the
     false-discovery rate, least the texts that a limit must have cut.
     """
     hist = texts.groupBy("source", "measure", "len").agg(F.approx_count_distinct("mark", 0.02).alias("n"))
@@ -64,7 +65,7 @@ def length_hazards(texts: DataFrame, width: int = 40, rate: float = 0.01, least:
     h = h.withColumn("rank", F.row_number().over(own.orderBy("log_p", "len"))).withColumn("tests", F.count("*").over(own))
     h = h.withColumn("passes", F.col("log_p") <= F.log(F.lit(rate) * F.col("rank") / F.col("tests")))
     h = h.withColumn("up_to", F.max(F.when(F.col("passes"), F.col("rank"))).over(own))
-    return h.where((F.col("rank") <= F.col("up_to")) & (F.col("n") >= least)).select("source", "measure", "len", "n", (F.col("n") / F.col("risk")).alias("hazard"))
+    return h.where((F.col("rank") <= F.col("up_to")) & (F.col("n") >= least)).select("source", "measure", "len", "n", (F.col("n") / F.col("risk")).alias("hazard"), (F.col("n") / F.col("expected")).alias("times"))
 
 
 def message_texts(session_message: DataFrame) -> DataFrame:
@@ -105,8 +106,8 @@ def judged(texts: DataFrame) -> DataFrame:
     limits = cut(length_hazards(tested.where(F.col("len") >= SHORT)))
     # one row for each source: a source has few significant lengths, as each needs its own spike
     by_source = limits.groupBy("source").agg(
-        F.collect_set(F.when((F.col("measure") == "chars") & (F.col("hazard") >= SHARE), F.col("len"))).alias("char_limits"),
-        F.collect_set(F.when((F.col("measure") == "octets") & (F.col("hazard") >= SHARE), F.col("len"))).alias("octet_limits"),
+        F.collect_set(F.when((F.col("measure") == "chars") & (F.col("times") >= TIMES), F.col("len"))).alias("char_limits"),
+        F.collect_set(F.when((F.col("measure") == "octets") & (F.col("times") >= TIMES), F.col("len"))).alias("octet_limits"),
     )
     j = facts.join(F.broadcast(by_source) if by_source.limit(10_001).count() <= 10_000 else by_source, "source", "left")
     # a limit in bytes that falls inside a character leaves up to three bytes unused

@@ -59,6 +59,20 @@ def test_limits_are_found(spark):
     assert all(reasons[1000 + i] is None for i in range(3))
 
 
+def test_two_limits_in_a_source(spark):
+    """A limit of one tool shows though most texts of the source run on past it; whole French questions at one length aren't cut."""
+    r, rows = random.Random(2), []
+    for i in range(2000):
+        n = r.randint(80, 2000)
+        rows.append((i, "s", ("Start. " + "".join(r.choice("abcdefghij") for _ in range(n)))[: 300 if i % 10 == 0 else 1500], None, None))
+    rows = [(i, s, t[:-1] + (")" if len(t) in (300, 1500) else "."), b, c) for i, s, t, b, c in rows]
+    rows += [(5000 + i, "s", f"Pourquoi la session s'arrête-t-elle au bout de {1000 + i} petites millisecondes ?", None, None) for i in range(60)]
+    reasons = {x["row_id"]: x["reason"] for x in judged(message_texts(messages(spark, rows))).collect()}
+    low = {i for i, _, t, _, _ in rows if len(t) == 300 and t.endswith(")")}
+    assert len(low) > 100 and {i for i, _, t, _, _ in rows if t.endswith(")")} == {i for i, why in reasons.items() if why == "limit"}
+    assert all(reasons[5000 + i] is None for i in range(60))
+
+
 def test_rates_and_empty(spark):
     got = cut_rates(messages(spark, [(1, "a", "Fine.", None, True), (2, "a", "Fine.", None, None), (3, "b", "Fine. Bu", None, None)]), spark.createDataFrame([], LINE)).collect()
     assert {(r["source"], r["rows"], r["cut_rows"], r["marked"], r["broken"]) for r in got} == {("session_message/a", 2, 1, 1, 0), ("session_message/b", 1, 1, 0, 1)}
