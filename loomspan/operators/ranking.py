@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +27,62 @@ def nearest(vectors: DataFrame, query: list[float], k: int, tie: str = "doc_id")
     return vectors.withColumn("distance", d).where("distance is not null").withColumn("score", 1 / (1 + F.col("distance"))).orderBy("distance", tie).limit(k)
 
 
+def _best_of_block(block: list[tuple[int, list[float]]], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = {}
+        for size in {len(v) for _, v in block}:
+            own = [(i, v) for i, v in block if len(v) == size]
+            q = np.array([v for _, v in own], dtype=float)
+            sides[size] = ([i for i, _ in own], q, np.sqrt((q * q).sum(axis=1)))
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for part in range(0, b.num_rows, 1000):
+                p = b.slice(part, 1000)
+                rows = [(i, v) for i, v in zip(p["doc_id"].to_pylist(), p["embedding"].to_pylist(), strict=True) if v and None not in v]
+                for size in {len(v) for _, v in rows} & set(sides):
+                    ids, v = np.array([i for i, x in rows if len(x) == size]), np.array([x for _, x in rows if len(x) == size], dtype=float)
+                    _, q, norms = sides[size]
+                    n = np.sqrt((v * v).sum(axis=1))
+                    ids, v, n = ids[n > 0], v[n > 0], n[n > 0]
+                    for at in range(len(q)):
+                        if norms[at] > 0:
+                            d = np.round(1 - (v * q[at]).sum(axis=1) / (n * norms[at]), 12)
+                            d0, i0 = best.get((size, at), (np.empty(0), np.empty(0, dtype=np.int64)))
+                            d, i = np.concatenate([d0, d]), np.concatenate([i0, ids])
+                            keep = np.lexsort((i, d))[:k]
+                            best[size, at] = d[keep], i[keep]
+        out = [(sides[size][0][at], int(i), float(d)) for (size, at), (ds, js) in best.items() for d, i in zip(ds, js, strict=True)]
+        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "doc_id", "distance"])
+
+    return run
+
+
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1000) -> DataFrame:
+    """(query_id, doc_id, distance, score): ``nearest`` for every row of queries (doc_id, embedding).
+
+    A block of queries goes to the workers at a time, each partition keeps its best
+    k for each, and those are merged. Distances that agree in 12 digits are ties.
+    """
+    parts, own = [], []
+
+    def flush() -> None:
+        parts.append(vectors.select(F.col("doc_id").cast("bigint").alias("doc_id"), "embedding").mapInArrow(_best_of_block(list(own), k), "query_id long, doc_id long, distance double"))
+        own.clear()
+
+    for r in queries.where("embedding is not null").select("doc_id", "embedding").toLocalIterator():
+        if None not in r["embedding"]:
+            own.append((r["doc_id"], list(r["embedding"])))
+        if len(own) == block:
+            flush()
+    if own or not parts:
+        flush()
+    whole = parts[0]
+    for x in parts[1:]:
+        whole = whole.unionByName(x)
+    return capped(whole, ["query_id"], k, "distance", "doc_id").withColumn("score", 1 / (1 + F.col("distance")))
+
+
 def ranked(hits: DataFrame, *order: Column | str, by: list[str] | None = None, name: str = "rank") -> DataFrame:
     return hits.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)))
 

@@ -180,6 +180,27 @@ def vector_knn_filtered(spark: SparkSession, sf: str) -> DataFrame:
 SQL["vector_knn_filtered"] = f"SELECT doc_id, round(1 / (1 + distance), 5) AS score FROM ({_KNN}) WHERE label % 2 = 1 ORDER BY distance, doc_id LIMIT 25"
 
 
+def vector_knn_set(spark: SparkSession, sf: str) -> DataFrame:
+    """The 25 nearest vectors of every vector whose id is divisible by 50."""
+    v = vectors(spark, sf)
+    return ranking.nearest_each(v, v.where("doc_id % 50 = 0"), 25).select("query_id", "doc_id", F.round("score", 5).alias("score"))
+
+
+def vector_knn_filtered_set(spark: SparkSession, sf: str) -> DataFrame:
+    """The same among those that pass a filter."""
+    v = vectors(spark, sf)
+    return ranking.nearest_each(v.where("label % 2 = 1"), v.where("doc_id % 50 = 0"), 25).select("query_id", "doc_id", F.round("score", 5).alias("score"))
+
+
+def _knn_set_sql(where: str) -> str:
+    pairs = f"SELECT q.vec_id AS query_id, e.vec_id AS doc_id, 1 - {_COS} AS distance FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND {where}"
+    return f"SELECT query_id, doc_id, round(1 / (1 + distance), 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS n FROM ({pairs})) WHERE n <= 25"
+
+
+SQL["vector_knn_set"] = _knn_set_sql("true")
+SQL["vector_knn_filtered_set"] = _knn_set_sql("e.label % 2 = 1")
+
+
 def search_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """Words and vectors fused by ranks; documents and vectors share ids."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -253,6 +274,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         search_bm25, search_stemmed, search_grammar, search_match_all, search_by_time, recent_records, search_recency, search_min_score, search_top_per_session, search_session_groups, search_sessions_page,
-        search_multi_query, search_federated, vector_knn, vector_knn_filtered, search_hybrid, vector_coverage, scope_ambiguity, search_scope_join, query_exists, index_postings,
+        search_multi_query, search_federated, vector_knn, vector_knn_filtered, vector_knn_set, vector_knn_filtered_set, search_hybrid, vector_coverage, scope_ambiguity, search_scope_join, query_exists, index_postings,
     )
 }
