@@ -37,6 +37,19 @@ def elements(value: Any, path: str, around: str) -> Iterator[tuple[str, str, int
                 yield from elements(v, at, around)
 
 
+def inner_objects(value: Any, path: str, around: str) -> Iterator[tuple[str, str, None, dict]]:
+    """(path, path of the object around it, None, object) for each object that is the value of a key, at any depth; with ``elements`` these are all objects below a value."""
+    if isinstance(value, dict):
+        for k, v in value.items():
+            at = f"{path}.{k}" if path else k
+            if isinstance(v, dict):
+                yield at, path, None, v
+            yield from inner_objects(v, at, path)
+    elif isinstance(value, list):
+        for i, v in enumerate(value):
+            yield from inner_objects(v, f"{path}[{i}]", around)
+
+
 def open_calls(obj: dict) -> dict:
     """A step with its tool_calls as an array and arguments given as text replaced by what they hold."""
     calls = obj.get("tool_calls")
@@ -107,6 +120,45 @@ def flat_rows(omp: DataFrame, transcript: DataFrame) -> DataFrame:
     return own.unionByName(held).unionByName(steps)
 
 
+def _inner_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for i, raw in zip(b["line_id"].to_pylist(), b["raw"].to_pylist(), strict=True):
+            obj = parse_object(raw)
+            if obj is not None:
+                rows.append(("transcript", "transcript", i, "", None, None, dump(obj)))
+                rows += [("transcript." + _tag(p), "transcript", i, p, around, n, dump(v)) for p, around, n, v in inner_objects(open_calls(obj), "", "")]
+        yield _batch(rows)
+
+
+def _inner_arguments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for i, n, text in zip(b["rec_id"].to_pylist(), b["pos"].to_pylist(), b["arguments"].to_pylist(), strict=True):
+            held = parse(text)
+            item = f"message.content[{n}]"
+            if isinstance(held, dict):
+                rows.append(("omp.message.content.arguments", "omp", i, f"{item}.arguments", item, None, dump(held)))
+            if isinstance(held, (dict, list)):
+                rows += [("omp." + _tag(p), "omp", i, p, around, k, dump(v)) for p, around, k, v in inner_objects(held, f"{item}.arguments", item)]
+        yield _batch(rows)
+
+
+def related_rows(omp: DataFrame, transcript: DataFrame) -> DataFrame:
+    """``flat_rows`` and the objects that are no elements of arrays, whose position is null: message, usage, steps, args and all others.
+
+    A message's payload is without its content and usage, which are rows of their
+    own; a step has the empty path, and no parent path.
+    """
+    m = omp.where("message is not null")
+    keys = lambda tag, path, around: [F.lit(tag).alias("table_tag"), F.lit("omp").alias("parent_table"), F.col("rec_id").alias("parent_id"), F.lit(path).alias("path"), F.lit(around).cast("string").alias("parent_path"), F.lit(None).cast("int").alias("position")]
+    own = m.select(*keys("omp.message", "message", ""), F.to_json(F.col("message").dropFields("content", "usage")).alias("payload"))
+    usage = m.where("message.usage is not null").select(*keys("omp.message.usage", "message.usage", "message"), F.to_json("message.usage").alias("payload"))
+    held = m.select("rec_id", F.posexplode("message.content").alias("pos", "item")).select("rec_id", "pos", F.col("item.arguments").alias("arguments")).where(F.col("arguments").contains("{")).mapInArrow(_inner_arguments, EMITTED)
+    steps = transcript.select("line_id", "raw").mapInArrow(_inner_steps, EMITTED)
+    return flat_rows(omp, transcript).unionByName(own).unionByName(usage).unionByName(held).unionByName(steps)
+
+
 def array_objects(omp: DataFrame, transcript: DataFrame) -> DataFrame:
     """(parent_table, parent_id, path) of ``flat_rows``, each once."""
     return flat_rows(omp, transcript).where("parent_id is not null").select("parent_table", "parent_id", "path")

@@ -82,7 +82,12 @@ def p6_items(spark: SparkSession, sf: str) -> DataFrame:
     return nested.flat_table(rows, "omp.message.content", "type string, text string, thinking string, data string, id string, name string, arguments string")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p4_found, p4_zones, p5_found, p5_schema, p5_steps, p5_table, p5_log, p6_found, p6_items)}
+def p6_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """All related tables, told apart by table_tag."""
+    return nested.related_rows(table(spark, sf, "omp"), table(spark, sf, "transcript"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p4_found, p4_zones, p5_found, p5_schema, p5_steps, p5_table, p5_log, p6_found, p6_items, p6_rows)}
 
 _WALK = """WITH RECURSIVE n AS (SELECT 'omp' AS k, id, min(parentid) AS p FROM omp WHERE id IS NOT NULL GROUP BY id UNION ALL SELECT 'sessions', session_id, min(parent_session_id) FROM sessions WHERE session_id IS NOT NULL GROUP BY session_id),
   v AS (SELECT n.k, n.id, q.id AS p FROM n LEFT JOIN n q ON q.k = n.k AND q.id = n.p),

@@ -100,3 +100,18 @@ def test_flat_tables_keep_parents(spark, omp, tmp_path):
     assert hunks[0]["parent_path"] == "message.content[0].arguments.edits[0]" and hunks[0]["n"] == 1 and len(edits) == 1
     nested.write_flat(rows, str(tmp_path / "flat"))
     assert spark.read.parquet(str(tmp_path / "flat")).count() == 3
+
+
+def test_related_rows_have_objects_outside_arrays(spark, omp, tmp_path):
+    steps = [{"step_index": 1, "tool_calls": [{"name": "x", "args": '{"E":[{"o":{"a":1}}]}'}]}, "not json"]
+    rows = nested.related_rows(omp([omp_row(1, items=[item("toolCall", arguments='{"n":{"k":1}}')], output=5), omp_row(2, message=False)]), lines(spark, steps))
+    got = {(r["table_tag"], r["parent_id"], r["path"], r["parent_path"], r["position"]) for r in rows.collect()}
+    c, e = "message.content[0]", "tool_calls[0].args.E[0]"
+    assert got == {
+        ("omp.message", 1, "message", "", None), ("omp.message.usage", 1, "message.usage", "message", None), ("omp.message.content", 1, c, "message", 0),
+        ("omp.message.content.arguments", 1, f"{c}.arguments", c, None), ("omp.message.content.arguments.n", 1, f"{c}.arguments.n", f"{c}.arguments", None),
+        ("transcript", 0, "", None, None), ("transcript.tool_calls", 0, "tool_calls[0]", "", 0), ("transcript.tool_calls.args", 0, "tool_calls[0].args", "tool_calls[0]", None),
+        ("transcript.tool_calls.args.E", 0, e, "tool_calls[0].args", 0), ("transcript.tool_calls.args.E.o", 0, f"{e}.o", e, None),
+    }
+    usage = nested.flat_table(rows, "omp.message.usage", "input long, output long").collect()
+    assert [(r["parent_id"], r["input"], r["output"]) for r in usage] == [(1, 1, 5)]
