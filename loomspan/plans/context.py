@@ -56,6 +56,37 @@ def session_pages(spark: SparkSession, sf: str) -> DataFrame:
 SQL["session_pages"] = f"{_O} SELECT a.doc_id AS request_id, o.doc_id, o.pos, o.total FROM o JOIN o a ON {_SAME} WHERE a.doc_id % 151 = 3 AND o.pos >= a.doc_id % 4 AND o.pos < a.doc_id % 4 + 3"
 
 
+def _set_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record whose id is divisible by 50."""
+    return records(spark, sf).where("doc_id % 50 = 0").select("doc_id")
+
+
+def context_window_set(spark: SparkSession, sf: str) -> DataFrame:
+    """context_window around all ids divisible by 50."""
+    return context.neighbourhood(records(spark, sf), _set_anchors(spark, sf), 3, 4).select("anchor", "doc_id", "distance")
+
+
+def context_interactions_set(spark: SparkSession, sf: str) -> DataFrame:
+    """context_interactions around all ids divisible by 50."""
+    r = records(spark, sf)
+    return context.with_interactions(context.neighbourhood(r, _set_anchors(spark, sf), 1, 1), r, "tool_name")
+
+
+def context_page_set(spark: SparkSession, sf: str) -> DataFrame:
+    """context_page around all ids divisible by 50."""
+    return context.pages_around(records(spark, sf), _set_anchors(spark, sf), 10)
+
+
+def session_pages_set(spark: SparkSession, sf: str) -> DataFrame:
+    """session_pages for a request of every id divisible by 50."""
+    r = records(spark, sf)
+    wanted = r.where("doc_id % 50 = 0").select(F.col("doc_id").alias("request_id"), *context.SCOPE, (F.col("doc_id") % 4).alias("offset"), F.lit(3).alias("limit"))
+    return context.pages(r, wanted)
+
+
+SQL |= {f"{q}_set": SQL[q].replace("a.doc_id % 97 = 5", "a.doc_id % 50 = 0").replace("WHERE doc_id % 97 = 5", "WHERE doc_id % 50 = 0").replace("a.doc_id % 151 = 3", "a.doc_id % 50 = 0") for q in ("context_window", "context_interactions", "context_page", "session_pages")}
+
+
 def without_repeats(spark: SparkSession, sf: str) -> DataFrame:
     """Records that don't say what the one before said."""
     return context.without_repeats(records(spark, sf), F.col("text")).select("doc_id")
@@ -112,5 +143,5 @@ SQL["evaluation"] = f"""WITH res AS ({_RES}), rel AS ({_REL}), t AS (SELECT * FR
   SELECT i.case_id, round(coalesce(found / relevant, 0), 6) AS recall, round(coalesce(1 / best, 0), 6) AS mrr, round(coalesce(dcg / idcg, 0), 6) AS ndcg, coalesce(s.n, 0) AS unique_sessions FROM i LEFT JOIN h USING (case_id) LEFT JOIN s USING (case_id)"""
 
 QUERIES = {
-    f.__name__: f for f in (context_window, context_interactions, context_page, session_pages, without_repeats, last_user_turns, read_budget, collapsed_exchanges, evaluation)
+    f.__name__: f for f in (context_window, context_interactions, context_page, session_pages, context_window_set, context_interactions_set, context_page_set, session_pages_set, without_repeats, last_user_turns, read_budget, collapsed_exchanges, evaluation)
 }
