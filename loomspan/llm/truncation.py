@@ -54,7 +54,7 @@ def length_hazards(texts: DataFrame, width: int = 40, rate: float = 0.01, least:
     many times n is what those lead to expect, rate the
     false-discovery rate, least the texts that a limit must have cut.
     """
-    hist = texts.groupBy("source", "measure", "len").agg(F.approx_count_distinct("mark", 0.02).alias("n"))
+    hist = texts.select("source", "measure", "len", "mark").distinct().groupBy("source", "measure", "len").agg(F.count("mark").alias("n"))
     own = Window.partitionBy("source", "measure")
     h = hist.withColumn("risk", F.sum("n").over(own.orderBy(F.desc("len"))))
     near = own.orderBy("len").rangeBetween(-width, width)

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.llm.truncation import cut_rates, cut_rows, incomplete_ending, judged, message_texts
+from loomspan.llm.truncation import cut_rates, cut_rows, incomplete_ending, judged, length_hazards, message_texts
 
 MESSAGE = "row_id long, source string, role string, content string, content_bytes long, truncated boolean, reason string, noted string"
 LINE = "line_id long, source_path string, raw string, noted string"
@@ -77,3 +77,10 @@ def test_rates_and_empty(spark):
     got = cut_rates(messages(spark, [(1, "a", "Fine.", None, True), (2, "a", "Fine.", None, None), (3, "b", "Fine. Bu", None, None)]), spark.createDataFrame([], LINE)).collect()
     assert {(r["source"], r["rows"], r["cut_rows"], r["marked"], r["broken"]) for r in got} == {("session_message/a", 2, 1, 1, 0), ("session_message/b", 1, 1, 0, 1)}
     assert cuts(spark, [], []) == set()
+
+
+def test_lengths_are_counted_exactly(spark):
+    rows = spark.range(20_011).select(F.lit("s").alias("source"), F.lit("chars").alias("measure"), F.lit(500).alias("len"), F.xxhash64("id").alias("mark"))
+    more = spark.range(5_000).select(F.lit("s").alias("source"), F.lit("chars").alias("measure"), F.lit(700).alias("len"), F.xxhash64(-F.col("id") - 1).alias("mark"))
+    got = {r["len"]: (r["n"], r["hazard"]) for r in length_hazards(rows.unionByName(rows).unionByName(more)).collect()}
+    assert got == {500: (20_011, 20_011 / 25_011), 700: (5_000, 1.0)}
