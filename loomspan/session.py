@@ -56,6 +56,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(given)
         return given.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "loomspan-checkpoints"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -77,6 +79,50 @@ class Scratch:
         return f"{self.path}/{name}"
 
     def close(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(self.spark, self.path)
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder of any file system that Spark reaches, in order; none if it isn't there."""
+    fs, p = _hadoop(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def modified_ms(spark: SparkSession, path: str) -> int:
+    fs, p = _hadoop(spark, path)
+    return fs.getFileStatus(p).getModificationTime()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file; None if it isn't there."""
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small file in place of any before it, by renaming a finished one."""
+    fs, p = _hadoop(spark, path)
+    jvm = spark.sparkContext._jvm
+    staged = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(staged, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(staged, p, options)

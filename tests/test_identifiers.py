@@ -37,7 +37,7 @@ def test_against_brute_force(spark, omp):
     for trial in range(2):
         pick = lambda p, n, k: r.choice([None, "", " ", f"{k}{r.randint(0, n)}"]) if r.random() < p else f"{k}{r.randint(0, n)}"  # noqa: E731, B023
         rows = [(i, None if r.random() < 0.2 else f"a{r.randint(0, 90)}", pick(0.5, 60, "m"), [f"c{r.randint(0, 400)}" for _ in range(r.randint(0, 2))] + ([None, ""] if r.random() < 0.1 else []), r.choice([None, 0, 5, 9])) for i in range(1, 121)]
-        got = {x[0] for x in redundant_rows(frame(omp, rows), waves=1 + 2 * trial, per_prefix=30).collect()}
+        got = {x[0] for x in redundant_rows(frame(omp, rows), per_prefix=30, load=3 + 60 * trial).collect()}
         assert got == brute(rows)
 
 
@@ -60,21 +60,38 @@ def test_nulls_empty_and_repeats(spark, omp):
     assert sorted(x["rec_id"] for x in kept_rows(omp(rows)).collect()) == [1, 2, 4]
 
 
-def test_runs_hold_each_identifier_once(spark, omp):
+def numbered(spark, low, high):
+    return spark.range(low, high).select(F.col("id").alias("rec_id"), F.lit(1).cast("bigint").alias("output"), F.concat(F.lit("i"), (F.col("id") % 100)).alias("ident"))
+
+
+def test_runs_hold_each_identifier_once(spark):
     scratch = Scratch(spark, "test")
-    index = IdentifierIndex(spark, scratch.path, 3)
-    for k in range(3):
-        index.add(spark.range(k * 40, k * 40 + 80).select(F.col("id").alias("rec_id"), F.concat(F.lit("i"), (F.col("id") % 100)).alias("ident")))
-    assert len(index.runs) == 3
-    before = {(r["ident"], r["first_row"]) for r in index.firsts().collect()}
-    index.compact()
-    assert len(index.runs) == 1 and {(r["ident"], r["first_row"]) for r in index.firsts().collect()} == before
-    assert len(before) == 100 and ("i5", 5) in before
-    for r in index.read().collect():
+    index = IdentifierIndex(spark, scratch.path, per_prefix=30, merge_every=3)
+    brought = [{(r["ident"], r["first_row"]) for r in index.add(numbered(spark, k * 40, k * 40 + 80), k).collect()} for k in range(3)]
+    assert [len(b) for b in brought] == [80, 20, 0] and ("i5", 5) in brought[0] and ("i99", 99) in brought[1]
+    assert [r[2] for r in index.runs()] == [4, 1, 1]
+    again = IdentifierIndex(spark, scratch.path, per_prefix=30, merge_every=3)
+    assert again.add(numbered(spark, 0, 300), 3).collect() == []
+    assert [r[:3] for r in again.runs()] == [(0, 2, 4), (3, 3, 1)]
+    for r in spark.read.parquet(again.runs()[0][3]).collect():
         assert r["h"] == sorted(r["h"])
     scratch.close()
 
 
+def test_a_batch_taken_in_again_gives_the_same(spark):
+    scratch = Scratch(spark, "test")
+    index = IdentifierIndex(spark, scratch.path)
+    index.add(numbered(spark, 0, 10), 0)
+    first = sorted(index.add(numbered(spark, 5, 20), 1).collect())
+    assert sorted(IdentifierIndex(spark, scratch.path).add(numbered(spark, 5, 20), 1).collect()) == first and len(first) == 10
+    scratch.close()
+
+
+def test_many_small_batches_merge_within_a_prefix(spark, omp):
+    rows = [omp_row(k, id=f"a{k % 40}", batch=k) for k in range(1, 121)]
+    assert {r[0] for r in redundant_rows(omp(rows), per_prefix=1000, load=1).collect()} == set(range(41, 121))
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r["node"]: r["comp"] for r in components(edges).collect()}

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from loomspan.sources import logs
-from loomspan.streaming.ingest import LISTING, DeliverOnce, Store, changes, list_files, refresh, stream_files, windowed_counts
+from loomspan.streaming.ingest import LISTING, DeliverOnce, Store, changes, list_files, refresh, refresh_lines, stream_files, windowed_counts
 from tests.conftest import OMP, item, omp_row
 
 
@@ -46,11 +46,61 @@ def test_each_message_once_over_batches(spark, omp, tmp_path):
     for k, rows in enumerate([[omp_row(1, id="a"), omp_row(2, id="a"), omp_row(3, id="b")], [omp_row(4, id="b"), omp_row(5, id="c", items=[item("toolCall", id="t")]), omp_row(6, message=False)], [omp_row(7, items=[item("toolCall", id="t")]), omp_row(8, id="d")]]):
         omp(rows).coalesce(1).write.parquet(f"{src}/part{k}")
         time.sleep(0.05)
-    target = DeliverOnce(spark, str(tmp_path / "out"), str(tmp_path / "index"), 4, merge_every=2)
+    target = DeliverOnce(spark, str(tmp_path / "out"), str(tmp_path / "index"), merge_every=2)
     q = stream_files(spark, str(src), OMP, target, str(tmp_path / "cp"), files=1)
     q.awaitTermination(120)
     kept = sorted(r["rec_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert q.exception() is None and kept == [1, 3, 5, 6, 8] and len(target.index.runs) < 3
+    assert q.exception() is None and kept == [1, 3, 5, 6, 8] and len(target.index.runs()) < 3
+
+
+def test_a_batch_delivered_again_changes_nothing(spark, omp, tmp_path):
+    out, index = str(tmp_path / "out"), str(tmp_path / "index")
+    kept = lambda: sorted(r["rec_id"] for r in spark.read.parquet(out).collect())
+    one, two = omp([omp_row(1, id="a"), omp_row(2, id="b")]), omp([omp_row(3, id="b"), omp_row(4, id="c")])
+    DeliverOnce(spark, out, index)(one, 0)
+    DeliverOnce(spark, out, index)(one, 0)
+    assert kept() == [1, 2]
+    for _ in range(2):
+        DeliverOnce(spark, out, index)(two, 1)
+        assert kept() == [1, 2, 4]
+    DeliverOnce(spark, out, index)(omp([omp_row(5, id="a"), omp_row(6, id="d")]), 2)
+    assert kept() == [1, 2, 4, 6]
+
+
+def test_grown_files_are_read_from_where_they_ended(spark, tmp_path):
+    src, store = tmp_path / "logs", Store(spark, str(tmp_path / "store"))
+    src.mkdir()
+    (src / "a.jsonl").write_bytes(b"one\ntwo\nthr")
+    (src / "b.jsonl").write_bytes(b"x\n")
+    asked = []
+
+    def parse(lines):
+        asked.append(sorted(r["raw"] for r in lines.collect()))
+        return lines
+
+    run = lambda: refresh_lines(store, list_files(spark, [str(src)], head_bytes=8), parse, "source_path string, line_no bigint, offset bigint, raw string")
+    assert run() == "publish" and run() == "unchanged"
+    (src / "a.jsonl").write_bytes(b"one\ntwo\nthree\nfour\n")
+    (src / "b.jsonl").write_bytes(b"y\nz\n")
+    assert run() == "publish"
+    assert asked == [["one", "two", "x"], ["four", "three", "y", "z"]]
+    got = sorted((r["line_no"], r["offset"], r["raw"]) for r in store.read("records").where("source_path like '%a.jsonl'").collect())
+    assert got == [(0, 0, "one"), (1, 4, "two"), (2, 8, "three"), (3, 14, "four")]
+    assert store.read("records").count() == 6
+
+
+def test_recovery_and_leases(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    rows = lambda *x: spark.createDataFrame([(v,) for v in x], "source_path string")
+    first = store.publish({"records": rows("a")})
+    held, give_back = store.lease()
+    store.publish({"records": rows("b")})
+    assert store.collect_garbage() == [] and [r[0] for r in store.read("records", manifest=held).collect()] == ["a"]
+    give_back()
+    assert store.collect_garbage() == [first]
+    (tmp_path / "store" / "INTENT").write_text("gen-x")
+    (tmp_path / "store" / "gen-x").mkdir()
+    assert store.recover() == "gen-x" and not (tmp_path / "store" / "gen-x").exists() and store.recover() is None
 
 
 def test_windowed_counts(spark, tmp_path):
