@@ -1,7 +1,9 @@
 """Message rows to ordered conversations with speakers.
 
-Rows are an event log: copies, edits and retries of a message fold into the
-version that ``redundant_rows`` keeps. The parent links of what is left are laid
+Rows are an event log: a row creates a message, or edits, repeats, retries or
+deletes one that another row brought. The events of a message are told by the
+identifiers they share and fold, by version, into its final turn or into nothing.
+The table is read once, into narrow events. The parent links of what is left are laid
 out by ``hierarchy``, whose depth is the place in the line, so that no session
 has to be gathered in one task. Whether a session is one line, and whether each
 user row gets its reply, follows from counts over blocks of places.
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.operators.hierarchy import hierarchy
-from loomspan.operators.identifiers import kept_rows
+from loomspan.operators.identifiers import identifier_array, superseded, versions
 from loomspan.session import cut
 
 # Spellings of the speakers, after lower-casing and dropping all but letters.
@@ -21,6 +23,8 @@ SPEAKERS = {
     "user": "user", "human": "user", "assistant": "assistant", "agent": "assistant", "model": "assistant", "ai": "assistant", "bot": "assistant",
     "tool": "tool", "toolresult": "tool", "tooloutput": "tool", "function": "tool", "system": "system", "developer": "system",
 }
+DELETING = ("delete", "deletion", "message_delete", "message_deleted", "tombstone")
+LAST = 2**63 - 1  # the version of a deletion
 BLOCK = 50_000
 HOUR = 3_600_000
 
@@ -30,19 +34,45 @@ def speaker(role: Column) -> Column:
     return F.try_element_at(known, F.regexp_replace(F.lower(role), "[^a-z]", ""))
 
 
-def session_rows(omp: DataFrame) -> DataFrame:
-    """(rec_id, session, id, parent, line_no, speaker, says, calls) of omp rows; rows whose session can't be told are left out.
+def message_events(omp: DataFrame) -> DataFrame:
+    """(rec_id, batch_id, session, id, parent, line_no, speaker, says, calls, deletes, output, idents) of omp rows.
 
-    says: an item of text that isn't blank; calls: a toolCall item.
+    says: an item of text that isn't blank; calls: a toolCall item. session is
+    null where it can't be told. output is the version of the event; that of a
+    deletion is the last.
     """
     from_path = F.nullif(F.regexp_extract("source_path", r"_([^_/]+)\.jsonl$", 1), F.lit(""))
     item = F.coalesce(F.col("message.content"), F.array().cast(omp.schema["message"].dataType["content"].dataType))
+    deletes = F.coalesce(F.col("type").isin(*DELETING), F.lit(False))
     return omp.select(
-        "rec_id", F.coalesce("session_id", from_path).alias("session"), "id", F.col("parentid").alias("parent"), "line_no",
+        "rec_id", "batch_id", F.coalesce("session_id", from_path).alias("session"), "id", F.col("parentid").alias("parent"), "line_no",
         F.when(F.col("type") == "message", speaker(F.col("message.role"))).alias("speaker"),
         F.exists(item, lambda x: F.coalesce((x["type"] == "text") & (F.trim(F.regexp_replace(x["text"], r"\s+", " ")) != ""), F.lit(False))).alias("says"),
         F.exists(item, lambda x: F.coalesce(x["type"] == "toolCall", F.lit(False))).alias("calls"),
-    ).where("session is not null")
+        deletes.alias("deletes"), F.when(deletes, F.lit(LAST)).otherwise(F.col("message.usage.output")).alias("output"), identifier_array(omp).alias("idents"),
+    )
+
+
+def folded(events: DataFrame, shared: DataFrame) -> DataFrame:
+    """The rows of the final version of each message; a message whose last version is a deletion has none, nor has a deletion of nothing."""
+    return events.join(superseded(shared), "rec_id", "left_anti").where("not deletes").drop("deletes", "output", "idents")
+
+
+def event_kinds(events: DataFrame, shared: DataFrame) -> DataFrame:
+    """(rec_id, message, kind) of all events: create, the first row of a message; of the others delete, copy (the create's version), edit (another version under the create's id) or retry (under another id)."""
+    told = events.select("rec_id", "id", "deletes", "output").join(shared.select("rec_id", "message"), "rec_id", "left").withColumn("message", F.coalesce("message", "rec_id"))
+    creates = told.select(F.col("rec_id").alias("message"), F.col("id").alias("c_id"), F.col("output").alias("c_output"))
+    kind = (
+        F.when(F.col("deletes"), "delete").when(F.col("rec_id") == F.col("message"), "create")
+        .when(F.col("output").eqNullSafe(F.col("c_output")), "copy").when(F.col("id").eqNullSafe(F.col("c_id")), "edit").otherwise("retry")
+    )
+    return told.join(creates, "message").select("rec_id", "message", kind.alias("kind"))
+
+
+def event_counts(omp: DataFrame) -> DataFrame:
+    """(kind, events) of the event log."""
+    events = cut(message_events(omp))
+    return event_kinds(events, versions(events)).groupBy("kind").agg(F.count("*").alias("events"))
 
 
 def placed_rows(rows: DataFrame, session_message: DataFrame) -> DataFrame:
@@ -74,7 +104,7 @@ def placed_rows(rows: DataFrame, session_message: DataFrame) -> DataFrame:
 def conversations(omp: DataFrame, session_message: DataFrame) -> DataFrame:
     """(session_id, turn_no, id, speaker) of the conversations to keep.
 
-    A session is dropped if its rows, each message once, aren't one line by their
+    A session is dropped if its rows, each message in its final version, aren't one line by their
     parents; if no user or assistant row says anything; or if a user row gets no
     reply before the next user row or the end. Sessions without any parent are
     ordered by session_message.ts; they count as broken if a row with a speaker has
@@ -82,7 +112,8 @@ def conversations(omp: DataFrame, session_message: DataFrame) -> DataFrame:
     no turn; a turn whose row has no id is counted and left out, as it can't be
     named. Null messages and contents say nothing. Empty tables give no turns.
     """
-    rows = placed_rows(session_rows(kept_rows(omp)), session_message).where("speaker is not null")
+    events = cut(message_events(omp))
+    rows = placed_rows(folded(events, versions(events)).where("session is not null"), session_message).where("speaker is not null")
     rows = cut(rows.select("session", "block", "place", "id", "speaker", "says", "calls"))
     mark = F.when(F.col("speaker") == "user", "U").when((F.col("speaker") == "assistant") & (F.col("says") | F.col("calls")), "R")
     marks = rows.select("session", "block", "place", mark.alias("mark")).where("mark is not null")

@@ -1,4 +1,5 @@
-from loomspan.llm.conversations import conversations
+from loomspan.llm.conversations import conversations, event_counts, event_kinds, message_events
+from loomspan.operators.identifiers import versions
 from tests.conftest import item, omp_row
 
 MESSAGE = "record_id string, source string, ts long, content string, place long"
@@ -45,6 +46,21 @@ def test_copies_fold_first(spark, omp):
     assert run(spark, omp, rows) == [("a", 1, "a0", "user"), ("a", 2, "a1", "assistant")]
 
 
+def test_planted_events_fold_by_version(spark, omp):
+    """A turn is edited, one is retried under another id, one is deleted; a deletion of nothing changes nothing."""
+    rows = line("a", ("user", SAY), ("assistant", SAY), ("user", SAY))
+    rows.append(omp_row(10, id="a1", parent="a0", session="a", role="assistant", items=[item(text="edited")], output=7))
+    rows.append(omp_row(11, id="a0-again", session="a", role="user", items=SAY, mid="m0", output=3))
+    rows[0] = omp_row(1, id="a0", session="a", role="user", items=SAY, mid="m0", output=5)
+    rows.append(omp_row(12, id="a2", session="a", type="message_deleted", message=False))
+    rows.append(omp_row(13, id="nothing", session="a", type="delete", message=False))
+    assert run(spark, omp, rows) == [("a", 1, "a0", "user"), ("a", 2, "a1", "assistant")]
+    events = message_events(omp(rows)).persist()
+    kinds = {r["rec_id"]: r["kind"] for r in event_kinds(events, versions(events)).collect()}
+    assert kinds == {1: "create", 2: "create", 3: "create", 10: "edit", 11: "retry", 12: "delete", 13: "delete"}
+    assert {r["kind"]: r["events"] for r in event_counts(omp([*rows, omp_row(14, id="a1")])).collect()} == {"create": 3, "edit": 1, "retry": 1, "delete": 2, "copy": 1}
+
+
 def test_order_by_time_without_parents(spark, omp):
     rows = [omp_row(1, id="x", session="t", role="assistant", items=SAY), omp_row(2, id="y", session="t", items=SAY), omp_row(3, id="z", session="t", type="model_change", message=False)]
     stamps = [("x", "omp", 9_000_000, None, 1), ("x", "omp", 9_000_000, None, 1), ("y", "omp", 5, None, 1), ("y", "claude", 1, None, 1)]

@@ -1,8 +1,11 @@
+import glob
 import os
 
+import duckdb
 import pytest
 
-from loomspan.llm.queries import QUERIES
+from loomspan.llm.queries import QUERIES, SQL
+from tests.test_queries import cell
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 COLUMNS = {
@@ -21,3 +24,18 @@ def test_runs(spark, name):
         assert df.dtypes == COLUMNS[name]
         if name.endswith("_found"):
             assert len(set(rows)) == len(rows) and all(v is not None for r in rows for v in r)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_against_sql(spark, name):
+    duck = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        duck.execute(f"CREATE VIEW \"{os.path.basename(f)[:-8]}\" AS SELECT * FROM '{f}'")
+    df = QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    got = duck.execute(SQL[name])
+    names = [d[0] for d in got.description]
+    assert sorted(names) == columns
+    theirs = sorted(tuple(cell(r[names.index(c)]) for c in columns) for r in got.fetchall())
+    assert sorted(tuple(cell(r[c]) for c in columns) for r in df.collect()) == theirs
