@@ -1,10 +1,14 @@
 """Raw lines whose fields drift between files, read into one table, and what changed in each file.
 
-Every line is visited once. The visit gives the fields it has, as a bit for each
-JSON type, and its changes against the agreed fields. The bits fold by bitwise or,
-which is the join of the type lattice: a field seen as number and string becomes
-string, anything else mixed becomes JSON text. Both folds combine before the shuffle,
-so a file of any number of lines costs a row for each distinct change.
+Every line is visited once. The visit gives the schema of each object as the
+fields it has, with a bit for each JSON type. Schemas fold by file, equal ones into
+one and their types by bitwise or, which is the join of the type lattice: a field
+seen as number and string becomes string, anything else mixed becomes JSON text.
+What a file changes is read off its folded schemas: a field that lifts its agreed
+type in the lattice is retyped, and what is missing or more is renamed, removed or
+added. All of it combines before the shuffle, so a file of any number of lines
+costs a row for each distinct schema. The union of all files' types is what
+values are cast to.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ from pyspark.sql import functions as F
 from loomspan.functions.rawjson import dump, kind, parse_object
 
 BITS = {"null": 1, "boolean": 2, "number": 4, "string": 8, "object": 16, "array": 32}
-OBSERVED = "source_path string, owner string, field string, change string, mask int"
+OBSERVED = "source_path string, owner string, shape string, line_no int"
+TYPED = "source_path string, owner string, field string, change string, mask int, line_no int"
 OBJECTS = "source_path string, line_no int, written_at timestamp_ntz, owner string, path string, held map<string,string>, other_fields string, changes array<struct<field:string,change:string>>"
 HEADS = ("title", "session")
 _NUMBER = re.compile(r"[+-]?[0-9]{1,300}(\.[0-9]+)?")
@@ -28,28 +33,41 @@ Agreed = dict[str, dict[str, tuple[str, bool]]]
 
 
 def agreed_fields(schema_fields: DataFrame) -> Agreed:
-    """owner -> field -> (JSON type, optional); schema_fields is a small fixed table of at most 100,000 rows."""
+    """owner -> field -> (JSON type, optional); schema_fields is the table of what was agreed, a row for each field."""
     out: Agreed = {}
-    rows = schema_fields.select("owner", "field", "json_type", "is_optional").where("owner is not null and field is not null").take(100_001)
-    if len(rows) > 100_000:
-        raise ValueError("schema_fields has more than 100,000 rows")
+    rows = schema_fields.select("owner", "field", "json_type", "is_optional").where("owner is not null and field is not null").collect()
     for r in rows:
         out.setdefault(r["owner"], {})[r["field"]] = (r["json_type"], bool(r["is_optional"]))
     return out
 
 
-def compare(obj: dict, fields: dict[str, tuple[str, bool]]) -> tuple[list[tuple[str, str]], dict[str, str]]:
-    """[(field, change)] of one object against its owner's agreed fields, and {agreed name: name in the object} for those that are there."""
-    unknown = {k: kind(v) for k, v in obj.items() if k not in fields}
+def join(*masks: int) -> str:
+    """The type that holds values of all masks: null below all, string above number and boolean, json on top."""
+    m = 0
+    for x in masks:
+        m |= x
+    m &= ~BITS["null"]
+    one = {0: "null", **{b: t for t, b in BITS.items()}}.get(m)
+    return one or ("json" if m & (BITS["object"] | BITS["array"]) else "string")
+
+
+def lifts(json_type: str, mask: int) -> bool:
+    """Whether the join of an agreed type and type bits lies above the agreed type in the lattice of bits; null lies below all."""
+    own = BITS.get(json_type, 62)
+    return (own | mask) & ~BITS["null"] != own
+
+
+def compare(shape: dict[str, int], fields: dict[str, tuple[str, bool]]) -> tuple[list[tuple[str, str]], dict[str, str]]:
+    """[(field, change)] of an object's schema (field -> type bits) against its owner's agreed fields, and {agreed name: name in the object} for those that are there."""
+    unknown = {k: m for k, m in shape.items() if k not in fields}
     changes, names, taken = [], {}, set()
     for f, (json_type, optional) in fields.items():
-        if f in obj:
+        if f in shape:
             names[f] = f
-            got = kind(obj[f])
-            if got not in ("null", json_type):
+            if lifts(json_type, shape[f]):
                 changes.append((f, "retyped"))
         elif not optional:
-            alike = [k for k, t in unknown.items() if t in (json_type, "null")]
+            alike = [k for k, m in unknown.items() if not lifts(json_type, m)]
             if len(alike) == 1:
                 changes.append((f, "renamed"))
                 names[f] = alike[0]
@@ -60,54 +78,78 @@ def compare(obj: dict, fields: dict[str, tuple[str, bool]]) -> tuple[list[tuple[
     return changes, names
 
 
+def shape_of(obj: dict) -> dict[str, int]:
+    return {k: BITS[kind(v)] for k, v in obj.items()}
+
+
 def line_objects(obj: dict, agreed: Agreed, step: bool) -> Iterator[tuple[str, str, dict, list[tuple[str, str]], dict[str, str]]]:
     """(owner, path in the line, object, changes, names) of a line and the objects in it that have agreed fields."""
     if not step:
         owner = next((v for v in (obj.get("type"), *obj.values()) if v in HEADS), None)
         if owner in agreed:
-            yield owner, "", obj, *compare(obj, agreed[owner])
+            yield owner, "", obj, *compare(shape_of(obj), agreed[owner])
         return
     if "step" not in agreed:
         return
-    changes, names = compare(obj, agreed["step"])
+    changes, names = compare(shape_of(obj), agreed["step"])
     yield "step", "", obj, changes, names
     calls = obj.get(names.get("tool_calls"))
     for i, call in enumerate(calls if isinstance(calls, list) else [calls]):
         if not isinstance(call, dict) or "call" not in agreed:
             continue
-        changes, names = compare(call, agreed["call"])
+        changes, names = compare(shape_of(call), agreed["call"])
         yield "call", f"tool_calls[{i}]", call, changes, names
         tool, args = call.get(names.get("name")), call.get(names.get("args"))
         args = parse_object(args) if isinstance(args, str) else args
         if isinstance(tool, str) and isinstance(args, dict) and tool in agreed and tool not in ("step", "call", *HEADS):
-            yield tool, f"tool_calls[{i}].args", args, *compare(args, agreed[tool])
+            yield tool, f"tool_calls[{i}].args", args, *compare(shape_of(args), agreed[tool])
 
 
 def _visit(agreed: Agreed, step: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: dict[tuple[str, str, str, str], int] = {}
-            for path, raw in zip(b["source_path"].to_pylist(), b["raw"].to_pylist(), strict=True):
+            seen: dict[tuple[str, str, str], int] = {}
+            for path, n, raw in zip(b["source_path"].to_pylist(), b["line_no"].to_pylist(), b["raw"].to_pylist(), strict=True):
                 obj = parse_object(raw)
                 if obj is None or path is None:
                     continue
-                for owner, _, it, changes, names in line_objects(obj, agreed, step):
-                    agreed_name = {k: f for f, k in names.items()}
-                    for f, v in it.items():
-                        key = (path, owner, agreed_name.get(f, f), "")
-                        seen[key] = seen.get(key, 0) | BITS[kind(v)]
-                    for f, change in changes:
-                        seen[path, owner, f, change] = 0
-            cols = list(zip(*seen, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in cols], pa.array(list(seen.values()), pa.int32())], names=["source_path", "owner", "field", "change", "mask"])
+                n = 0 if n is None else n
+                for owner, _, it, _, _ in line_objects(obj, agreed, step):
+                    key = (path, owner, dump(dict(sorted(shape_of(it).items()))))
+                    seen[key] = min(seen.get(key, n), n)
+            cols = list(zip(*seen, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in cols], pa.array(list(seen.values()), pa.int32())], names=["source_path", "owner", "shape", "line_no"])
+
+    return run
+
+
+def _differences(agreed: Agreed) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path, owner, shape, n in zip(*(b[c].to_pylist() for c in ("source_path", "owner", "shape", "line_no")), strict=True):
+                fields = parse_object(shape)
+                changes, names = compare(fields, agreed[owner])
+                agreed_name = {k: f for f, k in names.items()}
+                rows += [(path, owner, agreed_name.get(f, f), "", m, n) for f, m in fields.items()]
+                rows += [(path, owner, f, change, 0, n) for f, change in changes]
+            types = [pa.string()] * 4 + [pa.int32()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 6, types, strict=True)], names=[c.split()[0] for c in TYPED.split(", ")])
 
     return run
 
 
-def observed(lines: DataFrame, agreed: Agreed, step: bool) -> DataFrame:
-    """(source_path, owner, field, change, mask): with change '' the JSON types that a file has in a field, else one change of the file."""
-    seen = lines.select("source_path", "raw").mapInArrow(_visit(agreed, step), OBSERVED)
-    return seen.groupBy("source_path", "owner", "field", "change").agg(F.bit_or("mask").alias("mask"))
+def file_schemas(lines: DataFrame, agreed: Agreed, step: bool) -> DataFrame:
+    """(source_path, owner, shape, line_no): the different schemas of the objects of each file, as JSON of field -> type bits, with the first line of each."""
+    seen = lines.select("source_path", F.col("line_no").cast("int").alias("line_no"), "raw").mapInArrow(_visit(agreed, step), OBSERVED)
+    return seen.groupBy("source_path", "owner", "shape").agg(F.min("line_no").alias("line_no"))
+
+
+def observed(transcript: DataFrame, heads: DataFrame, agreed: Agreed) -> DataFrame:
+    """(source_path, owner, field, change, mask, line_no): with change '' the JSON types that a file has in a field, else one change of the file, and the first line that shows it."""
+    schemas = file_schemas(transcript, agreed, True).unionByName(file_schemas(heads, agreed, False))
+    typed = schemas.mapInArrow(_differences(agreed), TYPED)
+    return typed.groupBy("source_path", "owner", "field", "change").agg(F.bit_or("mask").alias("mask"), F.min("line_no").alias("line_no"))
 
 
 def file_changes(transcript: DataFrame, heads: DataFrame, schema_fields: DataFrame) -> DataFrame:
@@ -117,32 +159,19 @@ def file_changes(transcript: DataFrame, heads: DataFrame, schema_fields: DataFra
     a required field that is missing and an unknown one of its type only a single
     candidate makes a renaming. Empty tables give no changes.
     """
-    agreed = agreed_fields(schema_fields)
-    both = observed(transcript, agreed, True).unionByName(observed(heads, agreed, False))
+    both = observed(transcript, heads, agreed_fields(schema_fields))
     return both.where("change <> ''").select("source_path", "owner", "field", "change").distinct()
 
 
 def union_schema(transcript: DataFrame, heads: DataFrame, schema_fields: DataFrame) -> DataFrame:
     """(owner, field, union_type, files): the type that all files' values of a field are to be cast to, a renamed field counting under its agreed name."""
-    agreed = agreed_fields(schema_fields)
-    both = observed(transcript, agreed, True).unionByName(observed(heads, agreed, False)).where("change = ''")
+    both = observed(transcript, heads, agreed_fields(schema_fields)).where("change = ''")
     folded = both.groupBy("owner", "field").agg(F.bit_or("mask").alias("mask"), F.count("*").alias("files"))
     m = F.col("mask").bitwiseAND(F.lit(62))
     scalar = F.when(m == 0, "null").when(m == 2, "boolean").when(m == 4, "number").when(m == 16, "object").when(m == 32, "array").when(m.bitwiseAND(F.lit(48)) == 0, "string")
     return folded.select("owner", "field", F.coalesce(scalar, F.lit("json")).alias("union_type"), "files")
 
 
-def _cast(value: object, json_type: str) -> str | None:
-    """A value as text in the agreed type; what can't be cast is kept as its JSON text."""
-    if value is None:
-        return None
-    if isinstance(value, str):
-        return value
-    if json_type == "array" and isinstance(value, dict):
-        value = [value]
-    return dump(value)
-
-
 def _is_double(value: object) -> bool:
     """Whether a value, or the number that a text holds, is the same as a double; null is."""
     if value is None or isinstance(value, float):
@@ -153,42 +182,6 @@ def _is_double(value: object) -> bool:
     return isinstance(value, int) and not isinstance(value, bool) and abs(value) < 2**1023 and int(float(value)) == value
 
 
-def _rows(agreed: Agreed, fields: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, paths, columns, extra = [], [], [[] for _ in fields], []
-            for i, path, raw in zip(b["line_id"].to_pylist(), b["source_path"].to_pylist(), b["raw"].to_pylist(), strict=True):
-                obj = parse_object(raw)
-                if obj is None:
-                    continue
-                _, names = compare(obj, agreed["step"])
-                ids.append(i)
-                paths.append(path)
-                for f, column in zip(fields, columns, strict=True):
-                    column.append(_cast(obj.get(names.get(f, f)), agreed["step"][f][0]))
-                rest = {k: v for k, v in obj.items() if k not in names.values()}
-                rest |= {f: obj[k] for f, k in names.items() if agreed["step"][f][0] == "number" and not _is_double(obj[k])}
-                extra.append(dump(rest) if rest else None)
-            text = [pa.array(c, pa.string()) for c in (paths, *columns, extra)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *text], names=["line_id", "source_path", *fields, "other_fields"])
-
-    return run
-
-
-def consistent_steps(transcript: DataFrame, schema_fields: DataFrame) -> DataFrame:
-    """The steps of all files in one table: line_id, source_path, the agreed fields under their agreed names, and other_fields.
-
-    Numbers are double, null where the text is no number; other_fields then has
-    the value under the agreed name. Arrays and objects are JSON text, a lone
-    object becoming an array of one. Lines that aren't whole JSON objects are
-    left out. ``consistent_table`` has all owners, in the types of the union.
-    """
-    agreed = agreed_fields(schema_fields)
-    fields = sorted(agreed.get("step", {}))
-    out = transcript.select("line_id", "source_path", "raw").mapInArrow(_rows(agreed, fields), ", ".join(["line_id long", "source_path string", *[f"{f} string" for f in fields], "other_fields string"]))
-    return out.select("line_id", "source_path", *[F.col(f).try_cast("double").alias(f) if agreed["step"][f][0] == "number" else F.col(f) for f in fields], "other_fields")
-
-
 def union_types(transcript: DataFrame, heads: DataFrame, schema_fields: DataFrame) -> dict[str, dict[str, str]]:
     """owner -> agreed field -> union type; the agreed type where no file has a value of the field."""
     agreed = agreed_fields(schema_fields)
@@ -251,6 +244,11 @@ def consistent_table(transcript: DataFrame, heads: DataFrame, schema_fields: Dat
     return _all_objects(transcript, heads, agreed, types).select("source_path", "line_no", "written_at", "owner", "path", fields.alias("fields"), "other_fields")
 
 
+def consistent_steps(transcript: DataFrame, heads: DataFrame, schema_fields: DataFrame) -> DataFrame:
+    """The steps of ``consistent_table`` with their fields as columns: source_path, line_no, written_at, the agreed fields in the types of the union, other_fields."""
+    return consistent_table(transcript, heads, schema_fields).where("owner = 'step'").select("source_path", "line_no", "written_at", "fields.step.*", "other_fields")
+
+
 def difference_log(transcript: DataFrame, heads: DataFrame, schema_fields: DataFrame) -> DataFrame:
     """(file_time, source_path, line_no, owner, path, field, change) of every difference of every line, in the order of file time and line.
 

@@ -169,7 +169,7 @@ def hierarchy(rows: DataFrame, node: str, parent: str, locality: Column | None =
     several parents named in a node's rows the smallest counts. On a cycle and
     below it depth is -1, root the smallest id on the cycle, and path null.
     path holds the ids from the root to the node, each after a slash, and only if
-    ``paths`` is set. An empty table gives an empty result; blank ids are ids.
+    ``paths`` is set; in it ~ is written ~0 and / is written ~1. An empty table gives an empty result; blank ids are ids.
 
     locality and position tell which rows are near each other (a file and its
     line, say): chains that stay near are contracted without a further shuffle.
@@ -181,7 +181,7 @@ def hierarchy(rows: DataFrame, node: str, parent: str, locality: Column | None =
     n = base.count()
     nodes = base.select(
         "node", "parent", F.lit(1).cast("bigint").alias("w"), F.col("node").alias("low"), F.lit(None).cast("string").alias("root"), F.lit(0).cast("bigint").alias("rdepth"),
-        (F.concat(F.lit("/"), "node") if paths else F.lit(None).cast("string")).alias("seg"), "loc", "pos",
+        (F.concat(F.lit("/"), F.replace(F.replace("node", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))) if paths else F.lit(None).cast("string")).alias("seg"), "loc", "pos",
     )
     done = _solve(nodes, n, 0, partition_rows, paths)
     return done.select("node", F.coalesce("root", "cyc").alias("root"), F.col("depth").cast("int").alias("depth"), "path")
@@ -190,4 +190,5 @@ def hierarchy(rows: DataFrame, node: str, parent: str, locality: Column | None =
 def descendants(paths: DataFrame) -> DataFrame:
     """(ancestor, node, distance) for each node below another, from the paths of ``hierarchy``."""
     ids = F.slice(F.split("path", "/"), F.lit(2), F.col("depth"))
-    return paths.where("depth > 0").select("node", "depth", F.posexplode(ids).alias("at", "ancestor")).select("ancestor", "node", (F.col("depth") - F.col("at")).alias("distance"))
+    each = paths.where("depth > 0").select("node", "depth", F.posexplode(ids).alias("at", "ancestor"))
+    return each.select(F.replace(F.replace("ancestor", F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")).alias("ancestor"), "node", (F.col("depth") - F.col("at")).alias("distance"))

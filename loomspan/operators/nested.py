@@ -1,14 +1,14 @@
 """Nested records to flat tables that keep parent and position.
 
-One depth-first visit emits every value that becomes a row, tagged with the
-table it belongs to: its path is the primary key within the record, the path of
-the object around it the parent key. The omp content is typed, so its items are
-exploded by the engine; only texts that hold arrays go through the visitor.
+Each record is visited once, depth first. The visitor emits every object tagged
+with the table it belongs to: its path is the primary key within the record, the
+path of the object around it the parent key. Both inputs are read once for all
+related tables, which are told apart by their tags when they are written.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -21,33 +21,22 @@ EMITTED = "table_tag string, parent_table string, parent_id long, path string, p
 _SCHEMA = pa.schema([("table_tag", pa.string()), ("parent_table", pa.string()), ("parent_id", pa.int64()), ("path", pa.string()), ("parent_path", pa.string()), ("position", pa.int32()), ("payload", pa.string())])
 
 
-def elements(value: Any, path: str, around: str) -> Iterator[tuple[str, str, int, dict]]:
-    """(path, path of the object around it, position, object) for each object that is an element of an array, at any depth, in order."""
+def objects(value: Any, path: str, around: str) -> Iterator[tuple[str, str, int | None, dict]]:
+    """(path, path of the object around it, position, object) for each object below a value, at any depth, in order; position is None for the value of a key."""
     if isinstance(value, dict):
         for k, v in value.items():
             if isinstance(v, (dict, list)):
-                yield from elements(v, f"{path}.{k}" if path else k, path)
+                at = f"{path}.{k}" if path else k
+                if isinstance(v, dict):
+                    yield at, path, None, v
+                yield from objects(v, at, path)
     elif isinstance(value, list):
         for i, v in enumerate(value):
-            at = f"{path}[{i}]"
-            if isinstance(v, dict):
-                yield at, around, i, v
-                yield from elements(v, at, around)
-            elif isinstance(v, list):
-                yield from elements(v, at, around)
-
-
-def inner_objects(value: Any, path: str, around: str) -> Iterator[tuple[str, str, None, dict]]:
-    """(path, path of the object around it, None, object) for each object that is the value of a key, at any depth; with ``elements`` these are all objects below a value."""
-    if isinstance(value, dict):
-        for k, v in value.items():
-            at = f"{path}.{k}" if path else k
-            if isinstance(v, dict):
-                yield at, path, None, v
-            yield from inner_objects(v, at, path)
-    elif isinstance(value, list):
-        for i, v in enumerate(value):
-            yield from inner_objects(v, f"{path}[{i}]", around)
+            if isinstance(v, (dict, list)):
+                at = f"{path}[{i}]"
+                if isinstance(v, dict):
+                    yield at, around, i, v
+                yield from objects(v, at, around)
 
 
 def open_calls(obj: dict) -> dict:
@@ -83,85 +72,80 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for i, raw in zip(b["line_id"].to_pylist(), b["raw"].to_pylist(), strict=True):
-            obj = parse_object(raw)
-            if obj is not None:
-                rows += [("transcript." + _tag(p), "transcript", i, p, around, n, dump(v)) for p, around, n, v in elements(open_calls(obj), "", "")]
-        yield _batch(rows)
-
+def _emitted(table: str, i: int, found: Iterator[tuple[str, str, int | None, dict]], payloads: bool) -> list[tuple]:
+    """The rows of visited objects; without payloads only those that are elements of arrays."""
+    return [(f"{table}.{_tag(p)}", table, i, p, around, n, dump(v) if payloads else None) for p, around, n, v in found if payloads or n is not None]
+
+
+def _steps(payloads: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, raw in zip(b["line_id"].to_pylist(), b["raw"].to_pylist(), strict=True):
+                obj = parse_object(raw)
+                if obj is not None:
+                    if payloads:
+                        rows.append(("transcript", "transcript", i, "", None, None, dump(obj)))
+                    rows += _emitted("transcript", i, objects(open_calls(obj), "", ""), payloads)
+            yield _batch(rows)
+
+    return run
+
+
+def _records(payloads: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, message, usage, items, arguments in zip(*(b[c].to_pylist() for c in ("rec_id", "message", "usage", "items", "arguments")), strict=True):
+                if payloads:
+                    rows.append(("omp.message", "omp", i, "message", "", None, message))
+                    if usage is not None:
+                        rows.append(("omp.message.usage", "omp", i, "message.usage", "message", None, usage))
+                for n, (payload, text) in enumerate(zip(items or [], arguments or [], strict=True)):
+                    if payload is None:
+                        continue
+                    item = f"message.content[{n}]"
+                    rows.append(("omp.message.content", "omp", i, item, "message", n, payload if payloads else None))
+                    held = parse(text) if text else None
+                    if payloads and isinstance(held, dict):
+                        rows.append(("omp.message.content.arguments", "omp", i, f"{item}.arguments", item, None, dump(held)))
+                    rows += _emitted("omp", i, objects(held, f"{item}.arguments", item), payloads)
+            yield _batch(rows)
+
+    return run
+
+
+def _visited(omp: DataFrame, transcript: DataFrame, payloads: bool) -> DataFrame:
+    item = F.transform("message.content", lambda x: F.when(x.isNotNull(), F.to_json(x) if payloads else F.lit("")))
+    # a text without a bracket can't hold an array, nor one without a brace an object
+    held = F.transform("message.content", lambda x: F.when(x["arguments"].contains("{" if payloads else "["), x["arguments"]))
+    own = F.to_json(F.col("message").dropFields("content", "usage")) if payloads else F.lit(None).cast("string")
+    usage = F.to_json("message.usage") if payloads else F.lit(None).cast("string")
+    records = omp.where("message is not null").select("rec_id", own.alias("message"), usage.alias("usage"), item.alias("items"), held.alias("arguments")).mapInArrow(_records(payloads), EMITTED)
+    lines = transcript if payloads else transcript.where(F.col("raw").contains("[") | F.col("raw").contains('"tool_calls"'))
+    return records.unionByName(lines.select("line_id", "raw").mapInArrow(_steps(payloads), EMITTED))
 
-def _arguments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for i, n, text in zip(b["rec_id"].to_pylist(), b["pos"].to_pylist(), b["arguments"].to_pylist(), strict=True):
-            held = parse(text)
-            if isinstance(held, (dict, list)):
-                item = f"message.content[{n}]"
-                rows += [("omp." + _tag(p), "omp", i, p, around, k, dump(v)) for p, around, k, v in elements(held, f"{item}.arguments", item)]
-        yield _batch(rows)
 
+def related_rows(omp: DataFrame, transcript: DataFrame) -> DataFrame:
+    """(table_tag, parent_table, parent_id, path, parent_path, position, payload) of every object of both tables: messages, usage, items, steps, calls, args and all others.
 
-def flat_rows(omp: DataFrame, transcript: DataFrame) -> DataFrame:
-    """(table_tag, parent_table, parent_id, path, parent_path, position, payload) of every object in an array of both tables.
-
-    Null and scalar elements, text that isn't whole JSON, and null or empty
-    messages, contents and lines give no row. Repeated source rows repeat.
+    position is null for objects that are no elements of arrays. A message's
+    payload is without its content and usage, which are rows of their own; a step
+    has the empty path, and no parent path. Null and scalar elements, text that
+    isn't whole JSON, and null messages and lines give no row. Repeated source
+    rows repeat.
     """
-    items = omp.select("rec_id", F.posexplode("message.content").alias("pos", "item")).where("item is not null")
-    own = items.select(
-        F.lit("omp.message.content").alias("table_tag"), F.lit("omp").alias("parent_table"), F.col("rec_id").alias("parent_id"),
-        F.concat(F.lit("message.content["), F.col("pos"), F.lit("]")).alias("path"), F.lit("message").alias("parent_path"), F.col("pos").alias("position"), F.to_json("item").alias("payload"),
-    )
-    held = items.select("rec_id", "pos", F.col("item.arguments").alias("arguments")).where(F.col("arguments").contains("[")).mapInArrow(_arguments, EMITTED)
-    steps = transcript.where(F.col("raw").contains("[") | F.col("raw").contains('"tool_calls"')).select("line_id", "raw").mapInArrow(_steps, EMITTED)
-    return own.unionByName(held).unionByName(steps)
-
-
-def _inner_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for i, raw in zip(b["line_id"].to_pylist(), b["raw"].to_pylist(), strict=True):
-            obj = parse_object(raw)
-            if obj is not None:
-                rows.append(("transcript", "transcript", i, "", None, None, dump(obj)))
-                rows += [("transcript." + _tag(p), "transcript", i, p, around, n, dump(v)) for p, around, n, v in inner_objects(open_calls(obj), "", "")]
-        yield _batch(rows)
-
-
-def _inner_arguments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for i, n, text in zip(b["rec_id"].to_pylist(), b["pos"].to_pylist(), b["arguments"].to_pylist(), strict=True):
-            held = parse(text)
-            item = f"message.content[{n}]"
-            if isinstance(held, dict):
-                rows.append(("omp.message.content.arguments", "omp", i, f"{item}.arguments", item, None, dump(held)))
-            if isinstance(held, (dict, list)):
-                rows += [("omp." + _tag(p), "omp", i, p, around, k, dump(v)) for p, around, k, v in inner_objects(held, f"{item}.arguments", item)]
-        yield _batch(rows)
+    return _visited(omp, transcript, True)
 
 
-def related_rows(omp: DataFrame, transcript: DataFrame) -> DataFrame:
-    """``flat_rows`` and the objects that are no elements of arrays, whose position is null: message, usage, steps, args and all others.
-
-    A message's payload is without its content and usage, which are rows of their
-    own; a step has the empty path, and no parent path.
-    """
-    m = omp.where("message is not null")
-    keys = lambda tag, path, around: [F.lit(tag).alias("table_tag"), F.lit("omp").alias("parent_table"), F.col("rec_id").alias("parent_id"), F.lit(path).alias("path"), F.lit(around).cast("string").alias("parent_path"), F.lit(None).cast("int").alias("position")]
-    own = m.select(*keys("omp.message", "message", ""), F.to_json(F.col("message").dropFields("content", "usage")).alias("payload"))
-    usage = m.where("message.usage is not null").select(*keys("omp.message.usage", "message.usage", "message"), F.to_json("message.usage").alias("payload"))
-    held = m.select("rec_id", F.posexplode("message.content").alias("pos", "item")).select("rec_id", "pos", F.col("item.arguments").alias("arguments")).where(F.col("arguments").contains("{")).mapInArrow(_inner_arguments, EMITTED)
-    steps = transcript.select("line_id", "raw").mapInArrow(_inner_steps, EMITTED)
-    return flat_rows(omp, transcript).unionByName(own).unionByName(usage).unionByName(held).unionByName(steps)
+def flat_rows(omp: DataFrame, transcript: DataFrame) -> DataFrame:
+    """Of ``related_rows`` those of the objects in arrays."""
+    return related_rows(omp, transcript).where("position is not null")
 
 
 def array_objects(omp: DataFrame, transcript: DataFrame) -> DataFrame:
     """(parent_table, parent_id, path) of ``flat_rows``, each once."""
-    return flat_rows(omp, transcript).where("parent_id is not null").select("parent_table", "parent_id", "path")
+    return _visited(omp, transcript, False).where("parent_id is not null").select("parent_table", "parent_id", "path")
 
 
 def flat_table(rows: DataFrame, table_tag: str, schema: str) -> DataFrame:

@@ -59,7 +59,7 @@ def p5_schema(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_steps(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.consistent_steps(table(spark, sf, "transcript"), table(spark, sf, "schema_fields"))
+    return drift.consistent_steps(*[table(spark, sf, t) for t in ("transcript", "omp_head", "schema_fields")])
 
 
 def p5_table(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,8 +1,6 @@
 import json
 from datetime import datetime
 
-from pyspark.sql import functions as F
-
 from loomspan.operators import drift, nested
 from tests.conftest import item, omp_row
 
@@ -10,11 +8,11 @@ FIELDS = [
     ("step", "step_index", "number", False), ("step", "type", "string", False), ("step", "content", "string", True), ("step", "tool_calls", "array", True), ("call", "name", "string", False), ("call", "args", "object", False),
     ("grep", "Path", "string", False), ("grep", "Query", "string", False), ("title", "type", "string", False), ("title", "v", "number", False),
 ]
-LINE = "line_id long, source_path string, raw string, change string, owner string"
+LINE = "line_id long, source_path string, raw string, line_no int, written_at timestamp_ntz, change string, owner string"
 
 
 def lines(spark, raws, path="p"):
-    return spark.createDataFrame([(i, path, r if r is None or isinstance(r, str) else json.dumps(r), "x", "x") for i, r in enumerate(raws)], LINE)
+    return spark.createDataFrame([(i, path, r if r is None or isinstance(r, str) else json.dumps(r), i, None, "x", "x") for i, r in enumerate(raws)], LINE)
 
 
 def changes(spark, steps, heads=()):
@@ -44,9 +42,16 @@ def test_union_schema_and_table(spark):
     t = lines(spark, [{"step_index": 1, "type": "T", "content": 5, "n": 1}, {"step_index": "2", "type": "U", "n": "a"}, {"step_index": "x", "kind": "V", "tool_calls": {"name": "g"}}])
     types = {(r["owner"], r["field"]): r["union_type"] for r in drift.union_schema(t, lines(spark, []), schema).collect()}
     assert types["step", "step_index"] == "string" and types["step", "n"] == "string" and types["step", "tool_calls"] == "object"
-    rows = {r["line_id"]: r for r in drift.consistent_steps(t, schema).collect()}
-    assert [rows[i]["step_index"] for i in range(3)] == [1.0, 2.0, None] and [rows[i]["type"] for i in range(3)] == ["T", "U", "V"]
-    assert rows[0]["content"] == "5" and rows[2]["tool_calls"] == '[{"name":"g"}]' and json.loads(rows[1]["other_fields"]) == {"n": "a"}
+    rows = {r["line_no"]: r for r in drift.consistent_steps(t, lines(spark, []), schema).collect()}
+    assert [rows[i]["step_index"] for i in range(3)] == ["1", "2", "x"] and [rows[i]["type"] for i in range(3)] == ["T", "U", "V"]
+    assert rows[0]["content"] == 5.0 and rows[2]["tool_calls"] == '{"name":"g"}' and json.loads(rows[1]["other_fields"]) == {"n": "a"}
+
+
+def test_lattice():
+    b = drift.BITS
+    assert drift.join() == drift.join(b["null"]) == "null" and drift.join(b["number"], b["null"]) == "number"
+    assert drift.join(b["number"], b["string"]) == drift.join(b["boolean"], b["number"]) == "string"
+    assert drift.join(b["object"], b["string"]) == drift.join(b["array"] | b["object"]) == "json"
 
 
 def stamped(spark, rows):
@@ -71,8 +76,7 @@ def test_table_of_all_owners_and_log(spark):
         ("p", 1, "step", "more", "added"), ("p", 1, "step", "step_index", "retyped"), ("p", 1, "step", "type", "renamed"),
     ]
     assert ("step", "kind") not in {(r["owner"], r["field"]) for r in drift.union_schema(t, h, schema).collect()}
-    kept = {r["step_index"]: r["other_fields"] for r in drift.consistent_steps(t.withColumn("line_id", F.col("line_no").cast("long")), schema).collect()}
-    assert json.loads(kept[None]) == {"more": [1], "step_index": "x"} and kept[1.0] is None
+    assert [(r["owner"], r["field"], r["line_no"]) for r in drift.observed(t, h, drift.agreed_fields(schema)).where("change = 'added'").orderBy("owner").collect()] == [("grep", "n", 0), ("step", "more", 1)]
 
 
 def test_array_objects(spark, omp):

@@ -74,3 +74,10 @@ def test_descendants(spark):
     df = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "a")], "node string, parent string")
     got = {(r[0], r[1], r[2]) for r in descendants(hierarchy(df, "node", "parent", paths=True)).collect()}
     assert got == {("a", "b", 1), ("b", "c", 1), ("a", "c", 2), ("a", "d", 1)}
+
+
+def test_ids_with_slashes(spark):
+    df = spark.createDataFrame([("a/b", None), ("~1", "a/b"), ("c", "~1")], "node string, parent string")
+    got = hierarchy(df, "node", "parent", paths=True)
+    assert {r["node"]: r["path"] for r in got.collect()} == {"a/b": "/a~1b", "~1": "/a~1b/~01", "c": "/a~1b/~01/c"}
+    assert {tuple(r) for r in descendants(got).collect()} == {("a/b", "~1", 1), ("a/b", "c", 2), ("~1", "c", 1)}
