@@ -76,6 +76,7 @@ STREET = re.compile(
 LOOSE_STREET = re.compile(rf"(?<![{_L}0-9_./-])(?:{_CAP}[ ]){{1,4}}\d{{1,4}}[a-z]?(?=,[ ]\d|[ ]?[|\n;])")
 WORD = re.compile(rf"[{_L}]+(?:[-'’][{_L}]+)*")
 _TOKEN = re.compile(rf"[{_L}_]+|\d+|[^\s]|\n")
+STOPS = frozenset(".?!。！？")
 SHAPE = "|shape|"
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
@@ -97,12 +98,16 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _context(text: str, start: int, end: int, kind: str) -> list[str]:
-    """The patterns around a span: two tokens before, two after, and one on either side; numbers and addresses are generalised."""
+    """The patterns around a span: two tokens before, two after, and one on either side, none of them beyond the end of a sentence; numbers and addresses are generalised."""
     left, right = text[max(0, start - 60) : start], text[end : end + 60]
     before = _TOKEN.findall(EMAIL.sub(" \x01 ", left) if "@" in left or "at" in left else left[-30:])[-2:]
     after = _TOKEN.findall(EMAIL.sub(" \x01 ", right) if "@" in right or "at" in right else right[:30])[:2]
     norm = lambda ts: ["9" if t[0].isdigit() else t.lower() for t in ts]
     b, a = norm(before), norm(after)
+    if a and a[0] in STOPS:
+        a = a[:1]  # what another sentence begins with says nothing of the span
+    if b and b[-1] in STOPS:
+        b = b[-1:]
     out = [f"{kind}|{' '.join(b[-1:])}|{' '.join(a[:1])}"] if b and a and not (b[-1] == "\n" and a[0] == "\n") else []
     if len(b) == 2 and any(len(t) > 1 for t in b):
         out.append(f"{kind}|{' '.join(b)}|*")
