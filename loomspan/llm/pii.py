@@ -16,7 +16,9 @@ import re
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,6 +36,7 @@ _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?)"
 EMAIL = re.compile(rf"(?<![{_L}0-9._%+-])[{_L}0-9][{_L}0-9._%+-]*{_AT}[{_L}0-9-]+(?:{_DOT}[{_L}0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![{_L}0-9-])", re.I)
 SPOKEN = re.compile(rf"(?<![{_L}0-9._%+-])[{_L}0-9][{_L}0-9._%+-]* at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+(?![{_L}0-9-])", re.I)
 _SIGN = re.compile(r"@|[\[({]\s?at\s?[\])}]", re.I)
+_GLUED = re.compile(r"@(?:[a-z0-9-]+\.)+?[a-z]{2,}(?=\.?[A-Z][a-z])")  # a domain in small letters and the sentence that follows without a blank
 _REMOTE = re.compile(r":(?!\s|$)[\w~/.-]+/|:[\w.-]+\.git")
 PHONE = re.compile(
     r"""(?<![A-Za-z0-9_.,/+-])(?:
@@ -44,7 +47,7 @@ PHONE = re.compile(
     | (?:\+49[ ]?(?:\(0\)[ ]?)?|0049[ ]?|0)[1-9]\d{1,3}[ /-]?\d{4,5}[ -]?\d{3}
     | (?:\+34[ ]?|0034[ ]?)\d{3}(?:[ ]?\d{3}){2}
     | \+\d{8,15}
-    )(?![0-9A-Za-z_]|[-.]\d)""",
+    )(?![0-9a-z_]|[A-Z](?![a-z])|[-.]\d)""",
     re.X,
 )
 ID_NUMBER = re.compile(
@@ -73,8 +76,19 @@ STREET = re.compile(
     )""",
     re.X,
 )
-LOOSE_STREET = re.compile(rf"(?<![{_L}0-9_./-])(?:{_CAP}[ ]){{1,4}}\d{{1,4}}[a-z]?(?=,[ ]\d|[ ]?[|\n;])")
+LOOSE_STREET = re.compile(rf"(?<![{_L}0-9_./-])(?!(?:Adresse|Address|Anschrift|Dirección)[ ])(?:{_CAP}[ ]){{1,4}}\d{{1,4}}[a-z]?(?=,[ ]\d|[ ]?[|\n;])")
+# The words that STREET needs.
+STREET_WORDS = (
+    "Street Road Lane Avenue Drive Court Boulevard Terrace Crescent Close Square Place Way St Rd Ln Ave Dr Ct Blvd rue avenue boulevard chemin place impasse quai allée cours route square "
+    "Calle C/ Avenida Avda. Plaza Paseo Camino Ronda Carrera straße strasse str. weg gasse allee platz ring damm ufer Gasse Straße Str. Weg Allee Platz Ring Damm Ufer"
+).split()
+_DIGITS = re.compile(r"\d[\d ()./+A-Z-]*")
+_DIGIT = re.compile(r"\d")
+_HOUSE = re.compile(r"\d{1,4}[a-z]?(?=,[ ]\d|[ ]?[|\n;])")
 WORD = re.compile(rf"[{_L}]+(?:[-'’][{_L}]+)*")
+LETTERS = frozenset(c for c in map(chr, range(0x1F00)) if re.match(f"[{_L}]", c))
+_CAPITAL = re.compile(rf"{_U}(?<![{_L}].)(?<![{_L}][-'’].)[{_L}]*(?:[-'’][{_L}]+)*")
+_BEFORE = re.compile(rf"{_U}(?<![{_L}].)(?<![{_L}][-'’].)[{_L}]+(?:[-'’][{_L}]+)* $")
 _TOKEN = re.compile(rf"[{_L}_]+|\d+|[^\s]|\n")
 STOPS = frozenset(".?!。！？")
 SHAPE = "|shape|"
@@ -84,24 +98,113 @@ CANDIDATE = "doc_id long, kind string, start int, end int, surface string, stron
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surface", pa.string()), ("strong", pa.bool_()), ("given", pa.string()), ("family", pa.string()), ("patterns", pa.list_(pa.int64()))])
 
 
+Lexicon = dict[str, set[str]]
+
+
 def fold(word: str) -> str:
     return unicodedata.normalize("NFC", word).lower()
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Addresses, also with signs spelled out; neither remotes of repositories nor package versions."""
-    low = text.lower()
-    for form in [EMAIL] * bool(_SIGN.search(text)) + [SPOKEN] * (" at " in low and " dot " in low):
-        for m in form.finditer(text):
-            if not _REMOTE.match(text, m.end()) and not text[max(0, m.start() - 3) : m.start()].endswith("://"):
-                yield m.start(), m.end()
+    taken = 0
+    found = []
+    for sign in _SIGN.finditer(text):
+        at = sign.start()
+        if at >= taken:
+            at -= at > 0 and text[at - 1].isspace()
+            while at > taken and (text[at - 1].isalnum() or text[at - 1] in "._%+-" or unicodedata.combining(text[at - 1])):
+                at -= 1
+            m = EMAIL.search(text, at, sign.end() + 320)
+            if m and m.start() < sign.start():
+                found.append(m)
+                taken = m.end()
+    low = text.lower() if " dot " in text or " DOT " in text else ""
+    if " at " in low and " dot " in low:
+        found += SPOKEN.finditer(text)
+    for m in found:
+        if not _REMOTE.match(text, m.end()) and not text[max(0, m.start() - 3) : m.start()].endswith("://"):
+            glued = _GLUED.search(text, m.start(), m.end() + 2)
+            yield m.start(), glued.end() if glued else m.end()
+
+
+def numbers(text: str) -> Iterator[tuple[str, re.Match]]:
+    """(kind, match) of phone and identity numbers: only stretches with seven digits at least are looked at."""
+    last, done = -1, set()
+    for m in _DIGITS.finditer(text):
+        s, e = m.span()
+        if e - s >= 7 and sum(c.isdigit() for c in m.group()) >= 7:
+            for kind, form in (("phone", PHONE), ("id_number", ID_NUMBER)):
+                for x in form.finditer(text, max(0, s - 3, last), e + 3):
+                    if (kind, x.start()) not in done:
+                        done.add((kind, x.start()))
+                        yield kind, x
+            last = e - 3
+
+
+def streets(text: str) -> Iterator[re.Match]:
+    """Street addresses, looked for around the words that make one."""
+    to, n = 0, len(text)
+    for end, _ in _street_words().iter(text):
+        if end >= to and (end + 1 == n or not (text[end + 1].isalnum() or text[end + 1] == "_")) and _DIGIT.search(text, max(0, end - 120), end + 300):
+            at, limit = max(0, to, end - 300), end + 300
+            while m := STREET.search(text, at, limit):
+                at = m.start() + 1
+                if limit < n and m.end() > limit - 20:
+                    m = STREET.match(text, m.start())
+                if m:
+                    yield m
+                    at = to = m.end()
+
+
+def loose_streets(text: str) -> Iterator[re.Match]:
+    """Capitalised words before a number that ends a line or stands before a postcode."""
+    to = 0
+    for n in _HOUSE.finditer(text):
+        s = n.start()
+        if s >= to and s > 1 and text[s - 1] == " " and (text[s - 2].isalpha() or text[s - 2] in "'’" or unicodedata.combining(text[s - 2])):
+            m = LOOSE_STREET.search(text, max(to, s - 200), n.end() + 4)
+            if m:
+                yield m
+                to = m.end()
+
+
+def _automaton(words: Iterable[str]) -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for w in words:
+        a.add_word(w, len(w))
+    a.make_automaton()
+    return a
+
+
+@lru_cache(maxsize=1)
+def _street_words() -> ahocorasick.Automaton:
+    return _automaton(STREET_WORDS)
+
+
+def holds_word(words: ahocorasick.Automaton, text: str) -> bool:
+    """Whether one of the words stands in a text as a whole word or as a part between hyphens."""
+    if not len(words):
+        return False
+    n = len(text)
+    return any((e + 1 == n or text[e + 1] not in LETTERS) and (e - w < 0 or text[e - w] not in LETTERS) for e, w in words.iter(text))
 
 
 def _context(text: str, start: int, end: int, kind: str) -> list[str]:
     """The patterns around a span: two tokens before, two after, and one on either side, none of them beyond the end of a sentence; numbers and addresses are generalised."""
     left, right = text[max(0, start - 60) : start], text[end : end + 60]
-    before = _TOKEN.findall(EMAIL.sub(" \x01 ", left) if "@" in left or "at" in left else left[-30:])[-2:]
-    after = _TOKEN.findall(EMAIL.sub(" \x01 ", right) if "@" in right or "at" in right else right[:30])[:2]
+    if "@" in left or "at" in left:
+        left = EMAIL.sub(" \x01 ", left)
+    else:
+        left = left[-30:]
+    if "@" in right or "at" in right:
+        right = EMAIL.sub(" \x01 ", right)
+    else:
+        right = right[:30]
+    before, after = _TOKEN.findall(left), _TOKEN.findall(right)
+    # a token that the window cuts is left out
+    before = before[len(before) > 0 and start > len(left) and left.startswith(before[0]) and len(before[0]) > 1 :][-2:]
+    after = after[: len(after) - (len(after) > 0 and end + len(right) < len(text) and right.endswith(after[-1]) and len(after[-1]) > 1)][:2]
     norm = lambda ts: ["9" if t[0].isdigit() else t.lower() for t in ts]
     b, a = norm(before), norm(after)
     if a and a[0] in STOPS:
@@ -133,7 +236,7 @@ def name_spans(text: str, likely: Callable[[str], bool] = lambda _: True) -> Ite
     for i, (s, e, w) in enumerate(words):
         if len(w) == 1 and w.isupper() and text[e : e + 2] == ". " and i + 1 < len(words) and words[i + 1][0] == e + 2:
             s2, e2, w2 = words[i + 1]
-            if len(w2) > 1 and likely(w2) and (i == 0 or not (words[i - 1][1] == s - 1 and text[s - 1] == " " and words[i - 1][2][0].isupper() and len(words[i - 1][2]) > 1)):
+            if len(w2) > 1 and likely(w2) and (i == 0 or not (words[i - 1][1] == s - 1 and text[s - 1] == " " and words[i - 1][2][0].isupper() and len(words[i - 1][2]) > 1 and likely(words[i - 1][2]))):
                 yield s, e2, None, w2, w2[0].isupper()
         if len(w) < 2 or i + 1 >= len(words) or not likely(w):
             continue
@@ -151,31 +254,62 @@ def name_spans(text: str, likely: Callable[[str], bool] = lambda _: True) -> Ite
             yield s, last, w2, w, w[0].isupper() and w2[0].isupper()
 
 
-def candidates(text: str, lexicon: dict[str, str]) -> Iterator[tuple]:
-    """(kind, start, end, strong, given, family) of a text."""
+def capitalised_spans(text: str) -> Iterator[tuple[int, int, str | None, str, bool]]:
+    """``name_spans`` whose words are all capitalised, found from these words on."""
+    for m in _CAPITAL.finditer(text):
+        s, e = m.span()
+        nxt = text[e : e + 3]
+        if e - s == 1:
+            if nxt[:2] == ". " and nxt[2:].isalpha():
+                w = WORD.match(text, e + 2)
+                if w and w.end() - w.start() > 1 and w.group()[0].isupper():
+                    before = _BEFORE.search(text, max(0, s - 80), s)
+                    if not before:
+                        yield s, w.end(), None, w.group(), True
+        elif nxt[:1] == " " and nxt[1:2].isalpha():
+            w = WORD.match(text, e + 1)
+            if not w or not w.group()[0].isupper():
+                continue
+            if w.end() - w.start() > 1:
+                yield s, w.end(), m.group(), w.group(), True
+            elif text[w.end() : w.end() + 2] == ". ":
+                f = WORD.match(text, w.end() + 2)
+                if f and f.end() - f.start() > 1 and f.group()[0].isupper():
+                    yield s, f.end(), m.group(), f.group(), True
+        elif nxt[:2] == ", " and nxt[2:].isalpha():
+            w = WORD.match(text, e + 2)
+            if w and w.end() - w.start() > 1 and w.group()[0].isupper():
+                i = WORD.match(text, w.end() + 1) if text[w.end() : w.end() + 1] == " " else None
+                initial = i and i.end() - i.start() == 1 and i.group().isupper() and text[i.end() : i.end() + 1] == "."
+                yield s, i.end() + 1 if initial else w.end(), w.group(), m.group(), True
+
+
+def candidates(text: str, lexicon: Lexicon, words: ahocorasick.Automaton) -> Iterator[tuple]:
+    """(kind, start, end, strong, given, family) of a text; words are those of the lexicon in small letters."""
     taken: list[tuple[int, int]] = []
     for s, e in emails(text):
         taken.append((s, e))
         yield "email", s, e, True, None, None
     free = lambda s, e: all(e <= a or s >= b for a, b in taken)
-    for m in PHONE.finditer(text):
+    for kind, m in numbers(text):
         if free(*m.span()):
             t = m.group()
-            yield "phone", m.start(), m.end(), t[0] == "+" or t.startswith("00") or t[0] == "(" or "(" in t, None, None
-    for m in ID_NUMBER.finditer(text):
+            if kind == "phone":
+                yield kind, m.start(), m.end(), t[0] == "+" or t.startswith("00") or t[0] == "(" or "(" in t, None, None
+            else:
+                yield kind, m.start(), m.end(), bool(ID_LABEL.search(text[max(0, m.start() - 40) : m.start()])), None, None
+    sure = []
+    for m in streets(text):
         if free(*m.span()):
-            yield "id_number", m.start(), m.end(), bool(ID_LABEL.search(text[max(0, m.start() - 40) : m.start()])), None, None
-    streets = []
-    for m in STREET.finditer(text):
-        if free(*m.span()):
-            streets.append(m.span())
+            sure.append(m.span())
             yield "address", m.start(), m.end(), True, None, None
-    for m in LOOSE_STREET.finditer(text):
-        if free(*m.span()) and all(m.end() <= a or m.start() >= b for a, b in streets):
+    for m in loose_streets(text):
+        if free(*m.span()) and all(m.end() <= a or m.start() >= b for a, b in sure):
             yield "address", m.start(), m.end(), False, None, None
-    for s, e, given, family, capitalised in name_spans(text, lambda w: w[0].isupper() or w in lexicon):
+    spans = name_spans(text, lambda w: w[0].isupper() or w in lexicon) if holds_word(words, text) else capitalised_spans(text)
+    for s, e, given, family, capitalised in spans:
         g, f = given and fold(given), fold(family)
-        known = lexicon.get(g) == "given", lexicon.get(f) == "family"
+        known = "given" in lexicon.get(g, ()), "family" in lexicon.get(f, ())
         if (capitalised or all(known)) and free(s, e):
             yield "name", s, e, all(known), g, f
 
@@ -185,13 +319,14 @@ def pattern_id(pattern: str) -> int:
     return xxhash.xxh64_intdigest(pattern) >> 2 << 1 | (SHAPE in pattern)
 
 
-def _find(lexicon: dict[str, str]):
+def _find(lexicon: Lexicon):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _automaton(lexicon)
         for b in batches:
             for part in range(0, b.num_rows, 1000):
                 p, rows = b.slice(part, 1000), []
                 for i, text in zip(p["doc_id"].to_pylist(), p["text"].to_pylist(), strict=True):
-                    for kind, s, e, strong, g, f in candidates(text, lexicon):
+                    for kind, s, e, strong, g, f in candidates(text, lexicon, words):
                         before = s
                         if kind == "id_number" and strong:
                             label = ID_LABEL.search(text[max(0, s - 40) : s])
@@ -203,12 +338,12 @@ def _find(lexicon: dict[str, str]):
     return run
 
 
-def seed_lexicon(name_lexicon: DataFrame, most: int = 100_000) -> dict[str, str]:
-    """folded token -> kind; the given lexicon is a seed list and may have at most ``most`` rows."""
-    rows = name_lexicon.where("token is not null and token_kind in ('given', 'family')").select("token", "token_kind").take(most + 1)
-    if len(rows) > most:
-        raise ValueError(f"the seed lexicon has more than {most} rows")
-    return {fold(r["token"]): r["token_kind"] for r in rows}
+def seed_lexicon(name_lexicon: DataFrame) -> Lexicon:
+    """folded token -> its kinds; the given lexicon is a list of seeds, made by hand, and fits into every worker."""
+    out: dict[str, set[str]] = {}
+    for r in name_lexicon.where("token is not null and token_kind in ('given', 'family')").select("token", "token_kind").distinct().collect():
+        out.setdefault(fold(r["token"]), set()).add(r["token_kind"])
+    return out
 
 
 def confident_patterns(found: DataFrame, confidence: float, support: int, shape_confidence: float = 0.6) -> DataFrame:
@@ -309,6 +444,7 @@ def _names(words: dict[str, set[str]] | None):
     """Names whose parts are all known, in any case; words None means that each row brings its own."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        families = None if words is None else _automaton(w for w, roles in words.items() if "family" in roles)
         for b in batches:
             rows = []
             own = b["known"].to_pylist() if words is None else [None] * b.num_rows
@@ -319,11 +455,14 @@ def _names(words: dict[str, set[str]] | None):
                         known.setdefault(k["token"], set()).add(k["role"])
                 else:
                     known = words
-                taken = list(emails(text))
-                got = []
+                    if not holds_word(families, fold(text)):
+                        continue
+                got, taken = [], None
                 for s, e, given, family, _ in name_spans(text, lambda w: w.lower() in known or fold(w) in known):  # noqa: B023
-                    if "family" in known.get(fold(family), ()) and (given is None or "given" in known.get(fold(given), ())) and all(e <= x or s >= y for x, y in taken):
-                        got.append((s, e))
+                    if "family" in known.get(fold(family), ()) and (given is None or "given" in known.get(fold(given), ())):
+                        taken = list(emails(text)) if taken is None else taken
+                        if all(e <= x or s >= y for x, y in taken):
+                            got.append((s, e))
                 rows += [(i, "name", s, e, text[s:e]) for s, e in apart(got)]
             names = ["doc_id", "kind", "start", "end", "surface"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()], strict=True)], names=names)
@@ -388,7 +527,7 @@ def mentions(documents: DataFrame, name_lexicon: DataFrame) -> DataFrame:
     texts = documents.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     lexicon = seed_lexicon(name_lexicon)
     found = cut(texts.mapInArrow(_find(lexicon), CANDIDATE))
-    seeds = spark.createDataFrame([(k, v) for k, v in sorted(lexicon.items())], "token string, role string")
+    seeds = spark.createDataFrame([(k, v) for k, own in sorted(lexicon.items()) for v in sorted(own)], "token string, role string")
     known, vouched = learned_names(found, seeds)
     names = with_vouched(cut(found_names(texts, known)), vouched)
     return accepted_numbers(found).unionByName(names)

@@ -100,3 +100,37 @@ def test_join_path_reads_words_alike(spark):
     known = spark.createDataFrame([("ada", "given"), ("\u00e9mile", "given"), ("ann-lou", "given"), ("falk", "family"), ("o'falk", "family")], "token string, role string")
     both = [sorted(tuple(r) for r in pii.found_names(texts, known, most).collect()) for most in (100, 1)]
     assert both[0] == both[1] and {r[0] for r in both[0]} >= {0, 2, 3, 4, 5, 7}
+
+
+def test_anchored_searches_find_what_whole_texts_hold():
+    """What is looked for around digits, street words and capitals is what the patterns find in the whole text."""
+    import random
+
+    r = random.Random(5)
+    pieces = ["Ada", "B.", "Falk,", "12", "Main St", "C/ Fuente Clara 31", "99 chemin de la Brande", "Lindgrubenallee 7a,", "+44 20 7946 0577Call", "030/23125-972", "918/26/84390", "KM8959708.", "555-12-3456", "\n", "; ", "St", "Way Out", "Am Kalten Born 2\n", "会", "e\u0301a", "Dr.", "20 0", "x" * 400, "1.2.3-4", "Jo", "L'Or", "-Ann", " A. Bo-Cy"]
+    for _ in range(400):
+        t = "".join(r.choice(pieces) + r.choice([" ", "", ", ", "\n"]) for _ in range(r.randint(1, 14)))
+        got = list(pii.numbers(t))
+        for kind, form in (("phone", pii.PHONE), ("id_number", pii.ID_NUMBER)):
+            assert {m.span() for k, m in got if k == kind} == {m.span() for m in form.finditer(t)}, t
+        assert [m.span() for m in pii.streets(t)] == [m.span() for m in pii.STREET.finditer(t)], t
+        assert [m.span() for m in pii.loose_streets(t)] == [m.span() for m in pii.LOOSE_STREET.finditer(t)], t
+        assert set(pii.capitalised_spans(t)) == {x for x in pii.name_spans(t, lambda w: w[0].isupper()) if x[4]}, t
+
+
+def test_what_follows_without_a_blank(spark):
+    got = found(spark, ["user_email: a.b@site.exampleOffset 3", "Contact: c@site.test.Mail <d@site.test> now", "tel:+49 30 23125 123Signed-off", "A@SITE.EXAMPLE"])
+    assert got == {(0, "email", "a.b@site.example"), (1, "email", "c@site.test"), (1, "email", "d@site.test"), (2, "phone", "+49 30 23125 123"), (3, "email", "A@SITE.EXAMPLE")}
+
+
+def test_a_token_may_be_given_and_family(spark):
+    lex = [("Falk", "given"), ("Falk", "family"), ("Ada", "given"), ("Eskrow", "family")]
+    for order in (lex, lex[::-1]):
+        names = {t for _, k, t in found(spark, ["see ada falk there", "see falk eskrow there"], order) if k == "name"}
+        assert names == {"ada falk", "falk eskrow"}
+
+
+def test_other_sentences_say_nothing():
+    inside, beyond = pii._context("ask Ada Falk about it", 4, 12, "name"), pii._context("Fine. Ada Falk. The rest", 6, 14, "name")
+    assert "name|*|about it" in inside and not any("the" in p or "fine" in p for p in beyond)
+    assert not any("y" * 9 in p for p in pii._context("y" * 50 + " Ada Falk", 51, 59, "name"))
