@@ -148,6 +148,8 @@ def streets(text: str) -> Iterator[re.Match]:
     for end, _ in _street_words().iter(text):
         if end >= to and (end + 1 == n or not (text[end + 1].isalnum() or text[end + 1] == "_")) and _DIGIT.search(text, max(0, end - 120), end + 300):
             at, limit = max(0, to, end - 300), end + 300
+            while at > to and (text[at - 1] in LETTERS or text[at - 1] in "'’-"):
+                at -= 1
             while m := STREET.search(text, at, limit):
                 at = m.start() + 1
                 if limit < n and m.end() > limit - 20:
@@ -163,7 +165,10 @@ def loose_streets(text: str) -> Iterator[re.Match]:
     for n in _HOUSE.finditer(text):
         s = n.start()
         if s >= to and s > 1 and text[s - 1] == " " and (text[s - 2].isalpha() or text[s - 2] in "'’" or unicodedata.combining(text[s - 2])):
-            m = LOOSE_STREET.search(text, max(to, s - 200), n.end() + 4)
+            at = max(to, s - 200)
+            while at > to and (text[at - 1] in LETTERS or text[at - 1] in "'’-"):
+                at -= 1
+            m = LOOSE_STREET.search(text, at, n.end() + 4)
             if m:
                 yield m
                 to = m.end()
