@@ -4,10 +4,12 @@ Field limits show as lengths at which far more texts end than at the lengths
 around. The hazard of a length is the share of a source's texts ending there
 among those at least as long; it is tested against the hazards of neighbouring
 lengths, with the false-discovery rate held by the Benjamini-Hochberg rule in
-each source. Only the histogram of lengths is windowed, never the texts. A text
-is cut if its row says so, if a note stands for a part left out, or if its ending is
-incomplete. At a significant length all but the end of a sentence or of an output
-is incomplete; elsewhere signs that may close a text, and short remarks, are whole.
+each source. Only the histogram of lengths is windowed, never the texts. A text of a
+significant length is cut if its ending is incomplete there: all but the end of a
+sentence or of an output, or with a note for a part left out. What no length can
+show comes from the row itself: its own word, a note, or an ending that breaks off
+anywhere, where signs that may close a text, and short remarks, are whole. Each row
+is given the first reason that holds, so the share of each source of knowledge shows.
 """
 
 from __future__ import annotations
@@ -21,38 +23,38 @@ from loomspan.session import cut
 _LEFT_OUT = r"(?:elided|omitted|truncated|not shown|skipped|removed|hidden|left out|clipped|snipped)"
 _UNITS = r"(?:more |further |other )?(?:bytes|chars?|characters|lines|results|rows|matches|entries|tokens|words|items)"
 NOTE = rf"(?i)(?:[\[<({{…]|\.\.\.|---?)\s*(?:\.\.\.|…)?\s*[\d,.]+ {_UNITS} {_LEFT_OUT}|(?:[\[<({{…]|\.\.\.)\s*{_LEFT_OUT}:? [\d,.]+ {_UNITS}"
-SHORT = 60  # a remark without any sentence end may be this long
+SHORT = 60  # a remark without any sentence end, away from the lengths found, may be this long
 TIMES = 8  # a significant length is a limit if so many times the texts end there that the lengths around lead to expect, though most run on past it
 
 
 def incomplete_ending(text: Column) -> Column:
-    """Whether a text breaks off: inside a character, after a blank, or after a letter, digit or opening sign that ends no sentence.
+    """Whether a text breaks off: inside a character, or after a letter, digit or opening sign that ends no sentence, with or without a blank behind it.
 
-    Short remarks without any sentence end are whole, as are outputs closed by an
-    exit code, and texts that end in a closing sign or symbol. Null and blank
-    texts don't break off.
+    Short remarks without any sentence end or blank behind them are whole, as are
+    outputs closed by an exit code, and texts that end in a closing sign or
+    symbol. Null and blank texts don't break off.
     """
-    r = F.rtrim(F.regexp_replace(text, r"\s+$", ""))
-    structured = r.rlike(r"[.?!]\s|[。！？].|\n") | (F.length(r) >= SHORT)
-    last = r.rlike(r"(?:[\p{L}\p{N}\p{M}]|[,:;/_(\[{<=+*\\&@#$%-])$")
-    closed = r.rlike(r"(?i)exit (?:code|status):? -?\d+$")
-    blank = F.length(r) == 0
-    return F.coalesce(~blank & (r.endswith("�") | (F.length(r) < F.length(text)) | (last & structured & ~closed)), F.lit(False))
+    r = F.regexp_replace(text, r"\s+$", "")
+    tail = F.substring(r, -40, 40)
+    last = tail.rlike(r"(?:[\p{L}\p{N}\p{M}]|[,:;/_(\[{<=+*\\&@#$%-])$")
+    closed = tail.rlike(r"(?i)exit (?:code|status):? -?\d+$")
+    structured = (F.length(r) < F.length(text)) | (F.length(r) >= SHORT) | r.rlike(r"[.?!]\s|[。！？].|\n")
+    return F.coalesce(tail.endswith("�") | (last & ~closed & structured), F.lit(False))
 
 
 def open_ending(text: Column) -> Column:
     """Whether a text doesn't end with a sentence or a closed output; the stricter measure for lengths at which texts are cut. A blank before the last sign, as in French, makes no difference."""
-    ended = text.rlike(r"[^\s.][.?!。！？…]$|[\p{L}\p{N}][ \u00a0\u202f]+[.?!]$|(?i)exit (?:code|status):? -?\d+$|</[A-Za-z_]+>$")
+    ended = F.substring(text, -60, 60).rlike(r"[^\s.][.?!。！？…]$|[\p{L}\p{N}][ \u00a0\u202f]+[.?!]$|(?i)exit (?:code|status):? -?\d+$|</[A-Za-z_]+>$")
     return F.coalesce(~ended, F.lit(False))
 
 
-def length_hazards(texts: DataFrame, width: int = 40, rate: float = 0.01, least: int = 8) -> DataFrame:
+def length_hazards(texts: DataFrame, width: int = 40, rate: float = 0.01) -> DataFrame:
     """(source, measure, len, n, hazard, times) of the significant lengths of texts (source, measure, len, mark).
 
     mark tells different texts apart; repeats of a text count once. width is the
     number of lengths to either side that a length is tested against, times how
     many times n is what those lead to expect, rate the
-    false-discovery rate, least the texts that a limit must have cut.
+    false-discovery rate. All lengths are tested, and all different texts counted.
     """
     hist = texts.select("source", "measure", "len", "mark").distinct().groupBy("source", "measure", "len").agg(F.count("mark").alias("n"))
     own = Window.partitionBy("source", "measure")
@@ -65,7 +67,7 @@ def length_hazards(texts: DataFrame, width: int = 40, rate: float = 0.01, least:
     h = h.withColumn("rank", F.row_number().over(own.orderBy("log_p", "len"))).withColumn("tests", F.count("*").over(own))
     h = h.withColumn("passes", F.col("log_p") <= F.log(F.lit(rate) * F.col("rank") / F.col("tests")))
     h = h.withColumn("up_to", F.max(F.when(F.col("passes"), F.col("rank"))).over(own))
-    return h.where((F.col("rank") <= F.col("up_to")) & (F.col("n") >= least)).select("source", "measure", "len", "n", (F.col("n") / F.col("risk")).alias("hazard"), (F.col("n") / F.col("expected")).alias("times"))
+    return h.where((F.col("rank") <= F.col("up_to"))).select("source", "measure", "len", "n", (F.col("n") / F.col("risk")).alias("hazard"), (F.col("n") / F.col("expected")).alias("times"))
 
 
 def message_texts(session_message: DataFrame) -> DataFrame:
@@ -92,7 +94,7 @@ def step_texts(transcript: DataFrame) -> DataFrame:
 def judged(texts: DataFrame) -> DataFrame:
     """texts (table_name, row_id, source, text, says_cut) with reason: why the row counts as cut, or null.
 
-    The reasons are marked, noted, limit and broken. Blank texts are whole. A row
+    The reasons are limit, marked, noted and broken, the first that holds. Blank texts are whole. A row
     without source is tested together with the others without one.
     """
     chars, octets = F.length("text"), F.octet_length("text")
@@ -103,7 +105,7 @@ def judged(texts: DataFrame) -> DataFrame:
         )
     )
     tested = facts.where("filled").select("source", "mark", F.inline(F.array(F.struct(F.lit("chars").alias("measure"), F.col("chars").alias("len")), F.struct(F.lit("octets").alias("measure"), F.col("octets").alias("len")))))
-    limits = cut(length_hazards(tested.where(F.col("len") >= SHORT)))
+    limits = cut(length_hazards(tested))
     # one row for each source: a source has few significant lengths, as each needs its own spike
     by_source = limits.groupBy("source").agg(
         F.collect_set(F.when((F.col("measure") == "chars") & (F.col("times") >= TIMES), F.col("len"))).alias("char_limits"),
@@ -113,8 +115,8 @@ def judged(texts: DataFrame) -> DataFrame:
     # a limit in bytes that falls inside a character leaves up to three bytes unused
     inside = F.exists("octet_limits", lambda x: (x - F.col("octets")).between(1, 3))
     at = F.array_contains("char_limits", F.col("chars")) | F.array_contains("octet_limits", F.col("octets")) | inside
-    limit = F.coalesce(at, F.lit(False)) & F.col("filled") & F.col("open")
-    reason = F.when(F.col("says_cut"), "marked").when(F.col("noted"), "noted").when(limit, "limit").when(F.col("broken"), "broken")
+    limit = F.coalesce(at, F.lit(False)) & F.col("filled") & (F.col("open") | F.col("noted"))
+    reason = F.when(limit, "limit").when(F.col("says_cut"), "marked").when(F.col("noted"), "noted").when(F.col("broken"), "broken")
     return j.select("table_name", "row_id", "source", reason.alias("reason"))
 
 

@@ -84,3 +84,18 @@ def test_lengths_are_counted_exactly(spark):
     more = spark.range(5_000).select(F.lit("s").alias("source"), F.lit("chars").alias("measure"), F.lit(700).alias("len"), F.xxhash64(-F.col("id") - 1).alias("mark"))
     got = {r["len"]: (r["n"], r["hazard"]) for r in length_hazards(rows.unionByName(rows).unionByName(more)).collect()}
     assert got == {500: (20_011, 20_011 / 25_011), 700: (5_000, 1.0)}
+
+
+def test_a_field_limit_of_few_characters_is_found(spark):
+    """Texts cut at 24 characters have no sentence before and none is long, yet the length shows."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    texts = [" ".join(words[(k * 7 + j * (k + 3)) % 10] for j in range(9)) for k in range(60)]
+    rows = [(k, "short", t[:24].strip().ljust(24, "x"), None, None) for k, t in enumerate(texts)]
+    rows += [(100 + k, "short", "y" * (3 + k % 19) + str(k), None, None) for k in range(40)]
+    got = {r["row_id"]: r["reason"] for r in judged(message_texts(messages(spark, rows))).collect()}
+    assert all(got[k] == "limit" for k in range(60)) and not any(got[100 + k] == "limit" for k in range(40))
+
+
+def test_blanks_behind_a_sentence_are_whole(spark):
+    df = spark.createDataFrame([("Done. ok. ",), ("All is well.\n",), ("It stops at the ",), ("fix it \n",), ("fine",)], "t string")
+    assert [r[0] for r in df.select(incomplete_ending(F.col("t"))).collect()] == [False, False, True, True, False]
