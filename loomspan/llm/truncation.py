@@ -113,7 +113,7 @@ def judged(texts: DataFrame) -> DataFrame:
     )
     j = facts.join(F.broadcast(by_source) if by_source.limit(10_001).count() <= 10_000 else by_source, "source", "left")
     # a limit in bytes that falls inside a character leaves up to three bytes unused
-    inside = F.exists("octet_limits", lambda x: (x - F.col("octets")).between(1, 3))
+    inside = F.exists("octet_limits", lambda x: (x - F.col("octets")).between(1, 3)) & (F.col("octets") > F.col("chars"))
     at = F.array_contains("char_limits", F.col("chars")) | F.array_contains("octet_limits", F.col("octets")) | inside
     limit = F.coalesce(at, F.lit(False)) & F.col("filled") & (F.col("open") | F.col("noted"))
     reason = F.when(limit, "limit").when(F.col("says_cut"), "marked").when(F.col("noted"), "noted").when(F.col("broken"), "broken")
