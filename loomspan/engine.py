@@ -1,21 +1,27 @@
 """The engine's surface: search, catalogue, context, usage, activity and evaluation over its tables.
 
-Every call returns a lazy DataFrame; requests are checked when they are made.
+Calls return DataFrames; requests are checked when they are made. A search by
+words runs small jobs before it returns, for the counts of its words.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
 from loomspan.operators import activity, catalog, context, evaluate, lexical, memory, ranking, usage
+from loomspan.operators.index import Index
 from loomspan.schemas import stored_labels
 
 SCOPE = catalog.SCOPE
+MOST_VIEWS = memory.MOST_VIEWS
+# The columns of the two sets of fields that a request may name instead of columns.
+FIELD_SETS = {"compact": ("source", "session_id", "doc_id", "ts", "role", "score"), "full": ("source", "session_id", "source_path", "project", "doc_id", "turn_id", "ts", "role", "tool_name", "text", "score")}
 
 
 @dataclass(frozen=True)
@@ -31,6 +37,7 @@ class SearchRequest:
     since: int | None = None
     until: int | None = None
     vector: tuple[float, ...] | None = None
+    model: str | None = None
     hybrid: bool = False
     stemmed: bool = True
     recency_weight: float = 0.0
@@ -40,16 +47,31 @@ class SearchRequest:
     per_session: int | None = None
     kind: str = "all"
     sort: str = "score"
-    fields: tuple[str, ...] = ("source", "session_id", "doc_id", "ts", "role", "score")
+    fields: tuple[str, ...] | str = "compact"
     limit: int = 20
 
+    @property
+    def views(self) -> list[str]:
+        """The different queries; a blank one if there is no other."""
+        return list(dict.fromkeys(v.strip() for v in self.queries)) or [""]
+
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return FIELD_SETS[self.fields] if isinstance(self.fields, str) else self.fields
+
     def check(self) -> None:
+        if len(self.views) > MOST_VIEWS:
+            raise ValueError(f"more than {MOST_VIEWS} different queries")
+        if any(len(v) > 4096 for v in self.views):
+            raise ValueError("a query is longer than 4,096 characters")
         if not 1 <= self.limit <= 500:
             raise ValueError("limit must lie between 1 and 500")
         for name in ("recency_weight", "half_life_days"):
             v = getattr(self, name)
             if not math.isfinite(v) or v < 0:
                 raise ValueError(f"{name} must be a finite number from 0 on")
+        if isinstance(self.fields, str) and self.fields not in FIELD_SETS:
+            raise ValueError("unknown set of fields")
         if self.kind not in ("all", "regular", "primary", "subagent") or self.sort not in ("score", "ts"):
             raise ValueError("unknown kind or sort")
         if self.per_session is not None and self.per_session < 1:
@@ -60,7 +82,12 @@ class SearchRequest:
 
 @dataclass
 class Engine:
-    """records as ``schemas.RECORD`` or a part of it; the other tables are needed by what uses them alone."""
+    """records as ``schemas.RECORD`` or a part of it; the other tables are needed by what uses them alone.
+
+    index: the written index of the records; searches then read no texts. It must
+    keep the columns that requests filter by and ts. vector_model: the name of the
+    model that made the vectors; a request by a vector of another one is an error.
+    """
 
     spark: SparkSession
     records: DataFrame
@@ -69,6 +96,8 @@ class Engine:
     vectors: DataFrame | None = None
     sections: DataFrame | None = None
     rates: DataFrame | None = None
+    index: Index | None = None
+    vector_model: str | None = None
     failures: list[str] = field(default_factory=list)
 
     def _filtered(self, q: SearchRequest, rows: DataFrame) -> DataFrame:
@@ -86,15 +115,29 @@ class Engine:
             rows = rows.join(kinds, SCOPE, "left").where(catalog.of_kind(F.col("_kind"), q.kind)).drop("_kind")
         return rows
 
+    def _by_words(self, q: SearchRequest) -> list[DataFrame]:
+        """The hits of each view with the columns that filters need: all views that have words in one pass over postings or texts."""
+        parsed = {i: lexical.parse(v) for i, v in enumerate(q.views)}
+        asked = {i: p for i, p in parsed.items() if p.scored}
+        out = [lexical.bm25(self.records, "text", p, q.stemmed) for i, p in parsed.items() if i not in asked]
+        if not asked:
+            return out
+        if self.index is not None and self.index.manifest and self.index.manifest["stemmed"] == q.stemmed:
+            each = self.index.search_each(asked)
+        else:
+            each = lexical.bm25_each(self.records, "text", asked, q.stemmed)
+        return [*out, *(each.where(F.col("case") == i).drop("case") for i in asked)]
+
     def search(self, q: SearchRequest) -> DataFrame:
         """Ranked records. Filters come after the statistics and before every limit; semantic search without vectors falls back to words."""
         q.check()
         wide = ranking.candidates(q.limit)
-        views = list(dict.fromkeys(v.strip() for v in q.queries))[:8] or [""]
         semantic = q.vector is not None and self.vectors is not None and not self.vectors.isEmpty()
+        if semantic and q.model is not None and self.vector_model is not None and q.model != self.vector_model:
+            raise ValueError(f"the vectors are of {self.vector_model}, not of {q.model}")
         lists = []
         if q.hybrid or not semantic:
-            lists += [lexical.top(self._filtered(q, lexical.bm25(self.records, "text", v, q.stemmed)).select("doc_id", "ts", "score"), wide, "doc_id") for v in views]
+            lists += [lexical.top(self._filtered(q, hits).select("doc_id", "ts", "score"), wide, "doc_id") for hits in self._by_words(q)]
         if semantic:
             inside = self._filtered(q, self.records).select("doc_id", "ts")
             lists.append(ranking.nearest(self.vectors.join(inside, "doc_id"), list(q.vector), wide).select("doc_id", "ts", "score"))
@@ -110,7 +153,7 @@ class Engine:
         order = [F.desc("score"), F.desc("ts"), "doc_id"] if q.sort == "score" else [F.desc("ts"), "doc_id"]
         if q.per_session is not None:
             hits = ranking.capped(hits, ["source", "session_id"], q.per_session, *order)
-        return hits.orderBy(*order).limit(q.limit).select(*q.fields)
+        return hits.orderBy(*order).limit(q.limit).select(*q.columns)
 
     def search_memories(self, queries: list[str], limit: int = 20, per_document: int = 2) -> DataFrame:
         return memory.search(self.sections, queries, limit, per_document)
@@ -128,14 +171,30 @@ class Engine:
     def projects(self) -> DataFrame:
         return catalog.project_summaries(self.sessions).orderBy(F.desc_nulls_last("last_at"), "project")
 
-    def show(self, doc_id: int | None = None, event_id: str | None = None) -> DataFrame:
-        """The record with an id; exactly one must have it."""
-        rows = self.records.where(F.col("doc_id") == doc_id if doc_id is not None else F.col("event_id") == event_id)
+    def show(self, doc_id: int | None = None, event_id: str | None = None, record_id: str | None = None) -> DataFrame:
+        """The record with an id, an event id or a canonical id (``text.record_id``); exactly one must have it."""
+        by = F.col("doc_id") == doc_id if doc_id is not None else F.col("event_id") == event_id if event_id is not None else T.record_id() == record_id
+        rows = self.records.where(by)
         n = len(rows.select("doc_id").take(2))
         if n != 1:
             raise LookupError("no record has this id" if not n else "several records have this id")
         return rows
 
+    def show_field(self, column: str, offset: int = 0, length: int = 4000, **one: object) -> DataFrame:
+        """(doc_id, value, next_offset): a part of a text column of the record that ``show`` finds, and where to go on; null at the end."""
+        rows, text = self.show(**one), F.col(column)
+        return rows.select("doc_id", F.substring(text, offset + 1, length).alias("value"), F.when(F.length(text) > offset + length, F.lit(offset + length)).alias("next_offset"))
+
+    def lookup(self, source: str | None = None, session_id: str | None = None, source_path: str | None = None) -> DataFrame:
+        """The records of a source, a session or a file, or what these have in common, in session order."""
+        rows = self.records
+        for column, value in (("session_id", session_id), ("source_path", source_path)):
+            if value is not None:
+                rows = rows.where(F.col(column) == value)
+        if source is not None:
+            rows = rows.where(F.col("source").isin(stored_labels(source)))
+        return rows.orderBy(*SCOPE, *context.ORDER)
+
     def context(self, doc_id: int, before: int = 5, after: int = 5) -> DataFrame:
         anchor = self.show(doc_id).select("doc_id")
         near = context.neighbourhood(self.records, anchor, before, after)
@@ -154,15 +213,18 @@ class Engine:
         return activity.regrid(activity.buckets(points, unit), since, now, unit)
 
     def evaluate(self, cases: DataFrame, k: int = 10, limit: int = 50, stemmed: bool = True) -> DataFrame:
-        """cases: case_id, queries array<string>, relevant array<struct<doc_id, relevance>>; see ``read_cases``. All views of all cases, at most 1,000, are searched in one pass and fused by case."""
-        listed = cases.select("case_id", "queries").take(1001)
-        if len(listed) > 1000:
-            raise ValueError("more than 1,000 cases")
+        """cases: case_id, queries array<string>, relevant array<struct<doc_id, relevance>>; see ``read_cases``. The views of all cases are searched in passes of many at a time and fused by case."""
+        listed = cases.select("case_id", "queries").collect()  # a dataset of questions, made by hand
         views = {i: (c["case_id"], v) for i, (c, v) in enumerate((c, v) for c in listed for v in dict.fromkeys(q.strip() for q in c["queries"]) if v)}
-        hits = lexical.bm25_each(self.records, "text", {i: v for i, (_, v) in views.items()}, stemmed)
+        asked = {i: v for i, (_, v) in views.items()}
+        if self.index is not None and self.index.manifest and self.index.manifest["stemmed"] == stemmed:
+            hits = self.index.search_each(asked)
+        else:
+            blocks = [dict(list(asked.items())[k : k + 200]) for k in range(0, len(asked), 200)]
+            hits = reduce(DataFrame.unionByName, [lexical.bm25_each(self.records, "text", b, stemmed).select("case", "doc_id", "score", "session_id", "ts") for b in blocks])
         own = ranking.ranked(hits, F.desc("score"), F.desc("ts"), "doc_id", by=["case"]).where(F.col("rank") <= ranking.candidates(limit))
-        names = F.create_map(*[x for i, (case, _) in views.items() for x in (F.lit(i), F.lit(case))])
-        fused = own.groupBy(names[F.col("case")].alias("case_id"), "doc_id").agg(F.sum(F.lit(1.0) / (ranking.RRF_K + F.col("rank"))).alias("score"), F.first("session_id").alias("session"), F.first("ts").alias("ts"))
+        names = self.spark.createDataFrame([(i, case) for i, (case, _) in views.items()], f"case int, case_id {dict(cases.dtypes)['case_id']}")
+        fused = own.join(names, "case").groupBy("case_id", "doc_id").agg(F.sum(F.lit(1.0) / (ranking.RRF_K + F.col("rank"))).alias("score"), F.first("session_id").alias("session"), F.first("ts").alias("ts"))
         results = ranking.ranked(fused, F.desc("score"), F.desc("ts"), "doc_id", by=["case_id"]).where(F.col("rank") <= limit).select("case_id", "rank", F.col("doc_id").alias("key"), "session")
         qrels = cases.select("case_id", F.explode("relevant").alias("r")).select("case_id", F.col("r.doc_id").alias("key"), F.col("r.relevance").alias("relevance"))
         return evaluate.evaluate(results, qrels, k)

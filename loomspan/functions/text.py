@@ -8,21 +8,41 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LABEL_CHARS = 150
+LABEL_CHARS, LABEL_TAIL, LABEL_BREAK = 150, 40, 80
 # Wrappers whose whole content is no part of a prompt.
-DROPPED = ["system-reminder", "environment_context", "user_instructions", "local-command-stdout", "command-message", "ide_selection"]
+DROPPED = [
+    "system-reminder", "command-message", "command-name", "local-command-stdout", "local-command-caveat", "local-command-output", "instructions", "environment_context", "cwd", "approval_policy", "shell", "user_instructions",
+    "recommended_plugins", "skill", "user_action", "context", "task-notification", "task-id", "tool-use-id", "subagent_notification", "turn_aborted", "current_date", "timezone", "epoch", "collaboration_mode", "apps_instructions", "permissions", "total_tokens",
+]
+# Beginnings of prompts that are previews of other conversations, the line before the request itself, and texts that are no prompts.
+PREVIEWS = r"(?is)^\s*## Referenced (?:ChatGPT conversation:|chats with Codex:)"
+REQUEST_LINE = "## My request:"
+BOILERPLATE = r"(?i)^# agents\.md|^## referenced chatgpt conversation:|global agent preferences|^you are a reminder observer"
 
 
 def label(text: Column) -> Column:
-    """A prompt as one line: wrappers and tags gone, escapes and control characters too, white space evened out, at most 150 characters with the middle left out."""
-    t = text
-    for tag in DROPPED:
-        t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
-    t = F.regexp_replace(t, r"</?[A-Za-z!][^>]*>", " ")
+    """A prompt as one line: wrappers and tags gone, escapes and control characters too, white space evened out, at most 150 characters.
+
+    Of a longer text the head and the last 40 characters stay, both cut between
+    words where that leaves enough. Of a prompt that begins with previews of other
+    conversations only what follows the line of the request counts, and nothing
+    if there is none. Boilerplate has an empty label, as has a blank text.
+    """
+    request = F.regexp_extract(text, rf"(?ism)^[ \t]*{REQUEST_LINE}[ \t]*$(.*)", 1)
+    t = F.when(text.rlike(PREVIEWS), request).otherwise(text)
+    tags = "|".join(DROPPED)
+    t = F.regexp_replace(t, rf"(?is)<({tags})[^>]*>.*?</\1>", " ")
+    t = F.regexp_replace(t, rf"(?is)<(?:{tags}).*", "")
+    t = F.regexp_replace(t, r"<[A-Za-z/!][^>]*>", " ")
     t = F.regexp_replace(t, "\x1b\\[[0-9;]*[A-Za-z]", "")
     t = F.trim(F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"\p{Cc}", ""))
-    head = LABEL_CHARS * 2 // 3
-    return F.when(F.length(t) <= LABEL_CHARS, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, head)), F.lit("…"), F.ltrim(F.substring(t, -(LABEL_CHARS - head - 1), LABEL_CHARS - head - 1))))
+    t = F.when(t.rlike(BOILERPLATE), "").otherwise(t)
+    head = F.substring(t, 1, LABEL_CHARS - LABEL_TAIL - 1)
+    at = F.length(head) - F.length(F.substring_index(head, " ", -1)) - 1
+    head = F.when(at > LABEL_BREAK, F.substring(head, F.lit(1), at)).otherwise(head)
+    tail = F.substring(t, -LABEL_TAIL, LABEL_TAIL)
+    tail = F.trim(F.substring(tail, F.instr(tail, " ") + 1, F.lit(LABEL_TAIL)))
+    return F.when(F.length(t) <= LABEL_CHARS, t).otherwise(F.concat(head, F.lit("…"), tail))
 
 
 def first_hit(text: Column, words: list[str]) -> Column:

@@ -16,8 +16,9 @@ def ordered(records: DataFrame) -> DataFrame:
 
 
 def neighbourhood(records: DataFrame, anchors: DataFrame, before: int = 5, after: int = 5) -> DataFrame:
-    """The records around each anchor (doc_id): anchor, doc_id, distance, which is negative before the anchor. At most 1,000 either way."""
-    before, after = min(before, 1000), min(after, 1000)
+    """The records around each anchor (doc_id): anchor, doc_id, distance, which is negative before the anchor. More than 1,000 either way are an error."""
+    if not (0 <= before <= 1000 and 0 <= after <= 1000):
+        raise ValueError("a context has at most 1,000 records either way")
     # only the sessions that have an anchor are put in order
     scopes = records.join(anchors.select(F.col("doc_id").alias("anchor")), F.col("doc_id") == F.col("anchor")).select("anchor", *SCOPE)
     o = ordered(records.join(scopes.select(*SCOPE).distinct(), SCOPE, "left_semi"))
@@ -45,9 +46,10 @@ def pages_around(records: DataFrame, anchors: DataFrame, limit: int) -> DataFram
 
 
 def pages(records: DataFrame, requests: DataFrame) -> DataFrame:
-    """The pages of requests (request_id, scope, offset, limit): request_id, doc_id, pos, total. At most 500 rows each."""
+    """The pages of requests (request_id, scope, offset, limit): request_id, doc_id, pos, total. A request for more than 500 rows is an error."""
+    limit = F.when(F.col("limit") > 500, F.raise_error(F.lit("a page has at most 500 records"))).otherwise(F.col("limit"))
     o = ordered(records.join(requests.select(*SCOPE).distinct(), SCOPE, "left_semi"))
-    return o.join(requests, SCOPE).where((F.col("pos") >= F.col("offset")) & (F.col("pos") < F.col("offset") + F.least(F.col("limit"), F.lit(500)))).select("request_id", "doc_id", "pos", "total")
+    return o.join(requests, SCOPE).where((F.col("pos") >= F.col("offset")) & (F.col("pos") < F.col("offset") + limit)).select("request_id", "doc_id", "pos", "total")
 
 
 def without_repeats(records: DataFrame, text: Column) -> DataFrame:

@@ -1,7 +1,8 @@
 """Keyword search over text: tokens, postings, BM25, required and excluded terms, phrases.
 
-Statistics of the whole corpus come back as one row; scoring then is a narrow
-pass in which only documents with a term survive, so a search shuffles its hits alone.
+These searches read all texts: statistics of the whole corpus come back as one
+row; scoring then is a narrow pass in which only documents with a term survive.
+``index.Index`` answers the same questions from written postings.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ import math
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import regex
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from loomspan.functions.stem import stem, stems
@@ -18,8 +20,12 @@ from loomspan.functions.stem import stem, stems
 K1, B = 1.2, 0.75
 
 
+WORDS = r"[\p{L}\p{M}\p{N}]+"
+
+
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    """The words of a text in small letters: letters, marks and digits of any script."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
 
 
 def _count_of(word: str) -> Column:
@@ -49,7 +55,7 @@ def parse(text: str) -> Query:
         if word in ("AND", "OR"):
             continue
         boost = re.fullmatch(r"(.+)\^(\d+(?:\.\d+)?)", word)
-        words = re.findall("[a-z0-9]+", (phrase or (boost[1] if boost else word)).lower())
+        words = regex.findall(WORDS, (phrase or (boost[1] if boost else word)).lower())
         if not words:
             continue
         if boost:
@@ -139,57 +145,12 @@ def bm25_each(docs: DataFrame, text: str, queries: dict[int, Query | str], stemm
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, positions, length): the inverted index, to be written bucketed or partitioned by term."""
+    """(term, key, tf, positions, length): the inverted index as a table; ``index.Index`` keeps it written."""
     t = docs.select(key, tokens(F.col(text)).alias("t"))
     each = t.select(key, F.size("t").alias("length"), F.posexplode("t").alias("pos", "term"))
     return each.groupBy("term", key, "length").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def write_index(docs: DataFrame, key: str, text: str, path: str, buckets: int = 64) -> None:
-    """The index as tables under path: postings by a hash of their term, sorted by term within, and one row of statistics.
-
-    A search then reads the buckets of its words alone, and of these the row
-    groups that may hold them. Choose the buckets so that one has some 100 million postings.
-    """
-    p = postings(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    p.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    length = F.size(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")))
-    docs.agg(F.count("*").alias("n"), F.avg(length).alias("avg"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/stats")
-
-
-def search_index(spark: SparkSession, path: str, key: str, query: Query | str) -> DataFrame:
-    """(key, score) of the documents of a written index that match; scores are those of ``bm25``. Phrases are found by positions. A query must have words."""
-    q = parse(query) if isinstance(query, str) else query
-    words = q.scored
-    if not words:
-        raise ValueError("an index search needs words that score")
-    s = spark.read.parquet(f"{path}/stats").first()
-    wanted = [*words, *q.must_not]
-    buckets = spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(w)), F.lit(s["buckets"])).cast("int").alias(f"b{i}") for i, w in enumerate(wanted)]).first()
-    p = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(sorted(set(buckets))) & F.col("term").isin(wanted))
-    df = {r["term"]: r["df"] for r in p.groupBy("term").agg(F.count("*").alias("df")).collect()}  # one row for each word of the query
-    idf = F.create_map(*[x for w in words for x in (F.lit(w), F.lit(q.boosts.get(w, 1.0) * math.log(1 + (s["n"] - df.get(w, 0) + 0.5) / (df.get(w, 0) + 0.5))))])
-    tf = F.col("tf").cast("double")
-    part = F.when(F.col("term").isin(words), idf[F.col("term")] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(s["avg"]))))
-    hits = p.groupBy(key).agg(F.sum(part).alias("score"), F.collect_set("term").alias("_terms"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("_at"))
-    keep = F.lit(True) if q.must or q.phrases else F.arrays_overlap("_terms", F.array(*map(F.lit, q.terms)))
-    for w in q.must:
-        keep = keep & F.array_contains("_terms", w)
-    for w in q.must_not:
-        keep = keep & ~F.array_contains("_terms", w)
-    for phrase in q.phrases:
-        starts = [F.transform(F.coalesce(F.try_element_at("_at", F.lit(w)), F.array().cast("array<int>")), _shift(k)) for k, w in enumerate(phrase)]
-        both = starts[0]
-        for x in starts[1:]:
-            both = F.array_intersect(both, x)
-        keep = keep & (F.size(both) > 0)
-    return hits.where(keep).select(key, "score")
-
-
-def _shift(k: int):
-    return lambda p: p - k
-
-
 def top(hits: DataFrame, limit: int, *ties: str) -> DataFrame:
     """The best hits by score, then by the tie columns."""
     return hits.orderBy(F.desc("score"), *ties).limit(limit)

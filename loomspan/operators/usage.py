@@ -6,10 +6,14 @@ cache_write, output) in billionths of a dollar for a million tokens.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = ["raw_input", "uncached_input", "cache_read", "cache_write", "output"]
+ALL_BUCKETS = [*BUCKETS, "cache_write_1h", "reasoning"]
+BY_SESSION = ("opencode",)
 NOISE_FLOOR = 1024
 TTL_MS = 300_000
 
@@ -66,14 +70,34 @@ def keep_first(events: DataFrame, keys: list[str], required: list[str]) -> DataF
     return first.unionByName(events.where(~known))
 
 
+def reconcile(events: DataFrame) -> DataFrame:
+    """events without those that a source wrote more than once, each source by its own rule; sources without a rule keep all.
+
+    claude: one for each request. codex: the first of each record with equal
+    counts in all buckets there are. cursor: the first of
+    each record with equal input and output. copilot and
+    opencode: the first of each record.
+    """
+    of = lambda *s: events.where(F.col("source").isin(*s))
+    counts = [c for c in ALL_BUCKETS if c in events.columns]
+    parts = [
+        keep_best_request(of("claude")), keep_first(of("codex"), ["session_id", "source_record_id", *counts], ["session_id", "source_record_id"]),
+        keep_first(of("cursor"), ["source_record_id", "raw_input", "output"], ["source_record_id"]), keep_first(of("copilot", "opencode"), ["source", "source_record_id"], ["source_record_id"]),
+        events.where(~F.coalesce(F.col("source").isin("claude", "codex", "cursor", "copilot", "opencode"), F.lit(False))),
+    ]
+    return reduce(DataFrame.unionByName, [p.select(events.columns) for p in parts])
+
+
 def with_rates(events: DataFrame, rates: DataFrame) -> DataFrame:
     """events with r_input and so on where the table has the model; a dated snapshot has the rates of its model, an event without provider those of any."""
     base = F.regexp_replace(F.lower(F.trim("model")), r"-20[0-9-]*$", "")
-    r = rates.select(F.lower("model").alias("_base"), F.lower("provider").alias("_provider"), *[F.col(c).alias(f"r_{c}") for c in ("input", "cache_read", "cache_write", "output")])
-    r = r.groupBy("_base").agg(F.first("_provider").alias("_provider"), *[F.first(f"r_{c}").alias(f"r_{c}") for c in ("input", "cache_read", "cache_write", "output")])
-    j = events.withColumn("_base", base).join(r, "_base", "left")
-    fits = F.col("provider").isNull() | F.lower("provider").contains(F.col("_provider"))
-    return j.select(*events.columns, *[F.when(fits, F.col(f"r_{c}")).alias(f"r_{c}") for c in ("input", "cache_read", "cache_write", "output")])
+    names = ("input", "cache_read", "cache_write", "output")
+    r = rates.groupBy(F.lower("model").alias("_base"), F.lower("provider").alias("provider")).agg(*[F.min(c).alias(c) for c in names])
+    # a model has few providers; the longest name that fits an event's provider is the closest
+    offers = F.sort_array(F.collect_list(F.struct((-F.length("provider")).alias("rank"), "provider", *names)))
+    j = events.withColumn("_base", base).join(r.groupBy("_base").agg(offers.alias("_offers")), "_base", "left")
+    fit = F.get(F.filter("_offers", lambda o: F.col("provider").isNull() | F.lower("provider").contains(o["provider"])), F.lit(0))
+    return j.select(*events.columns, *[fit[c].alias(f"r_{c}") for c in names])
 
 
 def cost_nanos() -> Column:
@@ -87,23 +111,25 @@ def report(events: DataFrame) -> DataFrame:
     """Totals by source; with cost_nanos, priced events and the known cost too."""
     return events.groupBy("source").agg(
         F.count("*").alias("events"), *[F.sum(c).alias(c) for c in BUCKETS], F.sum(total()).alias("tokens"), F.count_if(F.col("model").isNull()).alias("unknown_model"),
-        F.count("cost_nanos").alias("priced"), F.sum("cost_nanos").alias("cost_nanos"),
+        F.count("cost_nanos").alias("priced"), F.count_if(F.col("cost_nanos").isNull()).alias("unpriced"), F.sum("cost_nanos").alias("cost_nanos"),
     )
 
 
 def cache_misses(events: DataFrame) -> DataFrame:
     """The events whose prompt should have been cached and wasn't, with ``missed`` tokens and the reason (switch, idle, other).
 
-    Chains are the events of a session's file in order of time. Sidechains and
+    Chains are the events of a session's file in order of time, and of the whole
+    session where the source writes a file for each message (``BY_SESSION``). Sidechains and
     events without session are no part of them; chain_break events start a new
     segment; events without a prompt are passed over. A prompt under half of the
     one before starts anew without a miss.
     """
     prompt = F.col("uncached_input") + F.col("cache_read") + F.col("cache_write")
-    chain = Window.partitionBy("source", "session_id", "source_path").orderBy("timestamp_ms", "source_order", "row_idx")
-    e = events.where("not sidechain and session_id is not null").withColumn("_seg", F.sum(F.col("chain_break").cast("int")).over(chain))
+    chain = Window.partitionBy("source", "session_id", "_stream").orderBy("timestamp_ms", "source_order", "row_idx")
+    stream = F.when(~F.col("source").isin(*BY_SESSION), F.col("source_path")).otherwise("")
+    e = events.where("not sidechain and session_id is not null").withColumn("_stream", stream).withColumn("_seg", F.sum(F.col("chain_break").cast("int")).over(chain))
     e = e.where("not chain_break").withColumn("_prompt", prompt).where("_prompt > 0")
-    seg = Window.partitionBy("source", "session_id", "source_path", "_seg").orderBy("timestamp_ms", "source_order", "row_idx")
+    seg = Window.partitionBy("source", "session_id", "_stream", "_seg").orderBy("timestamp_ms", "source_order", "row_idx")
     model = F.struct(F.coalesce("provider", F.lit("")), F.coalesce("model", F.lit("")))
     e = e.withColumn("_model", model).select(
         "*", F.lag("_prompt").over(seg).alias("_before"), F.lag("_model").over(seg).alias("_model_before"), F.lag("timestamp_ms").over(seg).alias("_ts_before"),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.operators import context, evaluate, lexical, ranking
+from loomspan.operators import context, evaluate, ranking
 from loomspan.plans.adapters import RECORDS_SQL, records
-from loomspan.plans.retrieval import _bm25_sql
+from loomspan.plans.retrieval import _bm25_sql, document_index
 from loomspan.session import table
 
 SQL: dict[str, str] = {}
@@ -16,7 +16,8 @@ _SAME = "o.source = a.source AND o.session_id = a.session_id AND o.source_path =
 
 
 def _anchors(spark: SparkSession, sf: str) -> DataFrame:
-    return records(spark, sf).where("doc_id % 97 = 5").select("doc_id")
+    """The stated query set: every record whose id is divisible by 50."""
+    return records(spark, sf).where("doc_id % 50 = 0").select("doc_id")
 
 
 def context_window(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,7 +25,7 @@ def context_window(spark: SparkSession, sf: str) -> DataFrame:
     return context.neighbourhood(records(spark, sf), _anchors(spark, sf), 3, 4).select("anchor", "doc_id", "distance")
 
 
-SQL["context_window"] = f"{_O} SELECT a.doc_id AS anchor, o.doc_id, o.pos - a.pos AS distance FROM o JOIN o a ON {_SAME} WHERE a.doc_id % 97 = 5 AND o.pos - a.pos BETWEEN -3 AND 4"
+SQL["context_window"] = f"{_O} SELECT a.doc_id AS anchor, o.doc_id, o.pos - a.pos AS distance FROM o JOIN o a ON {_SAME} WHERE a.doc_id % 50 = 0 AND o.pos - a.pos BETWEEN -3 AND 4"
 
 
 def context_interactions(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,7 +34,7 @@ def context_interactions(spark: SparkSession, sf: str) -> DataFrame:
     return context.with_interactions(context.neighbourhood(r, _anchors(spark, sf), 1, 1), r, "tool_name")
 
 
-SQL["context_interactions"] = f"""{_O}, w AS (SELECT a.doc_id AS anchor, o.* FROM o JOIN o a ON {_SAME} WHERE a.doc_id % 97 = 5 AND o.pos - a.pos BETWEEN -1 AND 1)
+SQL["context_interactions"] = f"""{_O}, w AS (SELECT a.doc_id AS anchor, o.* FROM o JOIN o a ON {_SAME} WHERE a.doc_id % 50 = 0 AND o.pos - a.pos BETWEEN -1 AND 1)
   SELECT anchor, doc_id FROM w UNION SELECT a.anchor, o.doc_id FROM o JOIN w a ON {_SAME} AND o.tool_name = a.tool_name"""
 
 
@@ -42,49 +43,18 @@ def context_page(spark: SparkSession, sf: str) -> DataFrame:
     return context.pages_around(records(spark, sf), _anchors(spark, sf), 10)
 
 
-SQL["context_page"] = f"""{_O}, b AS (SELECT *, least(pos, 5) AS f FROM o WHERE doc_id % 97 = 5), c AS (SELECT *, least(total - pos, 10 - f) AS behind FROM b), a AS (SELECT *, least(pos, 10 - behind) AS ahead FROM c)
+SQL["context_page"] = f"""{_O}, b AS (SELECT *, least(pos, 5) AS f FROM o WHERE doc_id % 50 = 0), c AS (SELECT *, least(total - pos, 10 - f) AS behind FROM b), a AS (SELECT *, least(pos, 10 - behind) AS ahead FROM c)
   SELECT a.doc_id AS anchor, o.doc_id, o.pos, a.pos - ahead AS "offset", o.total FROM o JOIN a ON {_SAME} WHERE o.pos >= a.pos - ahead AND o.pos < a.pos + behind"""
 
 
 def session_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Several pages of sessions at once."""
     r = records(spark, sf)
-    wanted = r.where("doc_id % 151 = 3").select(F.col("doc_id").alias("request_id"), *context.SCOPE, (F.col("doc_id") % 4).alias("offset"), F.lit(3).alias("limit"))
-    return context.pages(r, wanted)
-
-
-SQL["session_pages"] = f"{_O} SELECT a.doc_id AS request_id, o.doc_id, o.pos, o.total FROM o JOIN o a ON {_SAME} WHERE a.doc_id % 151 = 3 AND o.pos >= a.doc_id % 4 AND o.pos < a.doc_id % 4 + 3"
-
-
-def _set_anchors(spark: SparkSession, sf: str) -> DataFrame:
-    """Every record whose id is divisible by 50."""
-    return records(spark, sf).where("doc_id % 50 = 0").select("doc_id")
-
-
-def context_window_set(spark: SparkSession, sf: str) -> DataFrame:
-    """context_window around all ids divisible by 50."""
-    return context.neighbourhood(records(spark, sf), _set_anchors(spark, sf), 3, 4).select("anchor", "doc_id", "distance")
-
-
-def context_interactions_set(spark: SparkSession, sf: str) -> DataFrame:
-    """context_interactions around all ids divisible by 50."""
-    r = records(spark, sf)
-    return context.with_interactions(context.neighbourhood(r, _set_anchors(spark, sf), 1, 1), r, "tool_name")
-
-
-def context_page_set(spark: SparkSession, sf: str) -> DataFrame:
-    """context_page around all ids divisible by 50."""
-    return context.pages_around(records(spark, sf), _set_anchors(spark, sf), 10)
-
-
-def session_pages_set(spark: SparkSession, sf: str) -> DataFrame:
-    """session_pages for a request of every id divisible by 50."""
-    r = records(spark, sf)
     wanted = r.where("doc_id % 50 = 0").select(F.col("doc_id").alias("request_id"), *context.SCOPE, (F.col("doc_id") % 4).alias("offset"), F.lit(3).alias("limit"))
     return context.pages(r, wanted)
 
 
-SQL |= {f"{q}_set": SQL[q].replace("a.doc_id % 97 = 5", "a.doc_id % 50 = 0").replace("WHERE doc_id % 97 = 5", "WHERE doc_id % 50 = 0").replace("a.doc_id % 151 = 3", "a.doc_id % 50 = 0") for q in ("context_window", "context_interactions", "context_page", "session_pages")}
+SQL["session_pages"] = f"{_O} SELECT a.doc_id AS request_id, o.doc_id, o.pos, o.total FROM o JOIN o a ON {_SAME} WHERE a.doc_id % 50 = 0 AND o.pos >= a.doc_id % 4 AND o.pos < a.doc_id % 4 + 3"
 
 
 def without_repeats(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,7 +95,7 @@ _CASES = [(1, "refresh task"), (2, "segment merger"), (3, "query planner"), (4,
 def evaluation(spark: SparkSession, sf: str) -> DataFrame:
     """Five questions, each relevant where a document says both words in a row."""
     docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "text", "source")
-    hits = lexical.bm25_each(docs, "text", dict(_CASES)).withColumn("score", F.round("score", 6))
+    hits = document_index(spark, sf).search_each(dict(_CASES)).withColumn("score", F.round("score", 6))
     top = ranking.capped(hits, ["case"], 50, F.desc("score"), "doc_id")
     results = ranking.ranked(top, F.desc("score"), "doc_id", by=["case"]).select(F.col("case").alias("case_id"), "rank", F.col("doc_id").alias("key"), F.col("source").alias("session"))
     said = F.array(*[F.when(F.lower("text").contains(words), F.lit(case)) for case, words in _CASES])
@@ -143,5 +113,5 @@ SQL["evaluation"] = f"""WITH res AS ({_RES}), rel AS ({_REL}), t AS (SELECT * FR
   SELECT i.case_id, round(coalesce(found / relevant, 0), 6) AS recall, round(coalesce(1 / best, 0), 6) AS mrr, round(coalesce(dcg / idcg, 0), 6) AS ndcg, coalesce(s.n, 0) AS unique_sessions FROM i LEFT JOIN h USING (case_id) LEFT JOIN s USING (case_id)"""
 
 QUERIES = {
-    f.__name__: f for f in (context_window, context_interactions, context_page, session_pages, context_window_set, context_interactions_set, context_page_set, session_pages_set, without_repeats, last_user_turns, read_budget, collapsed_exchanges, evaluation)
+    f.__name__: f for f in (context_window, context_interactions, context_page, session_pages, without_repeats, last_user_turns, read_budget, collapsed_exchanges, evaluation)
 }

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
 from loomspan.operators import lexical, memory, ranking
+from loomspan.operators.index import Index, resident
 from loomspan.plans.adapters import RECORDS_SQL, records
+from loomspan.plans.retrieval import record_index
 from loomspan.session import table
 
 SQL: dict[str, str] = {}
@@ -19,6 +21,12 @@ def _parts(spark: SparkSession, sf: str) -> DataFrame:
     return memory.split_sections(docs).join(docs.select("doc_id", F.coalesce(memory.title(F.col("text")), F.lit("")).alias("title")), "doc_id").withColumn("heading", F.coalesce("heading", F.lit("")))
 
 
+def _section_indexes(spark: SparkSession, sf: str) -> dict[str, Index]:
+    """One written index for each field that a memory search weighs."""
+    keyed = _parts(spark, sf).withColumn("section_key", F.concat_ws(":", "doc_id", "section"))
+    return {f: resident(spark, f"sections-{f}", f"{sf}/documents.parquet", keyed, "section_key", f, ("doc_id", "section")) for f, _ in memory.FIELDS}
+
+
 def memory_sections(spark: SparkSession, sf: str) -> DataFrame:
     """Sections with headings, lines, references and dates."""
     return memory.split_sections(table(spark, sf, "documents").where("kind = 'memory'"))
@@ -26,14 +34,23 @@ def memory_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 def memory_search(spark: SparkSession, sf: str) -> DataFrame:
     """The best sections for three views of a question."""
-    return memory.search(_parts(spark, sf), ["refresh task", "segment merger", "refresh task", " "], 30)
+    return memory.search(_parts(spark, sf), ["refresh task", "segment merger", "refresh task", " "], 30, indexes=_section_indexes(spark, sf))
+
+
+def memory_search_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """The same among the memories of one source within bounds of time, newest first."""
+    docs = table(spark, sf, "documents").where("kind = 'memory' and text is not null").select("doc_id", F.col("source").alias("m_source"), F.unix_millis(F.col("updated_at").cast("timestamp")).alias("mtime"))
+    parts = _parts(spark, sf)
+    allowed = memory.eligible(parts.select("doc_id", "section").join(docs, "doc_id").withColumnRenamed("m_source", "source"), since=1, until=4_102_444_800_000)
+    return memory.search(parts, ["refresh task", "segment merger"], 30, indexes=_section_indexes(spark, sf), allowed=allowed, newest_first=True).select("doc_id", "section", "mtime", F.round("score", 9).alias("score"))
 
 
 def unified_search(spark: SparkSession, sf: str) -> DataFrame:
     """Records and memories in one list, each by its own ranks."""
-    r = ranking.ranked(lexical.top(lexical.bm25(records(spark, sf), "text", "refresh segment").withColumn("score", F.round("score", 6)), 40, "doc_id"), F.desc("score"), "doc_id")
+    r = ranking.ranked(lexical.top(record_index(spark, sf).search("refresh segment").withColumn("score", F.round("score", 6)), 40, "doc_id"), F.desc("score"), "doc_id")
     docs = table(spark, sf, "documents").where("kind = 'memory' and text is not null")
-    m = ranking.ranked(lexical.top(lexical.bm25(docs, "text", "refresh segment").withColumn("score", F.round("score", 6)), 40, "doc_id"), F.desc("score"), "doc_id")
+    memories = resident(spark, "memories", f"{sf}/documents.parquet", docs, "doc_id", "text")
+    m = ranking.ranked(lexical.top(memories.search("refresh segment").withColumn("score", F.round("score", 6)), 40, "doc_id"), F.desc("score"), "doc_id")
     both = r.select(F.lit("record").alias("corpus"), "doc_id", "rank").unionByName(m.select(F.lit("memory").alias("corpus"), "doc_id", "rank"))
     return both.select("corpus", "doc_id", F.round(1 / (60 + F.col("rank")), 9).alias("score")).orderBy(F.desc("score"), "corpus", "doc_id").limit(50)
 
@@ -51,13 +68,16 @@ SQL["unified_search"] = (
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
-    """The first prompts of sessions as labels."""
-    return records(spark, sf).where("role = 'user'").select("doc_id", T.label(F.col("text")).alias("label"))
+    """Prompts as labels; none of the tables' prompts is a preview of another conversation, so the SQL doesn't know these."""
+    return records(spark, sf).where("role = 'user'").where(~F.col("text").rlike("(?i)## referenced ")).select("doc_id", T.label(F.col("text")).alias("label"))
 
 
-SQL["labels"] = rf"""{_R}, a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?is)<(system-reminder|environment_context|user_instructions|local-command-stdout|command-message|ide_selection)\b[^>]*>.*?</(system-reminder|environment_context|user_instructions|local-command-stdout|command-message|ide_selection)>', ' ', 'g'), '</?[A-Za-z!][^>]*>', ' ', 'g') AS t FROM records WHERE role = 'user'),
-  b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '\x1b\[[0-9;]*[A-Za-z]', '', 'g'), '\s+', ' ', 'g'), '\p{{Cc}}', '', 'g')) AS t FROM a)
-  SELECT doc_id, CASE WHEN length(t) <= 150 THEN t ELSE rtrim(substring(t, 1, 100)) || '…' || ltrim(substring(t, length(t) - 48)) END AS label FROM b"""
+_TAGS = "|".join(T.DROPPED)
+SQL["labels"] = rf"""{_R}, a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?is)<({_TAGS})[^>]*>.*?</({_TAGS})>', ' ', 'g'), '(?is)<({_TAGS}).*', '', 'g'), '<[A-Za-z/!][^>]*>', ' ', 'g') AS t FROM records WHERE role = 'user' AND NOT regexp_matches(text, '(?i)## referenced ')),
+  b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '\x1b\[[0-9;]*[A-Za-z]', '', 'g'), '\s+', ' ', 'g'), '\p{{Cc}}', '', 'g')) AS t FROM a),
+  c AS (SELECT doc_id, CASE WHEN starts_with(lower(t), '# agents.md') OR contains(lower(t), 'global agent preferences') OR starts_with(lower(t), 'you are a reminder observer') THEN '' ELSE t END AS t FROM b),
+  d AS (SELECT doc_id, t, left(t, 109) AS h, right(t, 40) AS e FROM c), f AS (SELECT *, length(h) - strpos(reverse(h), ' ') AS p FROM d)
+  SELECT doc_id, CASE WHEN length(t) <= 150 THEN t ELSE CASE WHEN contains(h, ' ') AND p > 80 THEN left(h, p) ELSE h END || '…' || trim(CASE WHEN contains(e, ' ') THEN substring(e, strpos(e, ' ') + 1) ELSE e END) END AS label FROM f"""
 
 
 def snippets(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,4 +127,4 @@ def payload_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL["payload_texts"] = "SELECT rec_id, pos, item.arguments AS payload FROM (SELECT rec_id, unnest(message.content) AS item, CAST(generate_subscripts(message.content, 1) - 1 AS INT) AS pos FROM omp) WHERE item.arguments IS NOT NULL"
 
-QUERIES = {f.__name__: f for f in (memory_sections, memory_search, unified_search, labels, snippets, match_spans, path_names, stamp_functions, payload_texts)}
+QUERIES = {f.__name__: f for f in (memory_sections, memory_search, memory_search_filtered, unified_search, labels, snippets, match_spans, path_names, stamp_functions, payload_texts)}

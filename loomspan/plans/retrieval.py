@@ -6,16 +6,30 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.operators import lexical, ranking
+from loomspan.operators.index import Index, resident
 from loomspan.plans.adapters import RECORDS_SQL, records, vectors
-from loomspan.session import table
+from loomspan.session import Scratch, table
 
 NOW = 1_793_000_000_000
 WORDS = ["refresh", "segment", "query"]
 SCOPE = ["source", "session_id", "source_path"]
 
 
+KEPT = ("source", "session_id", "source_path", "project", "ts", "role", "conversation_kind")
+
+
+def record_index(spark: SparkSession, sf: str, stemmed: bool = False) -> Index:
+    """The written index of the records, made at the first search of a state of the table."""
+    return resident(spark, "records", f"{sf}/session_message.parquet", records(spark, sf), "doc_id", "text", KEPT, stemmed)
+
+
+def document_index(spark: SparkSession, sf: str) -> Index:
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "text", "source", "kind")
+    return resident(spark, "documents", f"{sf}/documents.parquet", docs, "doc_id", "text", ("source", "kind"))
+
+
 def _hits(spark: SparkSession, sf: str, query: lexical.Query | str = "refresh segment query") -> DataFrame:
-    return lexical.bm25(records(spark, sf), "text", query)
+    return record_index(spark, sf).search(query)
 
 
 def search_bm25(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,7 +45,7 @@ def _bm25_sql(words: list[str], source: str = "records", key: str = "doc_id", te
     some = " OR ".join(f"tf{i} > 0" for i in range(len(words)))
     more = "".join(f", {c}" for c in cols.split(", ") if c)
     return (
-        f"tk AS (SELECT {key}{more}, regexp_extract_all(lower({text}), '[a-z0-9]+') AS t FROM {source} WHERE {text} IS NOT NULL), "
+        f"tk AS (SELECT {key}{more}, list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM {source} WHERE {text} IS NOT NULL), "
         f"tf AS (SELECT {key}{more}, t, len(t) AS n, {tf} FROM tk), st AS (SELECT avg(n) AS avgn, {df} FROM tf), "
         f"hits AS (SELECT {key}{more}, {score} AS score FROM tf, st WHERE ({where or some}))"
     )
@@ -54,9 +68,41 @@ SQL["search_grammar"] = (
 )
 
 
+def search_scripts(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of other scripts and with accents, over the documents."""
+    return document_index(spark, sf).search("versión für année").select("doc_id", F.round("score", 6).alias("score"))
+
+
+SQL["search_scripts"] = "WITH " + _bm25_sql(["versión", "für", "année"], source="documents") + " SELECT doc_id, round(score, 6) AS score FROM hits"
+
+
+def search_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The same search without an index, over the texts."""
+    hits = lexical.bm25(records(spark, sf), "text", "refresh segment query")
+    return lexical.top(hits.select("doc_id", F.round("score", 6).alias("score")), 50, "doc_id")
+
+
+SQL["search_scan"] = SQL["search_bm25"]
+
+
+def index_append(spark: SparkSession, sf: str) -> DataFrame:
+    """B1, B2: an index to which documents are added, of which some are replaced and some removed, and merged; searched in the end."""
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "text", "source")
+    path = Scratch(spark, "index").path
+    late = docs.where("doc_id % 50 = 0")
+    index = Index(spark, path).create(docs.where("doc_id % 50 <> 0").unionByName(late.withColumn("text", F.lit("refresh task"))), "doc_id", "text", ("source",))
+    index.append(late)
+    index.remove(docs.where("doc_id % 50 = 1").select("doc_id"))
+    index.merge(whole=True)
+    return index.search("refresh task").select("doc_id", "source", F.round("score", 6).alias("score"))
+
+
+SQL["index_append"] = "WITH d AS (SELECT * FROM documents WHERE text IS NOT NULL AND doc_id % 50 <> 1), " + _bm25_sql(["refresh", "task"], source="d", cols="source") + " SELECT doc_id, source, round(score, 6) AS score FROM hits"
+
+
 def search_match_all(spark: SparkSession, sf: str) -> DataFrame:
     """A blank query matches everything."""
-    return _hits(spark, sf, "  ").groupBy("source").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+    return lexical.bm25(records(spark, sf), "text", "  ").groupBy("source").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
 
 
 SQL["search_match_all"] = f"WITH {RECORDS_SQL} SELECT source, count(*) AS n, CAST(count(*) AS DOUBLE) AS score FROM records GROUP BY source"
@@ -134,7 +180,7 @@ SQL["search_sessions_page"] = f"""{_BASE}, h AS (SELECT *, round(score, 6) AS r
 
 def search_multi_query(spark: SparkSession, sf: str) -> DataFrame:
     """Three views of a question, fused by reciprocal ranks."""
-    hits = lexical.bm25_each(records(spark, sf).select("doc_id", "text"), "text", {0: "refresh task", 1: "segment merger", 2: "query planner"})
+    hits = record_index(spark, sf).search_each({0: "refresh task", 1: "segment merger", 2: "query planner"})
     fused = ranking.rrf_cases(hits.withColumn("score", F.round("score", 6)), ["doc_id"], 100)
     return fused.select("doc_id", F.round("score", 9).alias("score"))
 
@@ -205,7 +251,7 @@ def search_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """Words and vectors fused by ranks; documents and vectors share ids."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     n = ranking.candidates(20)
-    words = ranking.ranked(lexical.top(lexical.bm25(docs.where("text is not null"), "text", "refresh segment query").withColumn("score", F.round("score", 6)), n, "doc_id"), F.desc("score"), "doc_id")
+    words = ranking.ranked(lexical.top(document_index(spark, sf).search("refresh segment query").withColumn("score", F.round("score", 6)), n, "doc_id"), F.desc("score"), "doc_id")
     near = ranking.ranked(ranking.nearest(vectors(spark, sf), _query_vector(spark, sf), n), "distance", "doc_id")
     fused = ranking.rrf([words, near], ["doc_id"]).join(docs.select("doc_id"), "doc_id")
     return lexical.top(fused.select("doc_id", F.round("score", 9).alias("score")), 20, "doc_id")
@@ -228,12 +274,12 @@ SQL["vector_coverage"] = f"WITH {RECORDS_SQL} SELECT source, count(*) AS missing
 
 
 def scope_ambiguity(spark: SparkSession, sf: str) -> DataFrame:
-    """The sessions whose id has several identities."""
-    ids = table(spark, sf, "sessions").select("session_id", "source", "source_path").distinct()
+    """The session ids that stand for several identities; in these tables none has two paths, so the working directory tells them apart here."""
+    ids = table(spark, sf, "sessions").where("cwd is not null").select("session_id", "source", "cwd").distinct()
     return ids.groupBy("session_id").agg(F.count("*").alias("identities")).where("identities > 1")
 
 
-SQL["scope_ambiguity"] = "SELECT session_id, count(*) AS identities FROM (SELECT DISTINCT session_id, source, source_path FROM sessions) GROUP BY session_id HAVING count(*) > 1"
+SQL["scope_ambiguity"] = "SELECT session_id, count(*) AS identities FROM (SELECT DISTINCT session_id, source, cwd FROM sessions WHERE cwd IS NOT NULL) GROUP BY session_id HAVING count(*) > 1"
 
 
 def search_scope_join(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,19 +307,19 @@ def index_postings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL["index_postings"] = (
-    "WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM t) "
+    "WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM t) "
     "SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf, CAST(max(pos) AS INT) AS last_position FROM e GROUP BY term"
 )
 
 def search_stemmed(spark: SparkSession, sf: str) -> DataFrame:
     """Words by their stems; no SQL, tested by itself."""
-    return lexical.top(lexical.bm25(records(spark, sf), "text", "refreshing segments queried", True).select("doc_id", F.round("score", 6).alias("score")), 50, "doc_id")
+    return lexical.top(record_index(spark, sf, True).search("refreshing segments queried").select("doc_id", F.round("score", 6).alias("score")), 50, "doc_id")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        search_bm25, search_stemmed, search_grammar, search_match_all, search_by_time, recent_records, search_recency, search_min_score, search_top_per_session, search_session_groups, search_sessions_page,
+        search_bm25, search_scripts, search_scan, index_append, search_stemmed, search_grammar, search_match_all, search_by_time, recent_records, search_recency, search_min_score, search_top_per_session, search_session_groups, search_sessions_page,
         search_multi_query, search_federated, vector_knn, vector_knn_filtered, vector_knn_set, vector_knn_filtered_set, search_hybrid, vector_coverage, scope_ambiguity, search_scope_join, query_exists, index_postings,
     )
 }

@@ -38,7 +38,7 @@ def usage_report(spark: SparkSession, sf: str) -> DataFrame:
     return usage.report(e).fillna({"cost_nanos": 0})
 
 
-SQL["usage_report"] = f"{_PRICED} SELECT coalesce(provider, '-') AS source, count(*) AS events, {_SUMS}, CAST(sum({TOTAL}) AS BIGINT) AS tokens, count_if(model IS NULL) AS unknown_model, count(cost_nanos) AS priced, coalesce(CAST(sum(cost_nanos) AS BIGINT), 0) AS cost_nanos FROM p WHERE timestamp_ms >= {SINCE} AND timestamp_ms < {UNTIL} GROUP BY 1"
+SQL["usage_report"] = f"{_PRICED} SELECT coalesce(provider, '-') AS source, count(*) AS events, {_SUMS}, CAST(sum({TOTAL}) AS BIGINT) AS tokens, count_if(model IS NULL) AS unknown_model, count(cost_nanos) AS priced, count(*) - count(cost_nanos) AS unpriced, coalesce(CAST(sum(cost_nanos) AS BIGINT), 0) AS cost_nanos FROM p WHERE timestamp_ms >= {SINCE} AND timestamp_ms < {UNTIL} GROUP BY 1"
 
 
 def usage_cost_by_event(spark: SparkSession, sf: str) -> DataFrame:

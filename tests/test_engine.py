@@ -1,9 +1,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomspan.engine import Engine, SearchRequest, add_vectors, append_trace, federate, read_cases, referenced, retain_vectors
 from loomspan.operators import context, evaluate, lexical, memory, usage
+from loomspan.operators.index import Index
 
 REC = "source string, doc_id long, ts long, project string, session_id string, source_path string, turn_id int, role string, text string, tool_name string, event_id string, conversation_kind string"
 
@@ -96,7 +98,7 @@ def test_exchanges_against_brute_force(spark):
 def test_memories(spark):
     text = "---\ndate: 2026-01-02\n---\n# Top 2026-03-04\nsee [a](b.md#x) and src/a.rs:12\n````\n# not a heading\n```\n````\n## Top 2026-03-04\n" + "y" * 9000
     s = list(memory.sections(text))
-    assert [x["section_id"] for x in s] == ["preamble", "top-2026-03-04", "top-2026-03-04-2", "top-2026-03-04-3"] and s[0]["dates"] == ["2026-01-02"] and s[1]["refs"] == ["b.md#x", "src/a.rs:12"] and "# not a heading" in s[1]["content"]
+    assert [x["section_id"] for x in s] == ["document", "top-2026-03-04", "top-2026-03-04-2-part-1", "top-2026-03-04-2-part-2"] and s[0]["dates"] == ["2026-01-02"] and s[1]["refs"] == ["b.md#x", "src/a.rs:12"] and "# not a heading" in s[1]["content"]
     assert list(memory.sections("")) == [] and list(memory.sections("\n \n")) == []
     parts = spark.createDataFrame([(1, 0, "alpha one", "", "t"), (1, 1, "alpha two", "alpha", "t"), (1, 2, "alpha three", "", "t"), (2, 0, "beta", "", "t")], "doc_id long, section int, content string, heading string, title string")
     got = memory.search(parts, ["alpha", " ", "alpha"], 10).collect()
@@ -134,3 +136,63 @@ def test_parse_and_trace(spark, tmp_path):
     append_trace(t, str(tmp_path / "t"))
     append_trace(t, str(tmp_path / "t"))
     assert spark.read.json(str(tmp_path / "t")).columns == ["doc_id"] and spark.read.json(str(tmp_path / "t")).count() == 2
+
+
+def test_section_ids_differ():
+    assert memory.section_ids(["X", "x", "x 2", "x-2-2"], [1, 1, 1, 1]) == [["x"], ["x-2"], ["x-2-2"], ["x-2-2-2"]]
+    assert memory.section_ids(["T part 1", "T", None, "!"], [1, 2, 1, 1]) == [["t-part-1"], ["t-part-1-2", "t-part-2"], ["document"], ["document-2"]]
+    for text in ("# A\n" + "x" * 8000 + "\n# A-part-1\nl\n", "# A\n1\n# A\n2\n# A-2\n3\n"):
+        ids = [x["section_id"] for x in memory.sections(text)]
+        assert len(set(ids)) == len(ids)
+
+
+def test_memory_filters_and_limits(spark):
+    rows = [(1, 0, "P", "/w", "a", 10), (2, 0, "q", "/w/z", "b", 20), (3, 0, None, None, "a", 30)]
+    d = spark.createDataFrame(rows, "doc_id long, section int, project string, cwd string, source string, mtime long")
+    ids = lambda **f: sorted(r["doc_id"] for r in memory.eligible(d, **f).collect())
+    assert ids(project="p") == [1] and ids(cwd="/w/z/k") == [1, 2] and ids(cwd="/wz") == [] and ids(source="a", since=10, until=29) == [1] and ids() == [1, 2, 3]
+    parts = spark.createDataFrame([(i, 0, "alpha beta", "alpha", "t") for i in (1, 2, 3)], "doc_id long, section int, content string, heading string, title string")
+    got = memory.search(parts, ["alpha"], 5, allowed=memory.eligible(d, source="a"), newest_first=True).collect()
+    assert [r["doc_id"] for r in got] == [3, 1]
+    with pytest.raises(ValueError):
+        memory.search(parts, [f"q{i}" for i in range(9)], 5)
+
+
+def test_search_by_index_and_refusals(spark, tmp_path):
+    rows = [(i, "pi", f"s{i % 3}", f"/p{i % 3}", "proj", i * 10, "user" if i % 2 else "assistant", None, "migrations of segment " + "query " * (i % 4)) for i in range(20)]
+    r = spark.createDataFrame(rows, "doc_id long, source string, session_id string, source_path string, project string, ts long, role string, tool_name string, text string").withColumn("turn_id", F.col("doc_id").cast("int"))
+    ix = Index(spark, str(tmp_path / "ix")).create(r, "doc_id", "text", ("source", "session_id", "source_path", "project", "ts", "role", "tool_name"), stemmed=True, buckets=4)
+    for q in (SearchRequest(("query", "migration"), role="user"), SearchRequest(("+segment query",), since=50, fields="full"), SearchRequest(("",)), SearchRequest(("queries",), per_session=1, recency_weight=1.0, now_ms=10**6)):
+        told = [[(*x[:-1], round(x[-1], 9)) for x in e.search(q).collect()] for e in (Engine(spark, r, index=ix), Engine(spark, r))]
+        assert told[0] == told[1] and told[0]
+    e = Engine(spark, r, vectors=spark.createDataFrame([(1, [1.0])], "doc_id long, embedding array<double>"), vector_model="m1")
+    for bad in (SearchRequest(tuple(f"q{i}" for i in range(9))), SearchRequest(("x" * 5000,)), SearchRequest(fields="some"), SearchRequest(vector=(1.0,), model="m2")):
+        with pytest.raises(ValueError):
+            e.search(bad)
+    with pytest.raises(ValueError):
+        e.context(1, before=1001)
+    assert e.show_field("text", 3, 4, doc_id=0).collect()[0][1:] == ("rati", 7) and e.lookup(source="pi", source_path="/p1").count() == 7
+
+
+def test_rates_by_provider(spark):
+    """A model that two providers offer has the rates of each."""
+    rates = spark.createDataFrame([("one", "m", 1, 0, 0, 0), ("one-cloud", "m", 2, 0, 0, 0), ("two", "m", 3, 0, 0, 0), ("two", "m", 3, 0, 0, 0)], "provider string, model string, input bigint, cache_read bigint, cache_write bigint, output bigint")
+    e = spark.createDataFrame([(1, "one", "M-2026-01-02"), (2, "two", "m"), (3, "one-cloud/eu", "m"), (4, None, "m"), (5, "three", "m"), (6, "one", None)], "row_idx long, provider string, model string")
+    assert {r["row_idx"]: r["r_input"] for r in usage.with_rates(e, rates).collect()} == {1: 1, 2: 3, 3: 2, 4: 2, 5: None, 6: None}
+
+
+def test_chains_of_sessions_and_files(spark):
+    """One store writes a file for each message, so there the session is the chain; elsewhere the file is."""
+    row = lambda i, source, path, prompt, read: (source, path, i, i, i * 1000, "s", "p", "m", prompt, read, 0, False, False)
+    cols = "source string, source_path string, row_idx long, source_order long, timestamp_ms long, session_id string, provider string, model string, uncached_input long, cache_read long, cache_write long, sidechain boolean, chain_break boolean"
+    rows = [row(i, s, f"{s}{i}", 9000, 5000 if i == 1 else 0) for s in ("opencode", "pi") for i in (1, 2)]
+    got = [(r["source"], r["missed"]) for r in usage.cache_misses(spark.createDataFrame(rows, cols)).collect()]
+    assert got == [("opencode", 9000)]
+
+
+def test_reconcile_by_source(spark):
+    cols = "source string, source_path string, row_idx long, source_order long, timestamp_ms long, session_id string, source_record_id string, message_id string, request_id string, sidechain boolean, raw_input long, uncached_input long, cache_read long, cache_write long, cache_write_1h long, output long, reasoning long"
+    def row(i, source, rid="r", mid="m", req="q", out=1, reasoning=0):
+        return (source, "/p", i, i, i, "s", rid, mid, req, False, 1, 1, 0, 0, 0, out, reasoning)
+    rows = [row(1, "claude", out=1), row(2, "claude", out=5), row(3, "codex"), row(4, "codex"), row(5, "codex", reasoning=2), row(6, "opencode"), row(7, "opencode", out=9), row(8, "grok"), row(9, "grok")]
+    assert sorted(r["row_idx"] for r in usage.reconcile(spark.createDataFrame(rows, cols)).collect()) == [2, 3, 5, 6, 8, 9]

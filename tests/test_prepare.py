@@ -92,3 +92,13 @@ def test_more_stores(spark, tmp_path):
     with sqlite3.connect(tmp_path / "bob.db") as c:
         c.executescript("CREATE TABLE messages(id INTEGER PRIMARY KEY, task_id TEXT, role TEXT, timestamp INT, model TEXT, tokens_in INT, tokens_out INT, cost REAL); INSERT INTO messages VALUES(1,'t','assistant',3,'m',5,6,0.5),(2,'t','user',4,NULL,9,9,9),(3,'t','assistant',5,'m',0,0,0);")
     assert [(r["uncached_input"], r["output"], r["source_cost_usd"]) for r in databases.bob_usage(spark, str(tmp_path / "bob.db")).collect()] == [(5, 6, 0.5)]
+
+
+def test_labels(spark):
+    say = lambda t: one(spark, T.label(F.col("t")), t=t)
+    assert say("# AGENTS.md says") == "" and say("my Global Agent Preferences") == "" and say(" \n\t") == ""
+    assert say("## Referenced chats with Codex:\nold talk\n## My request:\n do it\n now") == "do it now" and say("## Referenced ChatGPT conversation:\nold") == ""
+    assert say("keep <skill name='x'>gone</skill>this <context>never closed") == "keep this"
+    long = say("word " * 60)
+    assert len(long) <= 150 and long == ("word " * 21).strip() + "…" + ("word " * 8).strip()
+    assert say("x" * 400) == "x" * 109 + "…" + "x" * 40
