@@ -3,13 +3,19 @@
 Stamps without a zone are aligned with the time their row was taken in. A
 histogram of (machine, local day, lag) is all that the estimate needs: for each
 machine and candidate zone it counts the rows that would have been taken in
-before they were written, or long after. The zone's whole offset history counts,
-as the lag is judged for each day. The declared zone of a machine is one of the
-candidates and stays unless another explains the data clearly better.
+before they were written, or long after, and how far their lags are from those of
+stamps that have a zone. The zone's whole offset history counts, as the lag is
+judged for each day. The declared zone of a machine is one of the candidates and
+stays unless another explains the data clearly better; where none is declared, or
+none fits, every history of offsets that some zone has is tried.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from datetime import datetime, timedelta
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,25 +43,64 @@ def _small(df: DataFrame, rows: int = 10_000) -> bool:
     return len(df.limit(rows + 1).take(rows + 1)) <= rows
 
 
-def estimate_zones(parsed: DataFrame, machines: DataFrame, candidates: list[str] | None = None, late_hours: int = 24) -> DataFrame:
+def distinct_zones(regions: Iterable[str], first: datetime, last: datetime, prefer: Iterable[str] = ()) -> list[str]:
+    """One zone for each history of offsets that some zone has between two days; preferred zones stand for theirs."""
+    days = [first + timedelta(days=7 * k) for k in range((last - first).days // 7 + 2)]
+    found: dict[tuple, str] = {}
+    for z in [*sorted(prefer), *sorted(regions)]:
+        try:
+            own = ZoneInfo(z)
+        except (ValueError, OSError, ZoneInfoNotFoundError):
+            continue
+        found.setdefault(tuple(d.replace(tzinfo=own).utcoffset() for d in days), z)
+    return sorted(found.values())
+
+
+def _scores(hist: DataFrame, zones: list[str], typical: int, late: float) -> DataFrame:
+    """(machine, zone, rows, violations, spread) of each zone for each machine of a histogram (machine, quarter, lag, count)."""
+    each = hist.withColumn("zone", F.explode(F.array(*[F.lit(z) for z in zones]).cast("array<string>")))
+    start = F.col("quarter") * QUARTER
+    lag = F.col("lag") * QUARTER + start - to_utc_us(start, F.col("zone"))
+    broken = (lag < -QUARTER) | (lag > late * QUARTER)
+    return each.groupBy("machine", "zone").agg(F.sum("count").alias("rows"), F.sum(F.when(broken, F.col("count")).otherwise(0)).alias("violations"), F.sum(F.abs(lag / QUARTER - typical) * F.col("count")).alias("spread"))
+
+
+def estimate_zones(parsed: DataFrame, machines: DataFrame, candidates: list[str] | None = None, late_hours: float | None = None, doubt: float = 0.02) -> DataFrame:
     """(machine, declared, zone, violations, declared_violations, rows): the zone to read each machine's local stamps in.
 
-    candidates: the zones to try; by default all that machines declare. Machines
-    without usable rows keep what they declare, and get null if that is missing.
-    late_hours: a row taken in so much later than written counts against a zone.
+    A zone is judged by the stamps that would have been taken in before they were
+    written or long after, and then by how far their lag is from that of stamps with
+    a zone of their own. candidates: the zones to try; by default those that machines
+    declare, and for machines that none of these fits in all but a share of
+    ``doubt``, or that declare none, one zone for each history of offsets there
+    is. Machines without usable rows keep what they declare, and get null if that
+    is missing. late_hours: a row taken in so much later than written counts against a
+    zone; by default later than all but a thousandth of the stamps with a zone are,
+    or 24 hours if there are none.
     """
     spark = parsed.sparkSession
     regions = set(region_ids(spark))
     declared = machines.select("machine", F.when(F.col("zone").isin(sorted(regions)), F.col("zone")).alias("declared")).groupBy("machine").agg(F.first("declared").alias("declared"))
-    zones = candidates or sorted({r[0] for r in declared.select("declared").distinct().take(1000) if r[0]})
-    hist = parsed.where("local_us is not null and zone is null and seen is not null").groupBy(
-        "machine", F.floor(F.col("local_us") / QUARTER).alias("quarter"), F.floor((F.col("seen") - F.col("local_us")) / QUARTER).alias("lag")
-    ).count()
-    each = hist.withColumn("zone", F.explode(F.array(*[F.lit(z) for z in zones]).cast("array<string>")))
-    start = F.col("quarter") * QUARTER
-    off = start - to_utc_us(start, F.col("zone"))
-    lag = F.col("lag") * QUARTER + off
-    score = each.groupBy("machine", "zone").agg(F.sum("count").alias("rows"), F.sum(F.when((lag < -QUARTER) | (lag > late_hours * 3_600_000_000), F.col("count")).otherwise(0)).alias("violations"), F.sum(F.abs(lag / QUARTER) * F.col("count")).alias("spread"))
+    zones = candidates or sorted(r[0] for r in declared.select("declared").distinct().collect() if r[0])
+    hist = cut(
+        parsed.where("local_us is not null and zone is null and seen is not null").groupBy(
+            "machine", F.floor(F.col("local_us") / QUARTER).alias("quarter"), F.floor((F.col("seen") - F.col("local_us")) / QUARTER).alias("lag")
+        ).count()
+    )
+    lags = parsed.where("utc_us is not null and seen is not null").agg(F.percentile_approx(F.floor((F.col("seen") - F.col("utc_us")) / QUARTER), [0.5, 0.999])).first()[0]
+    typical, high = lags or (0, None)
+    late = late_hours * 4 if late_hours is not None else 96 if high is None else high + 1
+    score = _scores(hist, zones, typical, late)
+    if candidates is None:
+        ends = hist.agg(F.min("quarter"), F.max("quarter")).first()
+        best = score.groupBy("machine").agg((F.min("violations") > doubt * F.max("rows")).alias("bad"))
+        known = declared.where("declared is not null").select("machine", F.lit(True).alias("known"))
+        doubted = hist.select("machine").distinct().join(best, "machine", "left").join(known, "machine", "left").where("coalesce(bad, true) or known is null").select("machine")
+        open_hist = hist.join(doubted, "machine", "left_semi")
+        if ends[0] is not None and open_hist.take(1):
+            day = lambda q: datetime(1970, 1, 1) + timedelta(microseconds=q * QUARTER)
+            more = [z for z in distinct_zones(regions, day(ends[0]), day(ends[1]), zones) if z not in zones]
+            score = score.unionByName(_scores(open_hist, more, typical, late))
     score = score.join(declared, "machine", "full_outer")
     best = score.groupBy("machine").agg(
         F.first("declared").alias("declared"), F.max("rows").alias("rows"),

@@ -49,6 +49,23 @@ def test_zone_of_an_undeclared_machine(spark):
     assert got["b"]["declared"] == "UTC" and got["b"]["zone"] == "Asia/Tokyo"
 
 
+def test_zones_that_no_machine_declares(spark):
+    """Every history of offsets is tried for a machine without a zone, and for one whose zone fits nothing; lags are held against those of stamps with a zone."""
+    machines = spark.createDataFrame([("a", None, "ymd"), ("b", "UTC", "ymd"), ("c", "Europe/Berlin", "ymd")], "machine string, zone string, date_order string")
+    true, rows = {"a": "Asia/Kathmandu", "b": "America/St_Johns", "c": "Europe/Berlin"}, []
+    for k in range(120):
+        utc = dt.datetime(2025, 1, 1, 12, 0, tzinfo=dt.UTC) + dt.timedelta(days=4 * k)
+        seen = int(utc.timestamp() * 1e6) + 7_200_000_000
+        rows += [("f", 3 * k + j, m, utc.astimezone(ZoneInfo(z)).strftime("%Y-%m-%d %H:%M:%S"), seen) for j, (m, z) in enumerate(true.items())]
+        rows.append(("f", 1000 + k, "c", utc.strftime("%Y-%m-%dT%H:%M:%SZ"), seen))
+    parsed = parsed_stamps(spark.createDataFrame(rows, STAMPS), machines).persist()
+    got = {r["machine"]: r for r in estimate_zones(parsed, machines).collect()}
+    days = [dt.datetime(2025, 1, 1) + dt.timedelta(days=d) for d in range(0, 480, 7)]
+    for m, z in true.items():
+        assert all(d.replace(tzinfo=ZoneInfo(got[m]["zone"])).utcoffset() == d.replace(tzinfo=ZoneInfo(z)).utcoffset() for d in days), (m, got[m])
+    assert got["c"]["zone"] == "Europe/Berlin" and got["a"]["declared"] is None
+
+
 def test_transcript_names_and_empty_tables(spark, omp):
     t = spark.createDataFrame(
         [(1, "p", 0, "ber", None, '{"created_at":1758411275404}'), (2, "p", 1, "ber", None, '{"time":"2026-03-01 10:11:12","step_index":5}'), (3, "p", 2, "ber", None, '{"created_at":"2026-03-01 10:11:1'), (4, "p", 3, "ber", None, None),
