@@ -19,7 +19,6 @@ from loomspan.sources.logs import millis, number, obj
 FOUND = "source_path string, line_no long, source_record_id string, session_id string, request_id string, timestamp_ms long, project string, provider string, model string, raw_input long, uncached_input long, cache_read long, cache_write long, output long, reasoning long"
 _SCHEMA = [(n, pa.int64() if t == "long" else pa.string()) for n, t in (x.split() for x in FOUND.split(", "))]
 Rule = Callable[[dict, str], tuple[dict | None, tuple[str, ...]]]
-DEPTH = 64
 
 
 def attributes(of: Any) -> dict:
@@ -63,18 +62,20 @@ def editor_state(o: dict, fallback: str) -> tuple[dict | None, tuple[str, ...]]:
     return {"source_record_id": own, "session_id": session, "timestamp_ms": millis(o.get("createdAt", o.get("timestamp"))) or 0, "model": model, "raw_input": total, "uncached_input": total, "cache_read": 0, "cache_write": 0, "output": output, "reasoning": 0}, ("tokenCount", "usage")
 
 
-def walk(value: Any, rule: Rule, fallback: str, depth: int = 0) -> Iterator[dict]:
-    """What the rule counts in a value and in all that it holds, at most 64 levels down."""
-    if depth > DEPTH:
-        return
-    passed_over: tuple[str, ...] = ()
-    if isinstance(value, dict):
-        found, passed_over = rule(value, fallback)
-        if found:
-            yield found
-    for k, v in value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ():
-        if isinstance(v, dict | list) and k not in passed_over:
-            yield from walk(v, rule, fallback, depth + 1)
+def walk(value: Any, rule: Rule, fallback: str) -> Iterator[dict]:
+    """What the rule counts in a value and in all that it holds, in order, at any depth."""
+    open_: list[Any] = [value]
+    while open_:
+        value = open_.pop()
+        passed_over: tuple[str, ...] = ()
+        if isinstance(value, dict):
+            found, passed_over = rule(value, fallback)
+            if found:
+                yield found
+            inner = [v for k, v in value.items() if k not in passed_over]
+        else:
+            inner = value if isinstance(value, list) else []
+        open_ += [v for v in reversed(inner) if isinstance(v, dict | list)]
 
 
 def _run(rule: Rule):
