@@ -10,6 +10,7 @@ open windows move, one row each; who lies in them is joined on at the end.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -122,11 +123,10 @@ def pieces(counts: DataFrame, budgets: DataFrame) -> DataFrame:
     capacity get none.
     """
     own = budgets.where("capacity > 0 and budget_id is not null").select(F.col("budget_id").cast("int").alias("budget_id"), F.col("capacity").cast("int").alias("capacity")).distinct()
-    listed = own.take(1001)
-    if len(listed) > 1000:
-        raise ValueError("more than 1,000 budgets")
-    each = F.explode(F.array(*[F.struct(F.lit(r["budget_id"]).alias("budget_id"), F.lit(r["capacity"]).alias("capacity")) for r in listed]).cast("array<struct<budget_id:int,capacity:int>>"))
-    wide = counts.select("doc_id", "n_tokens", each.alias("b")).select("b.budget_id", "b.capacity", "doc_id", "n_tokens")
+    listed = [F.struct(F.lit(r["budget_id"]).alias("budget_id"), F.lit(r["capacity"]).alias("capacity")) for r in own.toLocalIterator()]
+    blocks = [listed[k : k + 500] for k in range(0, max(1, len(listed)), 500)]  # budgets go along with the rows, so many at a time
+    each = [counts.select("doc_id", "n_tokens", F.explode(F.array(*b).cast("array<struct<budget_id:int,capacity:int>>")).alias("b")) for b in blocks]
+    wide = reduce(DataFrame.unionByName, each).select("b.budget_id", "b.capacity", "doc_id", "n_tokens")
     last = F.greatest(F.lit(0), F.ceil(F.col("n_tokens") / F.col("capacity")) - 1)
     cutup = wide.withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))))
     first = F.col("piece_no") * F.col("capacity")
