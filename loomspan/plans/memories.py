@@ -21,7 +21,7 @@ def _parts(spark: SparkSession, sf: str) -> DataFrame:
     return memory.split_sections(docs).join(docs.select("doc_id", F.coalesce(memory.title(F.col("text")), F.lit("")).alias("title")), "doc_id").withColumn("heading", F.coalesce("heading", F.lit("")))
 
 
-def _section_indexes(spark: SparkSession, sf: str) -> dict[str, Index]:
+def section_indexes(spark: SparkSession, sf: str) -> dict[str, Index]:
     """One written index for each field that a memory search weighs."""
     keyed = _parts(spark, sf).withColumn("section_key", F.concat_ws(":", "doc_id", "section"))
     return {f: resident(spark, f"sections-{f}", f"{sf}/documents.parquet", keyed, "section_key", f, ("doc_id", "section")) for f, _ in memory.FIELDS}
@@ -34,7 +34,7 @@ def memory_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 def memory_search(spark: SparkSession, sf: str) -> DataFrame:
     """The best sections for three views of a question."""
-    return memory.search(_parts(spark, sf), ["refresh task", "segment merger", "refresh task", " "], 30, indexes=_section_indexes(spark, sf))
+    return memory.search(_parts(spark, sf), ["refresh task", "segment merger", "refresh task", " "], 30, indexes=section_indexes(spark, sf))
 
 
 def memory_search_filtered(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,7 +42,7 @@ def memory_search_filtered(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").where("kind = 'memory' and text is not null").select("doc_id", F.col("source").alias("m_source"), F.unix_millis(F.col("updated_at").cast("timestamp")).alias("mtime"))
     parts = _parts(spark, sf)
     allowed = memory.eligible(parts.select("doc_id", "section").join(docs, "doc_id").withColumnRenamed("m_source", "source"), since=1, until=4_102_444_800_000)
-    return memory.search(parts, ["refresh task", "segment merger"], 30, indexes=_section_indexes(spark, sf), allowed=allowed, newest_first=True).select("doc_id", "section", "mtime", F.round("score", 9).alias("score"))
+    return memory.search(parts, ["refresh task", "segment merger"], 30, indexes=section_indexes(spark, sf), allowed=allowed, newest_first=True).select("doc_id", "section", "mtime", F.round("score", 9).alias("score"))
 
 
 def unified_search(spark: SparkSession, sf: str) -> DataFrame:
