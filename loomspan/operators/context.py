@@ -77,7 +77,7 @@ def budgeted(records: DataFrame, budget: int) -> DataFrame:
 
 
 def collapse_exchanges(records: DataFrame, least: int = 3) -> DataFrame:
-    """(doc_id) of the records that stay when a pair of records that follows itself ``least`` times or more is kept once.
+    """(doc_id, repeats) of the records that stay when a pair of records that follows itself ``least`` times or more is kept once; repeats says how often the pair that a record ends comes again, for a note in its place.
 
     A record repeats if it says what the record two before says; runs of such
     records are islands, so no session is gathered beyond its ordered window.
@@ -89,4 +89,5 @@ def collapse_exchanges(records: DataFrame, least: int = 3) -> DataFrame:
     runs = r.where("_again").groupBy(*SCOPE, "_run").agg(F.min("_n").alias("_first"), F.count("*").alias("_length")).where(F.col("_length") >= 2 * (least - 1))
     runs = runs.select(*SCOPE, "_run", "_first", (F.col("_length") - F.col("_length") % 2).alias("_drop"))
     gone = (F.col("_n") >= F.col("_first")) & (F.col("_n") < F.col("_first") + F.col("_drop"))
-    return r.join(runs, [*SCOPE, "_run"], "left").where(~F.coalesce(gone, F.lit(False))).select("doc_id")
+    repeats = F.when(F.col("_n") == F.col("_first") - 1, (F.col("_drop") / 2).cast("bigint"))
+    return r.join(runs, [*SCOPE, "_run"], "left").where(~F.coalesce(gone, F.lit(False))).select("doc_id", F.coalesce(repeats, F.lit(0)).alias("repeats"))

@@ -26,6 +26,7 @@ from loomspan.functions.stem import stems
 from loomspan.operators.lexical import K1, B, Query, parse, stemmed_query, tokens
 from loomspan.session import delete_path, list_names, modified_ms, read_text, shared_dir, write_text
 
+FORMAT = 2  # of what lies in the shared folder; another one is another folder
 CASES = 64  # questions that are answered in one pass over their postings
 
 
@@ -242,5 +243,5 @@ def fingerprint(spark: SparkSession, path: str) -> str:
 
 def resident(spark: SparkSession, label: str, source: str, docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = (), stemmed: bool = False) -> Index:
     """The index of docs in the shared folder, written at the first call for the state of the table at source and read from then on."""
-    index = Index(spark, f"{shared_dir(spark)}/indexes/{label}-{'stem' if stemmed else 'word'}-{fingerprint(spark, source)}")
+    index = Index(spark, f"{shared_dir(spark)}/indexes-{FORMAT}/{label}-{'stem' if stemmed else 'word'}-{fingerprint(spark, source)}")
     return index if index.manifest else index.create(docs, key, text, keep, stemmed)

@@ -85,10 +85,15 @@ SQL["read_budget"] = f"""WITH {RECORDS_SQL}, b AS (SELECT doc_id, text, length(t
 
 
 def collapsed_exchanges(spark: SparkSession, sf: str) -> DataFrame:
-    """What is left when repeated exchanges are folded; no SQL, tested against brute force."""
+    """What is left when repeated exchanges are folded, and how often each came again."""
     return context.collapse_exchanges(records(spark, sf))
 
 
+SQL["collapsed_exchanges"] = f"""WITH {RECORDS_SQL}, q AS (SELECT *, role || chr(31) || text AS said, row_number() {_W} AS n FROM records), a AS (SELECT *, coalesce(lag(said, 2) {_W} = said, false) AS again FROM q),
+  b AS (SELECT *, sum(CAST(NOT again AS INT)) {_W} AS run FROM a), r AS (SELECT source, session_id, source_path, run, min(n) AS first, count(*) - count(*) % 2 AS gone FROM b WHERE again GROUP BY ALL HAVING count(*) >= 4)
+  SELECT doc_id, CAST(CASE WHEN n = first - 1 THEN gone // 2 ELSE 0 END AS BIGINT) AS repeats FROM b LEFT JOIN r USING (source, session_id, source_path, run) WHERE first IS NULL OR n < first OR n >= first + gone"""
+
+
 _CASES = [(1, "refresh task"), (2, "segment merger"), (3, "query planner"), (4, "path resolver"), (5, "vector store")]
 
 

@@ -98,6 +98,11 @@ def match_spans(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.context").alias("context"))
 
 
+SQL["match_spans"] = f"""{_R}, p AS (SELECT doc_id, text, string_split(lower(text), 'segment') AS parts FROM records WHERE contains(lower(text), 'segment')), e AS (SELECT doc_id, text, parts, unnest(range(1, least(len(parts) - 1, 5) + 1)) AS k FROM p),
+  s AS (SELECT doc_id, text, CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) + 7 * (k - 1) AS INT) AS start FROM e)
+  SELECT doc_id, start, start + 7 AS "end", substring(text, greatest(1, start + 1 - 40), 87) AS context FROM s"""
+
+
 def path_names(spark: SparkSession, sf: str) -> DataFrame:
     """Projects by the last part of their paths, and slugs."""
     p = table(spark, sf, "projects").where("worktree is not null")
@@ -120,11 +125,11 @@ SQL["stamp_functions"] = r"""WITH m AS (SELECT row_id, CASE WHEN regexp_matches(
 
 
 def payload_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Tool arguments as text."""
-    i = table(spark, sf, "omp").select("rec_id", F.posexplode("message.content").alias("pos", "item")).where("item.arguments is not null")
-    return i.select("rec_id", "pos", T.payload_text(F.col("item.arguments")).alias("payload"))
+    """Contents given as JSON blocks, as the text they say; contents without any text aside."""
+    m = table(spark, sf, "omp").select("rec_id", "message.content").where(F.exists("content", lambda x: F.coalesce(x["text"] != "", F.lit(False))))
+    return m.select("rec_id", T.payload_text(F.to_json("content")).alias("payload"))
 
 
-SQL["payload_texts"] = "SELECT rec_id, pos, item.arguments AS payload FROM (SELECT rec_id, unnest(message.content) AS item, CAST(generate_subscripts(message.content, 1) - 1 AS INT) AS pos FROM omp) WHERE item.arguments IS NOT NULL"
+SQL["payload_texts"] = "SELECT rec_id, array_to_string(list_transform(list_filter(message.content, lambda x: x.text IS NOT NULL), lambda x: x.text), chr(10)) AS payload FROM omp WHERE len(list_filter(message.content, lambda x: x.text <> '')) > 0"
 
 QUERIES = {f.__name__: f for f in (memory_sections, memory_search, memory_search_filtered, unified_search, labels, snippets, match_spans, path_names, stamp_functions, payload_texts)}
