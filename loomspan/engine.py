@@ -7,15 +7,18 @@ words runs small jobs before it returns, for the counts of its words.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
-from loomspan.operators import activity, catalog, context, evaluate, lexical, memory, ranking, usage
+from loomspan.operators import activity, catalog, context, evaluate, lexical, memory, prepare, ranking, usage
 from loomspan.operators.index import Index
+from loomspan.operators.vectors import VectorIndex
 from loomspan.schemas import stored_labels
 
 SCOPE = catalog.SCOPE
@@ -237,6 +240,15 @@ class Engine:
         wanted = self.records.where("role in ('user', 'assistant') and trim(text) <> ''")
         return wanted if self.vectors is None else wanted.join(self.vectors.select("doc_id"), "doc_id", "left_anti")
 
+    def backfill(self, index: VectorIndex, model: Callable[[list[str]], np.ndarray], dims: int, name: str | None = None) -> VectorIndex:
+        """Make the vectors that records lack and file them; the index is made if it isn't there, and refused if another model made it."""
+        m = index.manifest
+        if m and name is not None and m["model"] is not None and m["model"] != name:
+            raise ValueError(f"the vectors are of {m['model']}, not of {name}")
+        lacking = Engine(self.spark, self.records, vectors=index.stored() if m else None).needing_vectors()
+        new = prepare.embed(lacking, model, dims)
+        return index.add(new) if m else index.create(new, model=name)
+
     def titles(self) -> DataFrame:
         """(scope, title) of every session: its label, else its first prompt as a label."""
         first = catalog.roll_up(self.records, T.label(F.col("text"))).select(*SCOPE, "label_text")

@@ -148,6 +148,13 @@ def compact_number(n: Column) -> Column:
     return out
 
 
+def dollars(nanos: Column) -> Column:
+    """Billionths of a dollar as $0.12, from a thousand on as $1.2k and so on; below a cent four digits. Null stays null."""
+    v = nanos / 1_000_000_000
+    whole = F.when(v >= 1000, F.concat(F.lit("$"), compact_number(F.floor(v))))
+    return F.coalesce(whole, F.when((v > 0) & (v < 0.01), F.format_string("$%.4f", v)).otherwise(F.when(v.isNotNull(), F.format_string("$%.2f", v))))
+
+
 def _length_le(text: Column) -> Column:
     """The length in bytes as eight bytes, the lowest first."""
     return F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(F.octet_length(text).cast("bigint")), 16, "0"), F.lit(".."), F.lit(0))), ""))

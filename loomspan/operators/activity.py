@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,11 @@ def buckets(points: DataFrame, unit: int, value: Column | None = None) -> DataFr
     return points.where("ts > 0").groupBy((F.col("ts") - F.col("ts") % unit).alias("bucket"), "source").agg(value.alias("value"))
 
 
+def merged(lists: Iterable[DataFrame]) -> DataFrame:
+    """The raw buckets of several machines in one, before they are laid on a grid."""
+    return reduce(DataFrame.unionByName, lists).groupBy("bucket", "source").agg(F.sum("value").alias("value"))
+
+
 def step_of(start: int, end: int, unit: int) -> int:
     """The width of a column so that there are at most 60."""
     units = (end - start) // unit + 1

@@ -15,13 +15,15 @@ from datetime import UTC, datetime
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.rawjson import dump, parse
 from loomspan.operators.catalog import not_excluded, source_of_path
+from loomspan.operators.usage import inherited_baseline
 
 Part = dict[str, Any]
+GUARDIAN = "guardian_review"
 _TEXT = ["role", "text", "tool_name", "tool_input", "tool_output", "tool_id", "event_id", "parent_event_id", "session_id", "cwd", "model", "provider", "conversation_kind", "request_id", "message_id", "parent_session_id"]
 _LONG = ["ts", "input", "cached", "cache_read", "cache_write", "cache_write_1h", "output", "reasoning"]
 _FLAG = ["is_error", "sidechain", "counts"]
@@ -97,7 +99,8 @@ def codex(o: dict) -> Iterator[Part]:
     p, ts = obj(o.get("payload")), millis(o.get("timestamp"))
     kind = p.get("type")
     if o.get("type") == "session_meta":
-        yield {"ts": ts, "session_id": p.get("id"), "cwd": p.get("cwd"), "parent_session_id": p.get("forked_from_id")}
+        review = p.get("thread_source") == GUARDIAN or obj(obj(p.get("source")).get("subagent")).get("other") == "guardian"
+        yield {"ts": ts, "session_id": p.get("id"), "cwd": p.get("cwd"), "parent_session_id": p.get("forked_from_id"), "conversation_kind": GUARDIAN if review else None}
     elif o.get("type") == "turn_context":
         yield {"ts": ts, "cwd": p.get("cwd"), "model": p.get("model")}
     elif o.get("type") == "event_msg" and kind in ("task_started", "task_complete", "turn_aborted"):
@@ -315,6 +318,13 @@ def roots_below(root: str) -> list[str]:
     return [root, *sorted(hidden)]
 
 
+def is_session_file(path: Column) -> Column:
+    """Whether a file below a projects folder of claude holds a session: at most two levels deep, or an agent's below a subagents folder. Other files all do."""
+    inside = F.regexp_extract(path, r"/\.claude/projects/(.+)$", 1)
+    depth = F.size(F.split(inside, "/"))
+    return F.when(inside == "", True).when(inside.rlike(r"(^|/)subagents/"), inside.rlike(r"(^|/)agent-[^/]*$")).otherwise(depth <= 2)
+
+
 def read_lines(spark: SparkSession, roots: str | list[str], glob: str = "*.jsonl", exclude: list[str] | None = None) -> DataFrame:
     """(source, source_path, line_no, raw) of all log files below the roots, the source told by the path.
 
@@ -326,7 +336,7 @@ def read_lines(spark: SparkSession, roots: str | list[str], glob: str = "*.jsonl
     """
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(roots if isinstance(roots, list) else roots_below(roots))
     lines = text.select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
-    lines = lines.where(not_excluded(F.col("source_path"), exclude or []))
+    lines = lines.where(not_excluded(F.col("source_path"), exclude or []) & is_session_file(F.col("source_path")))
     source = F.when(F.col("source_path").endswith("/history.jsonl") & F.col("source_path").contains("/.codex/"), "codex_history").otherwise(source_of_path(F.col("source_path")))
     order = Window.partitionBy("source_path").orderBy("block", "at")
     return lines.select(source.alias("source"), "source_path", (F.row_number().over(order) - 1).cast("bigint").alias("line_no"), "raw")
@@ -334,7 +344,7 @@ def read_lines(spark: SparkSession, roots: str | list[str], glob: str = "*.jsonl
 
 def read_objects(spark: SparkSession, roots: str | list[str], glob: str = "*.json") -> DataFrame:
     """(source, source_path, line_no, raw) of files that hold one object each."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(roots if isinstance(roots, list) else roots_below(roots))
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(roots if isinstance(roots, list) else roots_below(roots), wholetext=True)
     return text.select(source_of_path(F.col("_metadata.file_path")).alias("source"), F.col("_metadata.file_path").alias("source_path"), F.lit(0).cast("bigint").alias("line_no"), F.col("value").alias("raw"))
 
 
@@ -345,7 +355,9 @@ def parts(lines: DataFrame) -> DataFrame:
     name = F.regexp_extract("source_path", r"([^/]+)\.jsonl?$", 1)
     for c in ("cwd", "model", "provider", "session_id"):
         got = got.withColumn(c, F.last(c, True).over(so_far))
-    return got.withColumn("session_id", F.coalesce("session_id", name))
+    # of a rollout the first line says whether it is a review
+    review = F.max(F.when((F.col("source") == "codex") & F.col("role").isNull(), F.col("conversation_kind"))).over(Window.partitionBy("source_path"))
+    return got.withColumn("session_id", F.coalesce("session_id", name)).withColumn("review", review)
 
 
 def records(lines: DataFrame) -> DataFrame:
@@ -363,16 +375,28 @@ def records(lines: DataFrame) -> DataFrame:
     return p.select(
         "source", F.xxhash64("source_path", "line_no", "part").alias("doc_id"), F.coalesce("ts", F.lit(0)).alias("ts"), project.alias("project"), "session_id", "source_path", (F.row_number().over(turn) - 1).alias("turn_id"), "role",
         F.coalesce("text", F.lit("")).alias("text"), "tool_name", "tool_input", "tool_output", "tool_id", "event_id", "parent_event_id", "is_error",
-        F.coalesce("conversation_kind", F.when(F.col("source_path").rlike(r"/subagents/|/agent-[^/]*\.jsonl$"), "subagent")).alias("conversation_kind"),
+        F.coalesce("conversation_kind", "review", F.when(F.col("source_path").rlike(r"/subagents/|/agent-[^/]*\.jsonl$"), "subagent")).alias("conversation_kind"),
     )
 
 
+COUNTERS = ["input", "cached", "output", "reasoning"]
+
+
+def _with_inherited(counted: DataFrame, all_parts: DataFrame) -> DataFrame:
+    """counted with from_input and so on: the counters that a forked rollout has from its parent, the largest there up to the fork. Reviews count from nothing."""
+    forks = all_parts.where((F.col("source") == "codex") & F.col("parent_session_id").isNotNull() & F.col("review").isNull()).groupBy(F.col("source_path").alias("child")).agg(F.min("parent_session_id").alias("parent"), F.min(F.coalesce("ts", F.lit(0))).alias("fork_ts"))
+    snapshots = counted.where("source = 'codex'").select("session_id", F.coalesce("ts", F.lit(0)).alias("timestamp_ms"), *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTERS])
+    base = inherited_baseline(forks, snapshots, COUNTERS).select(F.col("child").alias("source_path"), *[F.col(c).alias(f"from_{c}") for c in COUNTERS])
+    return counted.join(base, "source_path", "left")
+
+
 def usage_events(lines: DataFrame) -> DataFrame:
     """Token usage of log lines; events without any token are left out, but for grok's. Codex counters grow, so each event is what it adds."""
-    u = parts(lines).where("counts")
+    all_parts = parts(lines)
+    u = _with_inherited(all_parts.where("counts"), all_parts)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     before = Window.partitionBy("source_path").orderBy("line_no", "part").rowsBetween(Window.unboundedPreceding, -1)
-    grown = lambda c: F.when(F.col("source") == "codex", F.greatest(F.lit(0), zero(c) - F.coalesce(F.max(zero(c)).over(before), F.lit(0)))).otherwise(zero(c))
+    grown = lambda c: F.when(F.col("source") == "codex", F.greatest(F.lit(0), zero(c) - F.greatest(zero(f"from_{c}"), F.coalesce(F.max(zero(c)).over(before), F.lit(0))))).otherwise(zero(c))
     for c in ("input", "cached", "output", "reasoning"):
         u = u.withColumn(f"_{c}", grown(c))
     cached = F.least("_cached", "_input")
@@ -380,7 +404,7 @@ def usage_events(lines: DataFrame) -> DataFrame:
         "source", "source_path", "line_no", F.coalesce("ts", F.lit(0)).alias("timestamp_ms"), "session_id", F.regexp_extract("cwd", r"([^/]+)/?$", 1).alias("project"), "provider", "model", F.col("event_id").alias("source_record_id"), "request_id", "message_id",
         F.col("_input").alias("raw_input"), F.when(F.col("source") == "codex", F.col("_input") - cached).otherwise(F.col("_input")).alias("uncached_input"), F.when(F.col("source") == "codex", cached).otherwise(zero("cache_read")).alias("cache_read"),
         zero("cache_write").alias("cache_write"), zero("cache_write_1h").alias("cache_write_1h"), F.col("_output").alias("output"), F.col("_reasoning").alias("reasoning"), F.col("cost").alias("source_cost_usd"), F.coalesce("sidechain", F.lit(False)).alias("sidechain"),
-        (F.col("source") == "grok").alias("cache_chain_excluded"),
+        (F.col("source") == "grok").alias("cache_chain_excluded"), F.coalesce(F.col("review") == GUARDIAN, F.lit(False)).alias("permission_review"),
     )
     return e.where((F.col("uncached_input") + F.col("cache_read") + F.col("cache_write") + F.col("output") > 0) | (F.col("source") == "grok"))
 
@@ -388,3 +412,20 @@ def usage_events(lines: DataFrame) -> DataFrame:
 def without_known_sessions(history: DataFrame, rollouts: DataFrame) -> DataFrame:
     """History records of sessions that have no rollout of their own."""
     return history.join(rollouts.select("session_id").distinct(), "session_id", "left_anti")
+
+
+def read_workspaces(spark: SparkSession, roots: str | list[str], glob: str = "workspace.yaml") -> DataFrame:
+    """(dir, cwd, git_root, repository, branch) from the workspace files beside session logs; lines that are blank, comments or indented don't count, the last of a key does."""
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(roots if isinstance(roots, list) else roots_below(roots), wholetext=True)
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: x.rlike(r"^[^\s#:][^:]*:\s*\S"))
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.regexp_replace(F.trim(F.regexp_replace(x, r"^[^:]*:", "")), "^[\"']+|[\"']+$", "").alias("v")))
+    of = lambda *names: F.get(F.reverse(F.filter("pairs", lambda p: p["k"].isin(*names) & (p["v"] != ""))), F.lit(0))["v"]
+    rows = text.select(F.regexp_replace(F.col("_metadata.file_path"), r"[^/]+$", "").alias("dir"), pairs.alias("pairs"))
+    return rows.select("dir", of("cwd").alias("cwd"), of("gitRoot", "git_root").alias("git_root"), of("repository").alias("repository"), of("branch").alias("branch"))
+
+
+def with_workspaces(records: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """records of copilot whose log names no directory, with the project of the workspace file beside it: the repository's, else the directory's last part."""
+    w = workspaces.select(F.col("dir").alias("_dir"), F.regexp_extract(F.coalesce("repository", "cwd", F.lit("")), r"([^/]+)/?$", 1).alias("_project"))
+    j = records.withColumn("_dir", F.regexp_replace("source_path", r"[^/]+$", "")).join(w, "_dir", "left")
+    return j.withColumn("project", F.when((F.col("source") == "copilot") & (F.col("project") == ""), F.coalesce("_project", "project")).otherwise(F.col("project"))).select(records.columns)

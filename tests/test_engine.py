@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,21 @@ def test_reconcile_by_source(spark):
         return (source, "/p", i, i, i, "s", rid, mid, req, False, 1, 1, 0, 0, 0, out, reasoning)
     rows = [row(1, "claude", out=1), row(2, "claude", out=5), row(3, "codex"), row(4, "codex"), row(5, "codex", reasoning=2), row(6, "opencode"), row(7, "opencode", out=9), row(8, "grok"), row(9, "grok")]
     assert sorted(r["row_idx"] for r in usage.reconcile(spark.createDataFrame(rows, cols)).collect()) == [2, 3, 5, 6, 8, 9]
+
+
+def test_backfill_and_merge(spark, tmp_path):
+    from loomspan.operators import activity
+    from loomspan.operators.vectors import VectorIndex
+
+    def model(texts):
+        return np.array([[len(t), 1.0] for t in texts])
+
+    r = spark.createDataFrame([(1, "user", "a"), (2, "tool", "b"), (3, "assistant", "ccc"), (4, "user", " ")], "doc_id long, role string, text string")
+    index = VectorIndex(spark, str(tmp_path / "v"))
+    Engine(spark, r.where("doc_id < 3")).backfill(index, model, 2, "m1")
+    Engine(spark, r).backfill(index, model, 2, "m1")
+    assert sorted(x["doc_id"] for x in index.stored().collect()) == [1, 3]
+    with pytest.raises(ValueError):
+        Engine(spark, r).backfill(index, model, 2, "m2")
+    days = [spark.createDataFrame(x, "bucket long, source string, value long") for x in ([(0, "pi", 2), (5, "pi", 1)], [(0, "pi", 3), (0, "omp", 1)])]
+    assert sorted(map(tuple, activity.merged(days).collect())) == [(0, "omp", 1), (0, "pi", 5), (5, "pi", 1)]
