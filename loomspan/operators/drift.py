@@ -78,35 +78,52 @@ def compare(shape: dict[str, int], fields: dict[str, tuple[str, bool]]) -> tuple
     return changes, names
 
 
-def shape_of(obj: dict) -> dict[str, int]:
-    return {k: BITS[kind(v)] for k, v in obj.items()}
-
-
-def line_objects(obj: dict, agreed: Agreed, step: bool) -> Iterator[tuple[str, str, dict, list[tuple[str, str]], dict[str, str]]]:
-    """(owner, path in the line, object, changes, names) of a line and the objects in it that have agreed fields."""
+class Seen:
+    """What follows from the schema of an object, remembered: lines of a file are alike. Begins anew beyond ``most`` schemas."""
+
+    def __init__(self, agreed: Agreed, most: int = 50_000):
+        self.agreed, self.most, self.known = agreed, most, {}
+
+    def __call__(self, owner: str, obj: dict) -> tuple[list[tuple[str, str]], dict[str, str], str]:
+        """(changes, names, shape) of an object, shape being its schema as JSON of field -> type bits."""
+        key = (owner, *obj, *map(type, obj.values()))
+        got = self.known.get(key)
+        if got is None:
+            shape = {k: BITS[kind(v)] for k, v in obj.items()}
+            got = (*compare(shape, self.agreed[owner]), dump(dict(sorted(shape.items()))))
+            if len(self.known) >= self.most:
+                self.known.clear()
+            self.known[key] = got
+        return got
+
+
+def line_objects(obj: dict, seen: Seen, step: bool) -> Iterator[tuple[str, str, dict, list[tuple[str, str]], dict[str, str], str]]:
+    """(owner, path in the line, object, changes, names, shape) of a line and the objects in it that have agreed fields."""
+    agreed = seen.agreed
     if not step:
-        owner = next((v for v in (obj.get("type"), *obj.values()) if v in HEADS), None)
+        owner = next((v for v in (obj.get("type"), *obj.values()) if isinstance(v, str) and v in HEADS), None)
         if owner in agreed:
-            yield owner, "", obj, *compare(shape_of(obj), agreed[owner])
+            yield owner, "", obj, *seen(owner, obj)
         return
     if "step" not in agreed:
         return
-    changes, names = compare(shape_of(obj), agreed["step"])
-    yield "step", "", obj, changes, names
+    changes, names, shape = seen("step", obj)
+    yield "step", "", obj, changes, names, shape
     calls = obj.get(names.get("tool_calls"))
     for i, call in enumerate(calls if isinstance(calls, list) else [calls]):
         if not isinstance(call, dict) or "call" not in agreed:
             continue
-        changes, names = compare(shape_of(call), agreed["call"])
-        yield "call", f"tool_calls[{i}]", call, changes, names
+        changes, names, shape = seen("call", call)
+        yield "call", f"tool_calls[{i}]", call, changes, names, shape
         tool, args = call.get(names.get("name")), call.get(names.get("args"))
         args = parse_object(args) if isinstance(args, str) else args
         if isinstance(tool, str) and isinstance(args, dict) and tool in agreed and tool not in ("step", "call", *HEADS):
-            yield tool, f"tool_calls[{i}].args", args, *compare(shape_of(args), agreed[tool])
+            yield tool, f"tool_calls[{i}].args", args, *seen(tool, args)
 
 
 def _visit(agreed: Agreed, step: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Seen(agreed)
         for b in batches:
             seen: dict[tuple[str, str, str], int] = {}
             for path, n, raw in zip(b["source_path"].to_pylist(), b["line_no"].to_pylist(), b["raw"].to_pylist(), strict=True):
@@ -114,8 +131,8 @@ def _visit(agreed: Agreed, step: bool) -> Callable[[Iterator[pa.RecordBatch]], I
                 if obj is None or path is None:
                     continue
                 n = 0 if n is None else n
-                for owner, _, it, _, _ in line_objects(obj, agreed, step):
-                    key = (path, owner, dump(dict(sorted(shape_of(it).items()))))
+                for owner, _, _, _, _, shape in line_objects(obj, known, step):
+                    key = (path, owner, shape)
                     seen[key] = min(seen.get(key, n), n)
             cols = list(zip(*seen, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in cols], pa.array(list(seen.values()), pa.int32())], names=["source_path", "owner", "shape", "line_no"])
@@ -194,13 +211,14 @@ def _objects(agreed: Agreed, types: dict[str, dict[str, str]], step: bool) -> Ca
     pairs = pa.list_(pa.struct([("field", pa.string()), ("change", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Seen(agreed)
         for b in batches:
             at, owners, paths, held, extra, changed = [], [], [], [], [], []
             for n, raw in enumerate(b["raw"].to_pylist()):
                 obj = parse_object(raw)
                 if obj is None:
                     continue
-                for owner, path, it, changes, names in list(line_objects(obj, agreed, step)) or [(None, "", obj, [], {})]:
+                for owner, path, it, changes, names, _ in list(line_objects(obj, known, step)) or [(None, "", obj, [], {}, "")]:
                     own = {f: (it[k], types[owner][f]) for f, k in names.items() if it[k] is not None}
                     rest = {k: v for k, v in it.items() if k not in names.values()}
                     rest |= {f: v for f, (v, t) in own.items() if t == "number" and not _is_double(v)}
