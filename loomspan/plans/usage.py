@@ -122,13 +122,13 @@ SQL["usage_fork_baseline"] = f"""WITH {USAGE_SQL}, {SESSIONS_SQL}, f AS (SELECT
 
 
 def usage_residual(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of a session capped to its total, and the rest as a row of its own; the total here is that of every second event."""
+    """Rows of a session capped to its total, and the rest as a row of its own; the total here is half of each event, so every session has a cap that some rows exceed."""
     e = usage_events(spark, sf).where("session_id is not null")
-    totals = e.where("row_idx % 2 = 0").groupBy("session_id").agg(F.sum("output").alias("output"))
+    totals = e.groupBy("session_id").agg(F.sum(F.floor(F.col("output") / 2) + F.col("row_idx") % 7).alias("output"))
     return usage.residual(e, totals, "session_id", ["timestamp_ms", "row_idx"], "output").groupBy("session_id", "is_residual").agg(F.sum("used").alias("used"))
 
 
-SQL["usage_residual"] = f"""{_U}, t AS (SELECT session_id, sum(output) AS total FROM u WHERE session_id IS NOT NULL AND row_idx % 2 = 0 GROUP BY session_id),
+SQL["usage_residual"] = f"""{_U}, t AS (SELECT session_id, sum(output // 2 + row_idx % 7) AS total FROM u WHERE session_id IS NOT NULL GROUP BY session_id),
   c AS (SELECT u.session_id, greatest(0, least(output, total - coalesce(sum(output) OVER (PARTITION BY u.session_id ORDER BY timestamp_ms, row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS used, total FROM u JOIN t USING (session_id)),
   g AS (SELECT session_id, sum(used) AS used, any_value(total) AS total FROM c GROUP BY session_id)
   SELECT session_id, false AS is_residual, CAST(used AS BIGINT) AS used FROM g UNION ALL SELECT session_id, true, CAST(total - used AS BIGINT) FROM g WHERE total > used"""

@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from loomspan.operators import usage
 from loomspan.operators.identifiers import IdentifierIndex, message_identifiers
+from loomspan.operators.prepare import listing_fingerprint
 from loomspan.session import delete_path, list_names, read_text, ship, write_text
 
 LISTING = "source_path string, size bigint, mtime bigint, head string, parser int"
@@ -159,8 +161,8 @@ class Store:
         delete_path(self.spark, f"{self.path}/INTENT")
         return g
 
-    def publish(self, tables: dict[str, DataFrame], partition_by: dict[str, str] | None = None, more: dict[str, DataFrame] | None = None, gone: dict[str, DataFrame] | None = None) -> str:
-        """Write tables anew, and of ``more`` one segment each beside those there; ``gone`` names the source_paths whose older rows no longer count. All of it shows at once."""
+    def publish(self, tables: dict[str, DataFrame], partition_by: dict[str, str] | None = None, more: dict[str, DataFrame] | None = None, gone: dict[str, DataFrame] | None = None, told: dict[str, str] | None = None) -> str:
+        """Write tables anew, and of ``more`` one segment each beside those there; ``gone`` names the source_paths whose older rows no longer count; ``told`` goes into the manifest. All of it shows at once."""
 
         def write(g: str, m: dict) -> None:
             for name, df in tables.items():
@@ -173,6 +175,7 @@ class Store:
             for name, df in (more or {}).items():
                 df.write.mode("overwrite").parquet(f"{self.path}/{g}/{name}")
                 m["tables"].setdefault(name, []).append(f"{g}/{name}")
+            m |= told or {}
 
         return self._commit(write)
 
@@ -233,6 +236,32 @@ def refresh(store: Store, listing: DataFrame, parse: Callable[[DataFrame], DataF
         changed.unpersist()
 
 
+def refresh_usage(store: Store, listing: DataFrame, parse: Callable[[DataFrame], DataFrame]) -> str:
+    """``refresh`` for usage facts (with source_path), kept in the table ``facts``; a fingerprint of the listing shows with them, and an equal one ends the refresh at once."""
+    store.recover()
+    own = listing_fingerprint(listing)
+    before = store.manifest.get("fingerprint")
+    if own == before:
+        return "unchanged"
+    changed = changes(listing, store.read("files", LISTING)).persist()
+    try:
+        stale = changed.where("change not in ('unchanged', 'new')").select("source_path")
+        new = parse(changed.where("change not in ('unchanged', 'gone')").select("source_path"))
+        gone = {"facts": stale} if store.manifest["tables"].get("facts") else {}
+        store.publish({"files": listing}, more={"facts": new}, gone=gone, told={"fingerprint": own})
+        store.compact("facts", least=16)
+        return "publish"
+    finally:
+        changed.unpersist()
+
+
+def read_facts(store: Store, fact_schema: str, since: int | None = None, until: int | None = None, source: str | None = None) -> DataFrame:
+    """The kept facts of a source and time (since counts, until doesn't) in the order of reports; the filters reach the scan."""
+    f = store.read("facts", fact_schema).where(usage.within(since, until))
+    f = f if source is None else f.where(F.col("source") == source)
+    return f.orderBy("timestamp_ms", "source_path", "source_order", "row_idx")
+
+
 def refresh_lines(store: Store, listing: DataFrame, parse: Callable[[DataFrame], DataFrame], record_schema: str) -> str:
     """``refresh`` for logs whose lines are records of their own: of a grown file the added lines alone are read.
 

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from loomspan.sources import logs
-from loomspan.streaming.ingest import LISTING, DeliverOnce, Store, changes, list_files, refresh, refresh_lines, stream_files, windowed_counts
+from loomspan.streaming.ingest import LISTING, DeliverOnce, Store, changes, list_files, read_facts, refresh, refresh_lines, refresh_usage, stream_files, windowed_counts
 from tests.conftest import OMP, item, omp_row
 
 
@@ -89,6 +89,28 @@ def test_grown_files_are_read_from_where_they_ended(spark, tmp_path):
     assert store.read("records").count() == 6
 
 
+def test_usage_facts_are_kept(spark, tmp_path):
+    """Facts of unchanged files are neither read nor written again; an equal listing ends at once."""
+    store, schema = Store(spark, str(tmp_path / "store")), "source string, source_path string, timestamp_ms long, source_order long, row_idx long, output long"
+    made = {"/a": 10, "/b": 20}
+    asked = []
+
+    def parse(paths):
+        own = sorted(r[0] for r in paths.collect())
+        asked.append(own)
+        return spark.createDataFrame([("pi", p, made[p], 0, 0, made[p]) for p in own], schema)
+
+    def listing(**sizes):
+        return spark.createDataFrame([(f"/{k}", v, v, "h", 1) for k, v in sizes.items()], LISTING)
+
+    run = lambda **sizes: refresh_usage(store, listing(**sizes), parse)
+    assert run(a=1, b=1) == "publish" and run(b=1, a=1) == "unchanged"
+    made["/b"] = 25
+    assert run(a=1, b=2) == "publish" and asked == [["/a", "/b"], ["/b"]]
+    assert [r["output"] for r in read_facts(store, schema).collect()] == [10, 25] and [r["output"] for r in read_facts(store, schema, 11, 26, "pi").collect()] == [25]
+    assert run(b=2) == "publish" and [r["output"] for r in read_facts(store, schema).collect()] == [25]
+
+
 def test_recovery_and_leases(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     rows = lambda *x: spark.createDataFrame([(v,) for v in x], "source_path string")
