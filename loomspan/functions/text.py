@@ -121,6 +121,25 @@ def base_name(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(F.regexp_replace(path, r"/+$", ""), "/"), -1), r"\.git$", "")
 
 
+# Folders of a home in which projects lie, and which their names leave out.
+PROJECT_FOLDERS = ["projects", "code", "repos", "src", "dev", "work", "documents"]
+
+
+def project_display(project: Column) -> Column:
+    """A project's name as shown: a path that was written with hyphens for slashes loses its home and a usual folder of projects; other names stay."""
+    trimmed = F.regexp_replace(project, "^-+|-+$", "")
+    low = F.lower(trimmed)
+    parts = F.filter(F.split(trimmed, "-"), lambda x: x != "")
+    lowered = F.transform(parts, F.lower)
+    encoded = low.rlike("^(?:users|home)-|-users-") & (F.size(parts) >= 3)
+    home = F.get(lowered, F.lit(0)) == "home"
+    at = F.when(home, F.lit(1)).otherwise(F.array_position(lowered, "users")).cast("int")
+    tail = F.when(encoded & (at > 0) & (F.size(parts) > at + 1), F.slice(parts, at + 2, F.size(parts)))
+    usual = F.get(F.transform(tail, F.lower), F.lit(0)).isin(PROJECT_FOLDERS)
+    shown = F.when(F.size(tail) == 1, F.concat(F.lit("~/"), tail[0])).when(usual, F.array_join(F.slice(tail, F.lit(2), F.size(tail)), "-")).otherwise(F.array_join(tail, "-"))
+    return F.when(tail.isNotNull(), shown).otherwise(project)
+
+
 def instant_ms(text: Column) -> Column:
     """Milliseconds of digits (over 10^10 milliseconds, else seconds), a date, or an RFC 3339 stamp; null for anything else."""
     digits = F.when(text.rlike(r"^\d{1,18}$"), text.cast("bigint"))

@@ -102,3 +102,16 @@ def test_labels(spark):
     long = say("word " * 60)
     assert len(long) <= 150 and long == ("word " * 21).strip() + "…" + ("word " * 8).strip()
     assert say("x" * 400) == "x" * 109 + "…" + "x" * 40
+
+
+def test_project_names_as_shown(spark):
+    shown = {
+        "-Users-ada-work-loom-mill": "loom-mill", "-home-ada-loom-mill": "loom-mill", "-Users-ada-loom": "~/loom", "-mnt-c-Users-ada-src-x": "x", "loom-mill": "loom-mill", "-Users-ada": "-Users-ada", "users-ada-code": "~/code", "": "", "-": "-",
+    }
+    df = spark.createDataFrame([(k,) for k in [*shown, None]], "p string")
+    assert {r[0]: r[1] for r in df.select("p", T.project_display(F.col("p"))).collect()} == shown | {None: None}
+
+
+def test_dollars(spark):
+    df = spark.createDataFrame([(0,), (4_200_000,), (1_250_000_000,), (1_500_000_000_000,), (None,)], "n long")
+    assert [r[0] for r in df.select(T.dollars(F.col("n"))).collect()] == ["$0.00", "$0.0042", "$1.25", "$1.5k", None]
