@@ -108,4 +108,14 @@ SQL: dict[str, str] = {
   o AS (SELECT rec_id, row_number() OVER (PARTITION BY comp ORDER BY coalesce(message.usage.output, -1) DESC, rec_id) AS n FROM g JOIN omp USING (rec_id)) SELECT rec_id FROM o WHERE n > 1""",
     "p6_items": """SELECT 'omp' AS parent_table, rec_id AS parent_id, 'message.content[' || pos || ']' AS path, 'message' AS parent_path, pos AS position, item.type AS type, item.text AS text, item.thinking AS thinking,
   item.data AS data, item.id AS id, item.name AS name, item.arguments AS arguments FROM (SELECT rec_id, unnest(message.content) AS item, CAST(generate_subscripts(message.content, 1) - 1 AS INT) AS pos FROM omp) WHERE item IS NOT NULL""",
+    "p6_found": r"""WITH t AS (SELECT line_id AS id, raw, json_type(raw, '$.tool_calls') = 'OBJECT' AS lone FROM transcript WHERE json_valid(raw) AND json_type(raw) = 'OBJECT'),
+  own AS (SELECT id, lone, replace(substr(fullkey, 3), '"', '') AS p, type, value FROM (SELECT id, lone, unnest(tree, recursive := true) FROM (SELECT id, lone, (SELECT list({'fullkey': fullkey, 'type': type, 'value': CAST(value AS VARCHAR)}) FROM json_tree(t.raw)) AS tree FROM t))),
+  q AS (SELECT id, CASE WHEN lone AND (p = 'tool_calls' OR starts_with(p, 'tool_calls.')) THEN 'tool_calls[0]' || substr(p, 11) ELSE p END AS p, type, value FROM own),
+  s AS (SELECT id, p, value FROM (SELECT id, p, json_extract_string(value, '$') AS value FROM q WHERE type = 'VARCHAR' AND regexp_matches(p, '^tool_calls\[[0-9]+\]\.[^.\[]+$')) WHERE json_valid(value) AND json_type(value) IN ('OBJECT', 'ARRAY')),
+  deep AS (SELECT 'transcript' AS parent_table, id AS parent_id, p, value FROM s UNION ALL
+    SELECT 'omp', rec_id, 'message.content[' || pos || '].arguments', arguments FROM (SELECT rec_id, unnest(message.content).arguments AS arguments, generate_subscripts(message.content, 1) - 1 AS pos FROM omp) WHERE json_valid(arguments) AND json_type(arguments) IN ('OBJECT', 'ARRAY')),
+  inner_ AS (SELECT parent_table, parent_id, p || replace(substr(fullkey, 2), '"', '') AS path, type FROM (SELECT parent_table, parent_id, p, unnest(tree, recursive := true) FROM (SELECT parent_table, parent_id, p, (SELECT list({'fullkey': fullkey, 'type': type}) FROM json_tree(deep.value)) AS tree FROM deep)))
+SELECT parent_table, parent_id, path FROM inner_ WHERE type = 'OBJECT' AND ends_with(path, ']') UNION ALL
+SELECT 'transcript', id, p FROM q WHERE type = 'OBJECT' AND ends_with(p, ']') UNION ALL
+SELECT 'omp', rec_id, 'message.content[' || pos || ']' FROM (SELECT rec_id, unnest(message.content) AS item, generate_subscripts(message.content, 1) - 1 AS pos FROM omp) WHERE item IS NOT NULL""",
 }
