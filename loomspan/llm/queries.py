@@ -76,4 +76,7 @@ SQL: dict[str, str] = {
   mute AS (SELECT DISTINCT s FROM (SELECT s, m, lead(m) OVER (PARTITION BY s ORDER BY place) AS next FROM marks) WHERE m = 'U' AND (next IS NULL OR next = 'U')),
   good AS (SELECT DISTINCT s FROM said WHERE says AND speaker IN ('user', 'assistant') AND s NOT IN (SELECT s FROM mute))
   SELECT session_id, turn_no, id, speaker FROM (SELECT s AS session_id, CAST(row_number() OVER (PARTITION BY s ORDER BY place) AS INT) AS turn_no, id, speaker FROM said WHERE s IN (SELECT s FROM good)) WHERE id IS NOT NULL""",
+    "p1_events": f"""WITH RECURSIVE {_DROPPED}
+  SELECT kind, count(*) AS events FROM (SELECT CASE WHEN o.rec_id = c.rec_id THEN 'create' WHEN o.message.usage.output IS NOT DISTINCT FROM c.message.usage.output THEN 'copy' WHEN o.id IS NOT DISTINCT FROM c.id THEN 'edit' ELSE 'retry' END AS kind
+    FROM omp o LEFT JOIN g ON g.rec_id = o.rec_id JOIN omp c ON c.rec_id = coalesce(g.comp, o.rec_id)) GROUP BY kind""",
 }
