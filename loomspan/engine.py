@@ -118,6 +118,10 @@ class Engine:
             rows = rows.join(kinds, SCOPE, "left").where(catalog.of_kind(F.col("_kind"), q.kind)).drop("_kind")
         return rows
 
+    def _index_for(self, stemmed: bool) -> Index | None:
+        m = self.index.manifest if self.index is not None else None
+        return self.index if m and m["stemmed"] == stemmed else None
+
     def _by_words(self, q: SearchRequest) -> list[DataFrame]:
         """The hits of each view with the columns that filters need: all views that have words in one pass over postings or texts."""
         parsed = {i: lexical.parse(v) for i, v in enumerate(q.views)}
@@ -125,7 +129,7 @@ class Engine:
         out = [lexical.bm25(self.records, "text", p, q.stemmed) for i, p in parsed.items() if i not in asked]
         if not asked:
             return out
-        if self.index is not None and self.index.manifest and self.index.manifest["stemmed"] == q.stemmed:
+        if self._index_for(q.stemmed) is not None:
             each = self.index.search_each(asked)
         else:
             each = lexical.bm25_each(self.records, "text", asked, q.stemmed)
@@ -138,21 +142,26 @@ class Engine:
         semantic = q.vector is not None and self.vectors is not None and not self.vectors.isEmpty()
         if semantic and q.model is not None and self.vector_model is not None and q.model != self.vector_model:
             raise ValueError(f"the vectors are of {self.vector_model}, not of {q.model}")
+        # what the index keeps beside its words needs no look into the records
+        wanted = list(dict.fromkeys(["doc_id", "ts", "source", "session_id", *(c for c in q.columns if c != "score")]))
+        covered = not semantic and self._index_for(q.stemmed) is not None and set(wanted) <= {"doc_id", *self.index.manifest["keep"]}
+        carried = wanted if covered else ["doc_id", "ts"]
         lists = []
         if q.hybrid or not semantic:
-            lists += [lexical.top(self._filtered(q, hits).select("doc_id", "ts", "score"), wide, "doc_id") for hits in self._by_words(q)]
+            lists += [lexical.top(self._filtered(q, hits).select(*carried, "score"), wide, "doc_id") for hits in self._by_words(q)]
         if semantic:
             inside = self._filtered(q, self.records).select("doc_id", "ts")
             lists.append(ranking.nearest(self.vectors.join(inside, "doc_id"), list(q.vector), wide).select("doc_id", "ts", "score"))
         if len(lists) == 1:
             hits = lists[0]
         else:
-            hits = ranking.rrf([ranking.ranked(x, F.desc("score"), "doc_id") for x in lists], ["doc_id", "ts"])
+            hits = ranking.rrf([ranking.ranked(x, F.desc("score"), "doc_id") for x in lists], carried)
         if q.recency_weight:
             hits = ranking.with_recency(hits, q.now_ms, q.recency_weight, q.half_life_days)
         if q.min_score is not None:
             hits = hits.where(F.col("score") >= q.min_score)
-        hits = hits.select("doc_id", "score").join(self.records, "doc_id")
+        if not covered:
+            hits = hits.select("doc_id", "score").join(self.records, "doc_id")
         order = [F.desc("score"), F.desc("ts"), "doc_id"] if q.sort == "score" else [F.desc("ts"), "doc_id"]
         if q.per_session is not None:
             hits = ranking.capped(hits, ["source", "session_id"], q.per_session, *order)
@@ -220,7 +229,7 @@ class Engine:
         listed = cases.select("case_id", "queries").collect()  # a dataset of questions, made by hand
         views = {i: (c["case_id"], v) for i, (c, v) in enumerate((c, v) for c in listed for v in dict.fromkeys(q.strip() for q in c["queries"]) if v)}
         asked = {i: v for i, (_, v) in views.items()}
-        if self.index is not None and self.index.manifest and self.index.manifest["stemmed"] == stemmed:
+        if self._index_for(stemmed) is not None:
             hits = self.index.search_each(asked)
         else:
             blocks = [dict(list(asked.items())[k : k + 200]) for k in range(0, len(asked), 200)]

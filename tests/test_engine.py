@@ -166,6 +166,8 @@ def test_search_by_index_and_refusals(spark, tmp_path):
     for q in (SearchRequest(("query", "migration"), role="user"), SearchRequest(("+segment query",), since=50, fields="full"), SearchRequest(("",)), SearchRequest(("queries",), per_session=1, recency_weight=1.0, now_ms=10**6)):
         told = [[(*x[:-1], round(x[-1], 9)) for x in e.search(q).collect()] for e in (Engine(spark, r, index=ix), Engine(spark, r))]
         assert told[0] == told[1] and told[0]
+    fast = Engine(spark, r, index=ix).search(SearchRequest(("query", "segment"), role="user"))
+    assert "text" not in fast._jdf.queryExecution().optimizedPlan().toString()
     e = Engine(spark, r, vectors=spark.createDataFrame([(1, [1.0])], "doc_id long, embedding array<double>"), vector_model="m1")
     for bad in (SearchRequest(tuple(f"q{i}" for i in range(9))), SearchRequest(("x" * 5000,)), SearchRequest(fields="some"), SearchRequest(vector=(1.0,), model="m2")):
         with pytest.raises(ValueError):
